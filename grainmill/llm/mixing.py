@@ -28,6 +28,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Classes of quality by which inclusion odds differ.
 CLASSES = 64
+#: Passes over the documents behind one that is too long for what its source still owes.
+PASSES = 4
 
 
 @lru_cache(maxsize=2)
@@ -113,13 +115,34 @@ def mixture(documents: DataFrame, source_targets: DataFrame, total_tokens: int |
     # Pareto's ranking variable q = u/(1-u) * (1-p)/p as q/(1+q), which lies in [0, 1] and keeps the order.
     rank = F.when(p <= 0, F.lit(1.0)).when(p >= 1, F.lit(0.0)).otherwise(x * (1 - p) / (x * (1 - p) + (1 - x) * p))
     ranked = sized.join(F.broadcast(table), ["source", "level"]).withColumn("_rank", rank)
-    # Certain documents all have rank 0; they are at most R tokens, so ties never exceed the rest.
-    cut = refine(spark, ranked.where((F.col("p") > 0) & (F.col("tokens") > 0)), F.col("source"), F.col("_rank"), 0.0, 1.0, lambda g, n, w: rest.get(g, 0), weight=F.col("tokens"), groups=sorted(s for s, r in rest.items() if r > 0), descending=False)
-    # The document at the cut is taken if that comes nearer to the rest than leaving it.
-    edge = {s: x["cutoff"] if x["kept_w"] - x["need"] <= x["need"] - (x["kept_w"] - x["at_w"]) else float(np.nextafter(x["cutoff"], -1.0)) for s, x in cut.items()}
-    edges = spark.createDataFrame(sorted(edge.items()), "source string, _edge double")
-    uses = F.col("copies") + F.when((F.col("tokens") > 0) & (F.col("p") > 0) & (F.col("_rank") <= F.col("_edge")), F.lit(1)).otherwise(F.lit(0))
-    return ranked.join(F.broadcast(edges), "source", "left").select("doc_id", "source", "tokens", "bytes", F.when(F.col("tokens") > 0, uses).otherwise(F.lit(0)).cast("int").alias("uses"))
+    # A pass takes documents in order of rank up to the one that would exceed the rest; the next goes on behind it with
+    # those that still fit, so that one very long document does not leave its source short. The last pass takes or leaves
+    # the document at its edge, whichever comes nearer.
+    taken = F.lit(False)
+    at = {s: (-1.0, float("inf"), r) for s, r in rest.items() if r > 0}
+    for k in range(PASSES):
+        if not at:
+            break
+        limits = spark.createDataFrame([(s, lo, fit) for s, (lo, fit, _) in at.items()], f"source string, _lo{k} double, _fit{k} double")
+        ranked = ranked.join(F.broadcast(limits), "source", "left")
+        open_ = (F.col("p") > 0) & (F.col("tokens") > 0) & (F.col("_rank") > F.col(f"_lo{k}")) & (F.col("tokens") <= F.col(f"_fit{k}"))
+        cut = refine(spark, ranked.where(open_), F.col("source"), F.col("_rank"), 0.0, 1.0, lambda g, n, w: at[g][2], weight=F.col("tokens"), groups=sorted(at), descending=False)  # noqa: B023
+        edge, onward = {}, {}
+        for s, x in cut.items():
+            over, short = x["kept_w"] - at[s][2], at[s][2] - (x["kept_w"] - x["at_w"])
+            if over <= 0 or (k == PASSES - 1 and over <= short):
+                edge[s] = x["cutoff"]
+                if over < 0:
+                    onward[s] = None
+            else:
+                edge[s] = float(np.nextafter(x["cutoff"], -1.0))
+                onward[s] = (x["cutoff"], float(short), short)
+        edges = spark.createDataFrame(sorted(edge.items()), f"source string, _edge{k} double")
+        ranked = ranked.join(F.broadcast(edges), "source", "left")
+        taken = taken | F.coalesce(open_ & (F.col("_rank") <= F.col(f"_edge{k}")), F.lit(False))
+        at = {s: v for s, v in onward.items() if v}
+    uses = F.col("copies") + F.when(taken, F.lit(1)).otherwise(F.lit(0))
+    return ranked.select("doc_id", "source", "tokens", "bytes", F.when(F.col("tokens") > 0, uses).otherwise(F.lit(0)).cast("int").alias("uses"))
 
 
 def share_report(mixed: DataFrame, source_targets: DataFrame) -> DataFrame:
