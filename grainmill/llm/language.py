@@ -69,7 +69,7 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
-_LINES = re.compile(r"[\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
+_LINES = re.compile(r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]+")
 #: Letters with their marks (Indic blocks as a whole, where Python's \w leaves out vowel signs), or signs.
 _TOKENS = re.compile(r"[a-z]+|[ऀ-෿]+|[^\W\d_]+|[^\w\s]+|_+")
 
