@@ -9,8 +9,8 @@ Words are read through their disguises: case, look-alike and zero-width characte
 drawn out letters, letters replaced by an asterisk.
 
 Labels are of documents, are partly wrong, and only a statement or two of a positive document is toxic. So training is
-iterative: models fitted on other positive documents find the statements that positive documents have in common and
-ordinary ones have not; these make up the toxic class, which then claims like statements among the unlabelled ones.
+in two steps: word triples that are far more frequent in positive documents than elsewhere tell which statements, of all
+documents, make up the toxic class at first; the models then claim further statements of much evidence, and are refitted.
 Training takes bounded samples: at most MOST_LABELLED labelled and about BACKGROUND unlabelled documents.
 """
 
@@ -23,19 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textfold import LOOKALIKE, same_look
 
-MOST_LABELLED, BACKGROUND = 6_000, 4_000
+MOST_LABELLED, BACKGROUND = 6_000, 6_000
 DISCOUNT = 0.75
 #: A score at or above this marks a document; a statement needs LEAST_BITS of evidence in all.
-THRESHOLD, LEAST_BITS, SMOOTH = 2.0, 20.0, 2.0
-FOLDS = 8
-#: How far beyond the limits an unlabelled statement must be to be learnt from, by round.
-CAUTION = (3.0, 2.0, 1.5)
+THRESHOLD, LEAST_BITS, SMOOTH = 5.0, 20.0, 2.0
+#: Training: see _telling; and from what evidence on a statement that it left out joins the toxic class, in so many rounds.
+RATIO, SURE_BITS, SURE_RATE, ROUNDS = 5.0, 50.0, 8.0, 2
 UNKNOWN, NUMBER, HIDDEN, START = "<unk>", "#", "<hidden>", "<s>"
 
 
@@ -56,7 +54,8 @@ _FOLD = _Fold()
 _LEET = str.maketrans("013457@$", "oieastas")
 _MIXED = re.compile(r"[0-9@$]+[a-z]|[a-z][0-9@$]+[a-z]")
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
-_APART = re.compile(r"(?<![^\s])(?:[^\W\d_] ){3,}[^\W\d_](?![^\s])")
+_APART = re.compile(r"(?<!\S)(?:[^\s\d*] ){3,}[^\s\d*](?!\S)")
+_DOTTED = re.compile(r"(?<!\w)(?:[^\W\d_]\.){3,}[^\W\d_](?!\w)")
 
 
 def word(raw: str) -> tuple[str, bool]:
@@ -90,6 +89,8 @@ def _words(raw: str) -> list[str]:
 def statements(text: str) -> list[list[str]]:
     """A text's statements as words; a word that was disguised stands behind the token HIDDEN."""
     out = []
+    if "." in text:
+        text = _DOTTED.sub(lambda m: m.group().replace(".", " "), text)
     for line in text.translate(_FOLD).split("\n"):
         if not line or line.isspace():
             continue
@@ -218,41 +219,56 @@ def fit(positive: list[str], negative: list[str], background: list[str]) -> Toxi
     ids = {w: i + 2 for i, w in enumerate(vocabulary)}
     enc = lambda docs: [[[ids.get(w, 1) for w in s] for s in doc] for doc in docs]
     pos, neg, back = enc(pos), enc(neg), enc(back)
-    # Copies of a statement (whole documents repeat) count once per class, or one document would speak as many.
-    # The unlabelled hold toxic statements too, which would speak for neither class; so they join after the first pass.
-    plain = [s for doc in neg for s in doc]
-    fold = [xxhash.xxh32_intdigest(repr(doc)) % FOLDS for doc in pos]
-    picked: list[list[int]] = []
-    for f in sorted(set(fold)):
-        rest = [s for doc, k in zip(pos, fold) if k != f for s in doc]
-        model = Toxicity(vocabulary, _distinct(rest), plain)
-        picked += [c for doc, k in zip(pos, fold) if k == f for s in doc if (c := _claim(model, s, 0.8))]
-    model = Toxicity(vocabulary, _distinct(picked), plain)
-    for caution in CAUTION if picked else ():
-        toxic, ordinary = list(picked), [s for doc in neg for s in doc]
-        for doc in pos:
-            toxic += [c for s in doc if (c := _claim(model, s, 0.8))]
-        for doc in back:
-            for s in doc:
-                if c := _claim(model, s, caution):
-                    toxic.append(c)
-                else:
-                    ordinary.append(s)
-        model = Toxicity(vocabulary, _distinct(toxic), ordinary)
+    hot = _telling(pos, [*neg, *back])
+    toxic: list[list[int]] = []
+    ordinary: list[list[int]] = []
+    # Every statement of the samples belongs to one class, whatever its document's label.
+    for doc in (*pos, *neg, *back):
+        for s in doc:
+            (toxic if _told(s, hot) else ordinary).append(s)
+    toxic = [_trim(s, *_told(s, hot)) for s in toxic]
+    model = Toxicity(vocabulary, toxic, ordinary)
+    for _ in range(ROUNDS if toxic else 0):
+        more, rest = [], []
+        for s in ordinary:
+            bits, a, b = model.span(s)
+            (more if bits >= SURE_BITS and bits / (b - a + SMOOTH) >= SURE_RATE else rest).append(s)
+        if not more:
+            break
+        toxic += [_trim(s, *model.span(s)[1:]) for s in more]
+        ordinary = rest
+        model = Toxicity(vocabulary, toxic, ordinary)
     return model
 
 
-def _claim(model: Toxicity, row: list[int], ease: float) -> list[int] | None:
-    """What the toxic class learns from a statement: nothing below ease times the limits, else all of it, or the run of
-    evidence with its neighbours if other sentences run into it."""
-    bits, a, b = model.span(row)
-    if bits < LEAST_BITS * ease or bits / (b - a + SMOOTH) < THRESHOLD * ease:
+def _trigrams(row: list[int]) -> Iterator[tuple[int, int, int]]:
+    u = v = 0
+    for w in row:
+        yield u, v, w
+        u, v = v, w
+
+
+def _telling(pos: list[list[list[int]]], rest: list[list[list[int]]]) -> set[tuple[int, int, int]]:
+    """Word triples that stand in RATIO times as large a share of the positive documents as of the others, one document of the former left out."""
+    inside, outside = Counter(), Counter()
+    for docs, count in ((pos, inside), (rest, outside)):
+        for doc in docs:
+            count.update({t for s in doc for t in _trigrams(s)})
+    share = (len(rest) + 1) / max(1, len(pos))
+    return {t for t, a in inside.items() if a >= 2 and (a - 0.9) * share >= RATIO * (outside[t] + 1)}
+
+
+def _told(row: list[int], hot: set[tuple[int, int, int]]) -> tuple[int, int] | None:
+    """From where to where telling triples make up a statement, if at least three do and nearly half of what lies between."""
+    at = [i for i, t in enumerate(_trigrams(row)) if t in hot]
+    if len(at) < 3 or len(at) < 0.45 * (at[-1] - at[0] + 1):
         return None
-    return row if len(row) <= 20 else row[max(0, a - 3) : b + 3]
+    return at[0], at[-1] + 1
 
 
-def _distinct(rows: list[list[int]]) -> list[list[int]]:
-    return [list(x) for x in dict.fromkeys(map(tuple, rows))]
+def _trim(row: list[int], a: int, b: int) -> list[int]:
+    """What is learnt of a statement: all of it, or the run of evidence with its neighbours if other sentences run into it."""
+    return row if len(row) <= 20 else row[max(0, a - 3) : b + 3]
 
 
 def train(documents: DataFrame, review_labels: DataFrame, most: int = MOST_LABELLED, background: int = BACKGROUND) -> Toxicity:
