@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus, distributed, ledgers, metrics, mixture, packs, streams, texts
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple = ()
+MODULES = (texts, corpus, mixture, packs, metrics, distributed, ledgers, streams)
 
 
 def queries() -> dict[str, Query]:
