@@ -41,17 +41,13 @@ def next_fit(chunked: DataFrame, by: str, order: str, length: int) -> DataFrame:
     # The rest stands behind the row's own full chunks.
     run = run.withColumn("_run", F.col("before") + F.col("full"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        bins, used = 0, length
-        for rest in pdf["rest"]:
-            if rest:
-                if used + rest + FRAME > length:
-                    bins, used = bins + 1, 0
-                used += rest + FRAME
-        return pd.DataFrame({by: pdf[by].iloc[:1], "bins": [bins]})
+    def place(s: Column, x: Column) -> Column:
+        new = s["used"] + x["rest"] + FRAME > length
+        return F.struct(F.when(new, s["bins"] + 1).otherwise(s["bins"]).alias("bins"), F.when(new, x["rest"] + FRAME).otherwise(s["used"] + x["rest"] + FRAME).alias("used"))
 
-    rests = run.where("rest > 0").groupBy(by, "_run").applyInPandas(fold, f"{by} {dict(rows.dtypes)[by]}, bins long")
+    start = F.struct(F.lit(0).cast("long").alias("bins"), F.lit(length).cast("long").alias("used"))
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("rest").cast("long").alias("rest"))))
+    rests = run.where("rest > 0").groupBy(by, "_run").agg(F.aggregate(in_order, start, place, lambda s: s["bins"]).alias("bins"))
     loose = rests.groupBy(by).agg(F.sum("bins").alias("loose"))
     whole = rows.groupBy(by).agg(F.sum("full").alias("full"), F.sum(F.col("full") * length + F.when(F.col("rest") > 0, F.col("rest") + FRAME).otherwise(0)).alias("non_pad"))
     return whole.join(loose, by, "left").select(by, (F.col("full") + F.coalesce("loose", F.lit(0))).alias("bins"), "non_pad")
