@@ -159,6 +159,13 @@ def _grow(items: Items, k: int, doc: list[int], lo: int, hi: int, a: int, b: int
     return lo, hi, a, b
 
 
+def _tighten(w: list[int], doc: list[int], lo: int, hi: int, a: int, b: int) -> tuple[int, int, int, int]:
+    """Take a stretch's ends in to the first and last two equal words; windows on the grid may hang over a passage."""
+    i, j = next(((i, j) for i in range(lo, min(lo + 8, hi - 1)) for j in range(max(0, a - 2), min(a + 10, b - 1)) if w[i] == doc[j] and w[i + 1] == doc[j + 1]), (lo, a))
+    x, y = next(((x, y) for x in range(hi, max(hi - 8, i + 1), -1) for y in range(min(len(doc), b + 2), max(b - 10, j + 1), -1) if w[x - 1] == doc[y - 1] and w[x - 2] == doc[y - 2]), (hi, b))
+    return i, x, j, y
+
+
 def _best(items: Items, k: int, doc: list[int], windows: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
     """The best one or two stretches made of matched windows (start in the item, end in the document, edits)."""
     m = min(VERIFY, len(items.words[k]))
@@ -172,7 +179,7 @@ def _best(items: Items, k: int, doc: list[int], windows: list[tuple[int, int, in
             stretches.append([s, s + m, max(0, end - m), end])
     scored = []
     for lo, hi, a, b in stretches:
-        lo, hi, a, b = _grow(items, k, doc, lo, hi, a, b)
+        lo, hi, a, b = _grow(items, k, doc, *_tighten(items.words[k], doc, lo, hi, a, b))
         edits = distance(items.words[k][lo:hi], doc[a:b])
         if edits * (NINE - 2) <= hi - lo:
             scored.append((lo, hi, a, b, edits, hi - lo, int((~items.shared[k][lo:hi]).sum())))
