@@ -31,10 +31,14 @@ from .textfold import LOOKALIKE, same_look
 MOST_LABELLED, BACKGROUND = 6_000, 6_000
 DISCOUNT = 0.75
 #: A score at or above this marks a document; a statement needs LEAST_BITS of evidence in all.
-THRESHOLD, LEAST_BITS, SMOOTH = 5.0, 20.0, 2.0
+THRESHOLD, LEAST_BITS, SMOOTH = 6.0, 20.0, 2.0
 #: Training: see _telling; and from what evidence on a statement that it left out joins the toxic class, in so many rounds.
 RATIO, SURE_BITS, SURE_RATE, ROUNDS = 5.0, 50.0, 8.0, 2
-UNKNOWN, NUMBER, HIDDEN, START = "<unk>", "#", "<hidden>", "<s>"
+#: What makes a statement odd: share of documents with its triples at most, and against those of the document's statements.
+RARE, ODD = 0.002, 0.2
+UNKNOWN, NUMBER, HIDDEN = "<unk>", "#", "<hidden>"
+#: Letters of the longest token that is read as a word; encoded data is not.
+LONGEST = 28
 
 
 class _Fold(dict):
@@ -62,6 +66,8 @@ def word(raw: str) -> tuple[str, bool]:
     """A word without its disguise, and whether it had one."""
     if raw.isdigit():
         return NUMBER, False
+    if len(raw) > LONGEST:
+        return UNKNOWN, False
     if "*" in raw:
         core = raw.strip("*")
         return (raw, True) if "*" in core and len(core) > 2 else (core or NUMBER, False)
@@ -220,6 +226,7 @@ def fit(positive: list[str], negative: list[str], background: list[str]) -> Toxi
     enc = lambda docs: [[[ids.get(w, 1) for w in s] for s in doc] for doc in docs]
     pos, neg, back = enc(pos), enc(neg), enc(back)
     hot = _telling(pos, [*neg, *back])
+    hot |= _odd_ones(pos, [*neg, *back], hot)
     toxic: list[list[int]] = []
     ordinary: list[list[int]] = []
     # Every statement of the samples belongs to one class, whatever its document's label.
@@ -258,6 +265,28 @@ def _telling(pos: list[list[list[int]]], rest: list[list[list[int]]]) -> set[tup
     return {t for t, a in inside.items() if a >= 2 and (a - 0.9) * share >= RATIO * (outside[t] + 1)}
 
 
+def _odd_ones(pos: list[list[list[int]]], rest: list[list[list[int]]], hot: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
+    """Rare word triples of the oddest statement of each positive document that has no telling one.
+
+    Such a document should have a toxic statement, most likely of a kind that no other labelled document has. The oddest
+    is the one whose triples are rarest, if they are rare at all and far rarer than those of the document's other
+    statements; so a document that is labelled wrongly mostly gives none. Triples of a document labelled ordinary are left out.
+    """
+    df: Counter = Counter()
+    for doc in (*pos, *rest):
+        df.update({t for s in doc for t in _trigrams(s)})
+    limit = max(2.0, RARE * (len(pos) + len(rest)))
+    out: set[tuple[int, int, int]] = set()
+    for doc in pos:
+        if len(doc) < 2 or any(_told(s, hot) for s in doc):
+            continue
+        typical = [float(np.median([df[t] for t in _trigrams(s)])) for s in doc]
+        k = int(np.argmin([m if len(s) >= 4 else np.inf for m, s in zip(typical, doc)]))
+        if typical[k] <= limit and typical[k] <= ODD * float(np.median(typical)):
+            out |= {t for t in _trigrams(doc[k]) if df[t] <= limit and t[2] > 1}
+    return out
+
+
 def _told(row: list[int], hot: set[tuple[int, int, int]]) -> tuple[int, int] | None:
     """From where to where telling triples make up a statement, if at least three do and nearly half of what lies between."""
     at = [i for i, t in enumerate(_trigrams(row)) if t in hot]
