@@ -38,6 +38,8 @@ CODE_SHARE = 0.25
 ROUNDS = 3
 #: Bits by which one token can speak against a language at most, so that a single foreign word decides no line.
 MOST_BITS = 30.0
+#: A line of fewer letters is no stretch of its own.
+SCRAP = 14
 #: Weight of a bit in the confidence.
 TEMPER = 0.1
 LANGUAGES = ("en", "es", "de", "hi", "mr", "te", "kn", "ta", "python")
@@ -314,13 +316,19 @@ def read(trees: Trees, texts: list[str]) -> Iterator[list[tuple[int, int, str, f
         code = int((lang == python).sum())
         if code >= CODE_SHARE * len(lang) and (code >= 3 or 2 * code >= len(lang)):
             lang[:] = python
+        letters = [sum(len(t) for t in doc[x]) for x in some]
+        for k in range(len(lang)):
+            # A scrap of a line says too little to stand alone between lines of one language, or at an end.
+            around = {int(lang[m]) for m in (k - 1, k + 1) if 0 <= m < len(lang)}
+            if letters[k] < SCRAP and len(around) == 1:
+                lang[k] = around.pop()
         out, i = [], 0
         while i < len(some):
             j = i
             while j + 1 < len(some) and lang[j + 1] == lang[i]:
                 j += 1
             k = int(lang[i])
-            out.append((some[i], some[j], LANGUAGES[k], round(confidence(c[i : j + 1].sum(axis=0), k), 6), sum(len(t) for x in some[i : j + 1] for t in doc[x])))
+            out.append((some[i], some[j], LANGUAGES[k], round(confidence(c[i : j + 1].sum(axis=0), k), 6), sum(letters[i : j + 1])))
             i = j + 1
         yield out
 
