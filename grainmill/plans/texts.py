@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.ranking import ranked
 from .base import Plans, Tables
 
 P = Plans()
@@ -155,7 +156,7 @@ def known_vocab_rate(t: Tables) -> DataFrame:
 """)
 def vocab_roundtrip(t: Tables) -> DataFrame:
     """Ids to words and back, through both maps."""
-    ids = _vocab(t).select("w", (F.row_number().over(Window.orderBy("w")) - 1).cast("long").alias("id"))
+    ids = ranked(_vocab(t), [], [F.asc("w")], "k").select("w", (F.col("k") - 1).cast("long").alias("id"))
     back = ids.join(ids.select(F.col("id").alias("id2"), F.col("w").alias("w2")), F.col("id") == F.col("id2")).where("w = w2")
     return back.agg(F.count("*").alias("tokens"), F.countDistinct("w2").alias("found"), F.sum("id2").alias("id_sum"))
 
@@ -174,7 +175,7 @@ def fertility(t: Tables) -> DataFrame:
 """)
 def word_tokenize_unk(t: Tables) -> DataFrame:
     """Word ids with 0 for words outside the vocabulary."""
-    ids = _vocab(t).select("w", F.row_number().over(Window.orderBy("w")).cast("long").alias("id"))
+    ids = ranked(_vocab(t), [], [F.asc("w")], "id").select("w", F.col("id").cast("long").alias("id"))
     per = _words(t).where("w <> ''").groupBy("doc_id", "w").count().join(ids, "w", "left")
     n = F.col("count")
     return per.groupBy("doc_id").agg(F.sum(n).alias("words"), F.sum(F.when(F.col("id").isNull(), n).otherwise(0)).alias("unknown"), F.sum(F.coalesce("id", F.lit(0)) * n).alias("id_sum"))
