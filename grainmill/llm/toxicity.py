@@ -310,7 +310,8 @@ def train(documents: DataFrame, review_labels: DataFrame, most: int = MOST_LABEL
     unit = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000.0
     votes = votes.where(unit < min(1.0, most / max(1, labelled)))
     text = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
-    rows = text.join(votes, "doc_id").select("doc_id", "vote", "text").collect()
+    # About `most` votes at the most: small enough to go to the documents, wherever these lie.
+    rows = text.join(F.broadcast(votes), "doc_id").select("doc_id", "vote", "text").collect()
     rows = sorted({(r["doc_id"], r["vote"], r["text"]) for r in rows})
     total = text.count()
     some = sorted((r["doc_id"], r["text"]) for r in text.where(unit >= 1.0 - min(1.0, background / max(1, total))).collect())
