@@ -91,3 +91,15 @@ def human_bytes(value: Column) -> Column:
 def hash_bucket(key: Column, buckets: int) -> Column:
     """int(sha256(key)[:8], 16) % buckets."""
     return F.pmod(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
+def html_escape(text: Column) -> Column:
+    """The five characters that HTML reserves."""
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def thousands(value: Column, digits: int = 0) -> Column:
+    """A number with separators, an em dash for null."""
+    return F.coalesce(F.format_number(value, digits), F.lit("—"))

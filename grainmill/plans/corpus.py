@@ -128,6 +128,14 @@ def group_content_hash(t: Tables) -> DataFrame:
     return t.nation.groupBy("n_regionkey").agg(F.sha2(text, 256).alias("fold_hash"))
 
 
+@P.query()
+def file_content_hash(t: Tables) -> DataFrame:
+    """Name, length and sha256 of the data files themselves."""
+    from ..sources.files import file_hashes
+
+    return file_hashes(t.spark, f"{t.sf_dir}/lane_config.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256")
+
+
 @P.query("SELECT split, lane, count(*) AS n FROM documents GROUP BY split, lane")
 def lane_counts(t: Tables) -> DataFrame:
     return t.documents.groupBy("split", "lane").agg(F.count("*").alias("n"))

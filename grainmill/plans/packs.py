@@ -61,6 +61,14 @@ def pack_best_fit(t: Tables) -> DataFrame:
     return B.best_fit(B.chunks(_sizes(t), L), "lane", L).withColumn("utilization", F.round(F.col("non_pad") / (F.col("bins") * L), 9))
 
 
+@P.query()
+def pack_by_policy(t: Tables) -> DataFrame:
+    """Every lane by its own policy."""
+    from ..operators.policies import pack_by_policy as packed
+
+    return packed(B.chunks(_sizes(t), L), L)
+
+
 @P.query(f"SELECT lane, count(*) AS sequences, sum(least(n, {L - 2}) + 2)::BIGINT AS non_pad, sum(greatest(n - {L - 2}, 0))::BIGINT AS dropped FROM {_ROWS} GROUP BY lane")
 def pack_pad_only(t: Tables) -> DataFrame:
     """One document a sequence, cut off."""

@@ -193,3 +193,57 @@ def test_blocks_never_split_a_character():
     raw = ("ab" * 15 + "नमस्ते" * 5).encode()
     parts = blocks.cut(raw, 32)
     assert b"".join(parts) == raw and all(len(p) <= 32 and p.decode() for p in parts)
+
+
+def test_policies_and_registry(spark):
+    from grainmill.operators import policies as P
+
+    df = spark.createDataFrame([(lane, i, 40 + i) for i in range(9) for lane in ("general_web", "agentic", "code", "new")], "lane string, doc_id long, n_tokens int")
+    got = {r.lane: r for r in P.pack_by_policy(binpack.chunks(df, 64), 64).collect()}
+    assert {k: r.policy for k, r in got.items()} == {"general_web": "best_fit", "agentic": "structure_preserving", "code": "greedy", "new": "greedy"}
+    assert all(r.non_pad == sum(40 + i + 2 for i in range(9)) for r in got.values())
+    with pytest.raises(ValueError):
+        P.policy_for("x", {"x": "magic"})
+    assert isinstance(P.ByteTokenizer(), P.Tokenizer)
+    spark.udtf.register("chunk_bounds", P.ChunkBounds)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM chunk_bounds(125, 64)").collect()] == [(0, 62), (62, 124), (124, 125)]
+
+
+def test_fingerprints(spark):
+    import numpy as np
+
+    from grainmill.functions import hashing as H
+
+    # A published configuration and the beginning of its hash (fixed values).
+    config = {"schema_version": "v1", "type": "utf8_byte", "special_tokens": {"pad": 0, "bos": 1, "eos": 2}, "byte_offset": 3, "vocab_size": 259}
+    assert H.fingerprint(config, 8) == "ae1e773d"
+    df = spark.createDataFrame([('{"b": 1, "a": [1e-7, "é"]}',), ('{"a":[1e-7,"é"],"b":1}',), ("{",), (None,)], "t string")
+    got = [r[0] for r in df.select(H.json_hash("t")).collect()]
+    assert got[0] == got[1] is not None and got[2:] == [None, None]
+    a = {"x": np.arange(3.0), "y": np.zeros((2, 1), np.int32)}
+    assert H.state_hash(a) == H.state_hash(dict(reversed(a.items()))) != H.state_hash({**a, "x": np.arange(3.0) + 1})
+
+
+def test_formats(spark):
+    r = spark.createDataFrame([(1234567.0, "<a href='x'>&\"")], "v double, t string").select(T.thousands(F.col("v")).alias("v"), T.thousands(F.lit(None).cast("double")).alias("n"), T.html_escape(F.col("t")).alias("t")).collect()[0]
+    assert tuple(r) == ("1,234,567", "—", "&lt;a href=&#x27;x&#x27;&gt;&amp;&quot;")
+
+
+def test_float_bits(spark):
+    from grainmill.functions.numeric import bf16_bits, fp32_bits
+
+    df = spark.createDataFrame([(0.1,), (1.0,), (-2.5,)], "x float")
+    got = [tuple(r) for r in df.select(fp32_bits("x"), bf16_bits("x")).collect()]
+    assert got[0] == ("00111101110011001100110011001101", "0011110111001101") and got[1] == ("00111111100000000000000000000000", "0011111110000000")
+
+
+def test_beam_search_equals_all_paths(spark):
+    from grainmill.operators.beam import beam_search
+
+    moves = {("a", "a"): -0.5, ("a", "b"): -1.0, ("b", "a"): -0.2, ("b", "c"): -3.0, ("c", "a"): -0.1}
+    df = spark.createDataFrame([(a, b, p) for (a, b), p in moves.items()], "src string, dst string, logp double")
+    got = beam_search(df, 20, 3).toPandas()
+    paths = [([s], 0.0) for s in "abc"]
+    for _ in range(3):
+        paths = [(p + [b], x + y) for p, x in paths for (a, b), y in moves.items() if a == p[-1]]
+    assert {(",".join(p), round(x, 9)) for p, x in paths} == set(zip(got.path, got.logp))
