@@ -136,14 +136,17 @@ class Trees:
             self.escape[ctx], self.length[ctx] = esc, table
         self.uniform = uniform
         self._ids: dict[str, int] = {}
-        self._rows = np.zeros((1024, size), np.float32)
+        self._rows, self._letters = np.zeros((1024, size), np.float32), np.zeros(1024, np.int64)
+        self._steps: dict[bytes, int] = {}
+        self._costs = np.zeros((1024, size), np.float64)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_ids", "_rows")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_ids", "_rows", "_letters", "_steps", "_costs")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._ids, self._rows = {}, np.zeros((1024, len(TREES)), np.float32)
+        self._ids, self._rows, self._letters = {}, np.zeros((1024, len(TREES)), np.float32), np.zeros(1024, np.int64)
+        self._steps, self._costs = {}, np.zeros((1024, len(TREES)), np.float64)
 
     def _fall(self, ctx: bytes, sym: int) -> np.ndarray:
         """Code lengths of a follower after a context, shorter contexts included."""
@@ -167,29 +170,61 @@ class Trees:
             total += self._fall(raw[max(0, i - self.order) : i], raw[i])
         return np.minimum(total, total.min() + MOST_BITS) + self.none
 
-    def by_tree(self, rows: list[list[str]]) -> np.ndarray:
-        """Code lengths of lines (lists of tokens) by tree; 0 for lines without tokens. Tokens seen before are looked up."""
+    def numbers(self, flat: list[str]) -> np.ndarray:
+        """The rows in which tokens' code lengths and letter counts are kept; tokens not seen before get theirs."""
         ids = self._ids
         if len(ids) > 300_000:
             ids.clear()
-        flat = []
-        for row in rows:
-            for t in row:
-                k = ids.get(t)
-                if k is None:
-                    k = ids[t] = len(ids)
-                    if k >= len(self._rows):
-                        self._rows = np.concatenate((self._rows, np.zeros_like(self._rows)))
-                    self._rows[k] = self.lengths(t)
-                flat.append(k)
+        known = list(map(ids.get, flat))
+        if None in known:
+            new = [t for t in dict.fromkeys(t for t, k in zip(flat, known) if k is None)]
+            first = len(ids)
+            while first + len(new) > len(self._rows):
+                self._rows = np.concatenate((self._rows, np.zeros_like(self._rows)))
+                self._letters = np.concatenate((self._letters, np.zeros_like(self._letters)))
+            self._rows[first : first + len(new)] = self._many(new)
+            self._letters[first : first + len(new)] = [len(t) for t in new]
+            ids.update(zip(new, range(first, first + len(new))))
+            known = list(map(ids.get, flat))
+        return np.array(known, np.int64)
+
+    def _many(self, new: list[str]) -> np.ndarray:
+        """Code lengths of many tokens: a byte's cost hangs on it and the ORDER bytes before it, and such windows recur."""
+        steps, k = self._steps, self.order
+        if len(steps) > 300_000:
+            steps.clear()
+        windows, lens = [], []
+        for t in new:
+            raw = b"\x02" + compact(t) + bytes((_END,))
+            windows += [raw[max(0, i - k) : i + 1] for i in range(1, len(raw))]
+            lens.append(len(raw) - 1)
+        for w in windows:
+            if w not in steps:
+                if len(steps) >= len(self._costs):
+                    self._costs = np.concatenate((self._costs, np.zeros_like(self._costs)))
+                self._costs[len(steps)] = self._fall(w[:-1], w[-1])
+                steps[w] = len(steps)
+        at = np.fromiter(map(steps.__getitem__, windows), np.int64, len(windows))
+        total = np.add.reduceat(self._costs[at], np.cumsum(lens) - lens, axis=0) + self.none
+        return np.minimum(total, total.min(axis=1, keepdims=True) + MOST_BITS) + self.none
+
+    def by_tree(self, rows: list[list[str]]) -> np.ndarray:
+        """Code lengths of lines (lists of tokens) by tree; 0 for lines without tokens. Tokens seen before are looked up."""
+        flat = self.numbers([t for row in rows for t in row])
         lens = np.array([len(r) for r in rows], np.int64)
         out = np.zeros((len(rows), len(TREES)), np.float64)
         some = lens > 0
         if some.any():
             starts = (np.cumsum(lens) - lens)[some]
-            out[some] = np.add.reduceat(self._rows[np.array(flat, np.int64)], starts, axis=0, dtype=np.float64)
+            out[some] = np.add.reduceat(self._rows[flat], starts, axis=0, dtype=np.float64)
         return out
 
+    def letters(self, rows: list[list[str]]) -> np.ndarray:
+        """Letters of lines."""
+        ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+        total = np.concatenate(([0], np.cumsum(self._letters[self.numbers([t for row in rows for t in row])])))
+        return np.diff(np.concatenate(([0], total[ends])))
+
     def lines(self, rows: list[list[str]]) -> np.ndarray:
         """Code lengths of lines by language."""
         out = self.by_tree(rows)
@@ -301,22 +336,23 @@ def train(documents: DataFrame, per_label: int = PER_LABEL, rounds: int = ROUNDS
 def read(trees: Trees, texts: list[str]) -> Iterator[list[tuple[int, int, str, float, int]]]:
     """Per text its stretches: first line, last line, language, confidence, characters. Blank lines belong to the stretch before."""
     split = [[tokens(x) for x in _LINES.split(t)] for t in texts]
-    cost = trees.lines([row for doc in split for row in doc])
+    every = [row for doc in split for row in doc]
+    cost, sizes = trees.lines(every), trees.letters(every).tolist() if every else []
     python = LANGUAGES.index("python")
     at = 0
     for doc in split:
-        own = cost[at : at + len(doc)]
+        own, size = cost[at : at + len(doc)], sizes[at : at + len(doc)]
         at += len(doc)
         some = [i for i, row in enumerate(doc) if row]
-        if not some or not np.isfinite(own[some].min(axis=1)).all():
+        c = own[some]
+        if not some or not np.isfinite(c.min(axis=1)).all():
             yield []
             continue
-        c = own[some]
         lang = stretches(c)
         code = int((lang == python).sum())
         if code >= CODE_SHARE * len(lang) and (code >= 3 or 2 * code >= len(lang)):
             lang[:] = python
-        letters = [sum(len(t) for t in doc[x]) for x in some]
+        letters = [size[x] for x in some]
         for k in range(len(lang)):
             # A scrap of a line says too little to stand alone between lines of one language, or at an end.
             around = {int(lang[m]) for m in (k - 1, k + 1) if 0 <= m < len(lang)}
