@@ -58,7 +58,7 @@ _FOLD = _Fold()
 _LEET = str.maketrans("013457@$", "oieastas")
 _MIXED = re.compile(r"[0-9@$]+[a-z]|[a-z][0-9@$]+[a-z]")
 _DRAWN = re.compile(r"([^\W\d_])\1{2,}")
-_APART = re.compile(r"(?<!\S)(?:[^\s\d*] ){3,}[^\s\d*](?!\S)")
+_APART = re.compile(r"(?<![^\s])(?:[^\s\d*] +){3,}[^\s\d*](?![^\s])")
 _DOTTED = re.compile(r"(?<!\w)(?:[^\W\d_]\.){3,}[^\W\d_](?!\w)")
 
 
@@ -79,38 +79,26 @@ def word(raw: str) -> tuple[str, bool]:
     return raw.strip("@$") or NUMBER, False
 
 
-_CACHE: dict[str, list[str]] = {}
+def _read(raw: str) -> list[str]:
+    """The words of a token; one that was disguised stands behind HIDDEN."""
+    if raw.endswith("***"):
+        return [HIDDEN, raw[:-3]]
+    plain, hidden = word(raw)
+    return [HIDDEN, plain] if hidden else [plain]
 
 
-def _words(raw: str) -> list[str]:
-    known = _CACHE.get(raw)
-    if known is None:
-        plain, hidden = word(raw)
-        if len(_CACHE) > 400_000:
-            _CACHE.clear()
-        _CACHE[raw] = known = [HIDDEN, plain] if hidden else [plain]
-    return known
+def _lines(text: str) -> list[list[str]]:
+    """A text's statements as tokens; letters that were set apart are joined and end in ***."""
+    if "." in text:
+        text = _DOTTED.sub(lambda m: m.group().replace(".", " "), text)
+    text = text.translate(_FOLD)
+    text = _APART.sub(lambda m: m.group().replace(" ", "") + "***", text)
+    return [row for line in text.split("\n") if (row := line.split())]
 
 
 def statements(text: str) -> list[list[str]]:
     """A text's statements as words; a word that was disguised stands behind the token HIDDEN."""
-    out = []
-    if "." in text:
-        text = _DOTTED.sub(lambda m: m.group().replace(".", " "), text)
-    for line in text.translate(_FOLD).split("\n"):
-        if not line or line.isspace():
-            continue
-        if _APART.search(line):
-            line = _APART.sub(lambda m: m.group().replace(" ", "") + "***", " ".join(line.split()))
-        row: list[str] = []
-        for raw in line.split():
-            if raw.endswith("***"):
-                row += [HIDDEN, raw[:-3]]
-            else:
-                row += _words(raw)
-        if row:
-            out.append(row)
-    return out
+    return [[w for raw in row for w in _read(raw)] for row in _lines(text)]
 
 
 class KneserNey:
@@ -165,50 +153,65 @@ class Toxicity:
             for w, n in model.uni.items():
                 both[w] += n
         self.shared = both / both.sum()
-        self.memo: dict[tuple[int, int, int], float] = {}
+        self.size = size
+        self.memo: dict[int, float] = {}
+        self.read: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "memo": {}}
+        return {**self.__dict__, "memo": {}, "read": {}}
 
     def encode(self, row: list[str]) -> list[int]:
         get = self.ids.get
         return [get(w, 1) for w in row]
 
-    def evidence(self, row: list[int]) -> list[float]:
-        """Bits by which each word speaks for the toxic class."""
-        memo, u, v, out = self.memo, 0, 0, []
-        for w in row:
-            x = memo.get((u, v, w))
-            if x is None:
-                if len(memo) > 2_000_000:
-                    memo.clear()
-                x = memo[u, v, w] = math.log2(self.toxic.p(u, v, w, self.shared) / self.ordinary.p(u, v, w, self.shared))
-            out.append(x)
-            u, v = v, w
-        return out
+    def bits(self, key: int) -> float:
+        """Bits by which a word speaks for the toxic class behind two others; one that this class has never seen does not."""
+        if len(self.memo) > 2_000_000:
+            self.memo.clear()
+        uv, w = divmod(key, self.size)
+        u, v = divmod(uv, self.size)
+        x = math.log2(self.toxic.p(u, v, w, self.shared) / self.ordinary.p(u, v, w, self.shared))
+        self.memo[key] = x = x if w in self.toxic.uni else min(x, 0.0)
+        return x
 
     def span(self, row: list[int]) -> tuple[float, int, int]:
         """The run of words with most evidence: bits, start, end."""
-        best, total, start, where = 0.0, 0.0, 0, (0, 0)
-        for i, x in enumerate(self.evidence(row)):
+        memo, size, v, uv = self.memo, self.size, 0, 0
+        best, total, start, lo, hi = 0.0, 0.0, 0, 0, 0
+        for i, w in enumerate(row):
+            key = uv * size + w
+            x = memo.get(key)
+            if x is None:
+                x = self.bits(key)
+            uv, v = v * size + w, w
             if total <= 0.0:
-                total, start = 0.0, i
-            total += x
+                total, start = x, i
+            else:
+                total += x
             if total > best:
-                best, where = total, (start, i + 1)
-        return best, *where
-
-    def score_row(self, row: list[int]) -> float:
-        bits, start, end = self.span(row)
-        return bits / (end - start + SMOOTH) if bits >= LEAST_BITS else min(THRESHOLD - 0.01, bits / (end - start + SMOOTH))
-
-    def score(self, text: str) -> tuple[float, list[str]]:
-        """A text's score and its worst statement."""
-        best, worst = 0.0, []
-        for s in statements(text):
-            x = self.score_row(self.encode(s))
+                best, lo, hi = total, start, i + 1
+        return best, lo, hi
+
+    def numbers(self, raw: str) -> tuple[int, ...]:
+        """A token's word numbers, kept for reuse."""
+        if len(self.read) > 400_000:
+            self.read.clear()
+        self.read[raw] = ids = tuple(self.ids.get(w, 1) for w in _read(raw))
+        return ids
+
+    def score(self, text: str) -> tuple[float, int]:
+        """A text's score and its worst statement's number."""
+        best, worst, known = 0.0, -1, self.read.get
+        for k, tokens in enumerate(_lines(text)):
+            row: list[int] = []
+            for raw in tokens:
+                row += known(raw) or self.numbers(raw)
+            bits, start, end = self.span(row)
+            x = bits / (end - start + SMOOTH)
+            if bits < LEAST_BITS:
+                x = min(x, THRESHOLD - 0.01)
             if x > best:
-                best, worst = x, s
+                best, worst = x, k
         return best, worst
 
 
@@ -334,7 +337,8 @@ def scores(documents: DataFrame, review_labels: DataFrame, model: Toxicity | Non
         for pdf in it:
             found = [model.value.score(t) for t in pdf["text"].tolist()]
             s = np.array([x for x, _ in found], np.float64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": s.round(6), "flagged": s >= threshold, "statement": [" ".join(w) if x >= threshold else None for x, w in found]})
+            said = [" ".join(statements(t)[k]) if x >= threshold else None for t, (x, k) in zip(pdf["text"].tolist(), found)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "score": s.round(6), "flagged": s >= threshold, "statement": said})
 
     return documents.where(F.col("text").isNotNull()).select("doc_id", "source", "text").mapInPandas(part, SCORES)
 
