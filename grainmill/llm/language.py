@@ -96,8 +96,9 @@ _END = 0
 class Trees:
     """The frozen context trees of all languages, with code lengths resolved through their escapes.
 
-    For a context (bytes) and a follower, `length` holds the code length in every tree; `escape` the cost, per tree, of
-    leaving a context. A token's lengths follow the longest contexts known to any tree.
+    For a context and a follower (bytes together), `length` numbers the row of `costs` with the code length in every tree;
+    `escape` that of `escapes` with the cost, per tree, of leaving a context. A token's lengths follow the longest contexts
+    known to any tree.
     """
 
     def __init__(self, counts: dict[str, Counter], order: int = ORDER):
@@ -115,9 +116,19 @@ class Trees:
             follow.append(tree)
         self.none = np.array([0.0 if t else np.inf for t in follow])
         contexts = sorted(set().union(*follow), key=len)
-        self.escape: dict[bytes, np.ndarray] = {}
-        self.length: dict[bytes, dict[int, np.ndarray]] = {}
-        uniform = np.full(size, 8.0)
+        escape: dict[bytes, np.ndarray] = {}
+        length: dict[bytes, np.ndarray] = {}
+
+        def fall(ctx: bytes, sym: bytes) -> np.ndarray:
+            cost = np.zeros(size)
+            while (v := length.get(ctx + sym)) is None:
+                if (e := escape.get(ctx)) is not None:
+                    cost = cost + e
+                if not ctx:
+                    return cost + 8.0
+                ctx = ctx[1:]
+            return cost + v
+
         for ctx in contexts:
             here = [t.get(ctx) for t in follow]
             esc, total = np.zeros(size), np.ones(size)
@@ -125,16 +136,17 @@ class Trees:
                 if c:
                     total[j] = sum(c.values()) + len(c)
                     esc[j] = -np.log2(len(c) / total[j])
-            table: dict[int, np.ndarray] = {}
-            shorter = self.length.get(ctx[1:], {}) if ctx else {}
-            for sym in set().union(*(c for c in here if c)):
-                v = (shorter[sym] if sym in shorter else self._fall(ctx[1:], sym)) + esc if ctx else uniform + esc
+            for k in set().union(*(c for c in here if c)):
+                sym = bytes((k,))
+                v = (fall(ctx[1:], sym) if ctx else np.full(size, 8.0)) + esc
                 for j, c in enumerate(here):
-                    if c and (n := c.get(sym)):
+                    if c and (n := c.get(k)):
                         v[j] = -np.log2(n / total[j])
-                table[sym] = v
-            self.escape[ctx], self.length[ctx] = esc, table
-        self.uniform = uniform
+                length[ctx + sym] = v
+            escape[ctx] = esc
+        # As two matrices and their row numbers the model travels fast.
+        self.escape, self.escapes = dict(zip(escape, range(len(escape)))), np.array([*escape.values(), np.zeros(size)])
+        self.length, self.costs = dict(zip(length, range(len(length)))), np.array([*length.values(), np.zeros(size)])
         self._ids: dict[str, int] = {}
         self._rows, self._letters = np.zeros((1024, size), np.float32), np.zeros(1024, np.int64)
         self._steps: dict[bytes, int] = {}
@@ -150,17 +162,14 @@ class Trees:
 
     def _fall(self, ctx: bytes, sym: int) -> np.ndarray:
         """Code lengths of a follower after a context, shorter contexts included."""
-        cost = np.zeros(len(TREES))
-        while True:
-            table = self.length.get(ctx)
-            if table is not None:
-                v = table.get(sym)
-                if v is not None:
-                    return cost + v
-                cost = cost + self.escape[ctx]
+        cost, byte, length, escape = None, bytes((sym,)), self.length, self.escape
+        while (k := length.get(ctx + byte)) is None:
+            if (e := escape.get(ctx)) is not None:
+                cost = self.escapes[e] if cost is None else cost + self.escapes[e]
             if not ctx:
-                return cost + 8.0
+                return 8.0 + (0.0 if cost is None else cost) + np.zeros(len(TREES))
             ctx = ctx[1:]
+        return self.costs[k] if cost is None else cost + self.costs[k]
 
     def lengths(self, token: str) -> np.ndarray:
         """The token's code length in bits in every tree."""

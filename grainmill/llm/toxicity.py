@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,42 +102,45 @@ def statements(text: str) -> list[list[str]]:
 
 
 class KneserNey:
-    """Interpolated Kneser-Ney over word numbers, orders 3 to 1, above a lowest order that is given."""
+    """Interpolated Kneser-Ney over word numbers below `size`, orders 3 to 1, above a lowest order that is given.
 
-    def __init__(self, rows: list[list[int]], weights: list[float] | None = None):
-        self.tri: dict[tuple[int, int, int], float] = defaultdict(float)
+    Word triples and pairs are numbered in base `size`, which makes for small tables that travel fast.
+    """
+
+    def __init__(self, rows: list[list[int]], size: int):
+        self.size = size
+        tri: Counter = Counter()
         for row in rows:
-            u = v = 0
+            v = uv = 0
             for w in row:
-                self.tri[u, v, w] += 1.0
-                u, v = v, w
-        self.ctx2: dict[tuple[int, int], list[float]] = defaultdict(lambda: [0.0, 0.0])
-        self.bi: Counter = Counter()
-        for (u, v, w), n in self.tri.items():
-            c = self.ctx2[u, v]
-            c[0] += n
-            c[1] += 1
-            self.bi[v, w] += 1
-        self.ctx1: dict[int, list[int]] = defaultdict(lambda: [0, 0])
-        self.uni: Counter = Counter()
-        for (v, w), n in self.bi.items():
-            c = self.ctx1[v]
-            c[0] += n
-            c[1] += 1
-            self.uni[w] += 1
+                tri[uv * size + w] += 1
+                uv, v = v * size + w, w
+        self.tri = dict(tri)
+        self.pairs, self.pair_types, self.bi = {}, {}, {}
+        square = size * size
+        for key, n in self.tri.items():
+            uv, vw = key // size, key % square
+            self.pairs[uv] = self.pairs.get(uv, 0) + n
+            self.pair_types[uv] = self.pair_types.get(uv, 0) + 1
+            self.bi[vw] = self.bi.get(vw, 0) + 1
+        self.words, self.word_types, self.uni = {}, {}, {}
+        for vw, n in self.bi.items():
+            v, w = divmod(vw, size)
+            self.words[v] = self.words.get(v, 0) + n
+            self.word_types[v] = self.word_types.get(v, 0) + 1
+            self.uni[w] = self.uni.get(w, 0) + 1
         self.distinct = sum(self.uni.values())
-        self.tri, self.ctx2, self.ctx1 = dict(self.tri), dict(self.ctx2), dict(self.ctx1)
 
-    def p(self, u: int, v: int, w: int, shared: np.ndarray) -> float:
+    def p(self, u: int, v: int, w: int, shared: list[float]) -> float:
         """P(w | u v); shared: the probability of each word at the lowest order."""
         p = shared[w]
         if self.distinct:
-            types = len(self.uni)
-            p = max(self.uni.get(w, 0) - DISCOUNT, 0.0) / self.distinct + DISCOUNT * types / self.distinct * p
-        if c := self.ctx1.get(v):
-            p = max(self.bi.get((v, w), 0) - DISCOUNT, 0.0) / c[0] + DISCOUNT * c[1] / c[0] * p
-        if c := self.ctx2.get((u, v)):
-            p = max(self.tri.get((u, v, w), 0.0) - DISCOUNT, 0.0) / c[0] + DISCOUNT * c[1] / c[0] * p
+            p = (max(self.uni.get(w, 0) - DISCOUNT, 0.0) + DISCOUNT * len(self.uni) * p) / self.distinct
+        if n := self.words.get(v):
+            p = (max(self.bi.get(v * self.size + w, 0) - DISCOUNT, 0.0) + DISCOUNT * self.word_types[v] * p) / n
+        uv = u * self.size + v
+        if n := self.pairs.get(uv):
+            p = (max(self.tri.get(uv * self.size + w, 0) - DISCOUNT, 0.0) + DISCOUNT * self.pair_types[uv] * p) / n
         return p
 
 
@@ -146,13 +149,13 @@ class Toxicity:
 
     def __init__(self, vocabulary: list[str], toxic: list[list[int]], ordinary: list[list[int]]):
         self.ids = {w: i + 2 for i, w in enumerate(vocabulary)}
-        self.toxic, self.ordinary = KneserNey(toxic), KneserNey(ordinary)
         size = len(vocabulary) + 2
-        both = np.full(size, 1.0)
+        self.toxic, self.ordinary = KneserNey(toxic, size), KneserNey(ordinary, size)
+        both = np.full(size, 1.0)  # shared backoff counts
         for model in (self.toxic, self.ordinary):
             for w, n in model.uni.items():
                 both[w] += n
-        self.shared = both / both.sum()
+        self.shared = (both / both.sum()).tolist()
         self.size = size
         self.memo: dict[int, float] = {}
         self.read: dict[str, tuple[int, ...]] = {}
