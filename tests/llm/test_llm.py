@@ -433,7 +433,7 @@ def test_disguises_are_read():
 def test_kneser_ney_is_a_distribution():
     rows = [[2, 3, 4], [2, 3, 5], [3, 4, 4, 2]]
     shared = np.full(7, 1 / 7)
-    m = toxicity.KneserNey(rows)
+    m = toxicity.KneserNey(rows, 7)
     for u, v in ((0, 0), (2, 3), (5, 5), (0, 2)):
         assert abs(sum(m.p(u, v, w, shared) for w in range(7)) - 1) < 1e-9
 
