@@ -232,7 +232,7 @@ def fit(positive: list[str], negative: list[str], background: list[str]) -> Toxi
     enc = lambda docs: [[[ids.get(w, 1) for w in s] for s in doc] for doc in docs]
     pos, neg, back = enc(pos), enc(neg), enc(back)
     hot = _telling(pos, [*neg, *back])
-    hot |= _odd_ones(pos, [*neg, *back], hot)
+    hot |= _odd_ones(pos, neg, back, hot)
     toxic: list[list[int]] = []
     ordinary: list[list[int]] = []
     # Every statement of the samples belongs to one class, whatever its document's label.
@@ -271,7 +271,7 @@ def _telling(pos: list[list[list[int]]], rest: list[list[list[int]]]) -> set[tup
     return {t for t, a in inside.items() if a >= 2 and (a - 0.9) * share >= RATIO * (outside[t] + 1)}
 
 
-def _odd_ones(pos: list[list[list[int]]], rest: list[list[list[int]]], hot: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
+def _odd_ones(pos: list[list[list[int]]], neg: list[list[list[int]]], back: list[list[list[int]]], hot: set[tuple[int, int, int]]) -> set[tuple[int, int, int]]:
     """Rare word triples of the oddest statement of each positive document that has no telling one.
 
     Such a document should have a toxic statement, most likely of a kind that no other labelled document has. The oddest
@@ -279,9 +279,10 @@ def _odd_ones(pos: list[list[list[int]]], rest: list[list[list[int]]], hot: set[
     statements; so a document that is labelled wrongly mostly gives none. Triples of a document labelled ordinary are left out.
     """
     df: Counter = Counter()
-    for doc in (*pos, *rest):
+    for doc in (*pos, *neg, *back):
         df.update({t for s in doc for t in _trigrams(s)})
-    limit = max(2.0, RARE * (len(pos) + len(rest)))
+    limit = max(2.0, RARE * (len(pos) + len(neg) + len(back)))
+    cleared = {t for doc in neg for s in doc for t in _trigrams(s)}
     out: set[tuple[int, int, int]] = set()
     for doc in pos:
         if len(doc) < 2 or any(_told(s, hot) for s in doc):
@@ -289,7 +290,7 @@ def _odd_ones(pos: list[list[list[int]]], rest: list[list[list[int]]], hot: set[
         typical = [float(np.median([df[t] for t in _trigrams(s)])) for s in doc]
         k = int(np.argmin([m if len(s) >= 4 else np.inf for m, s in zip(typical, doc)]))
         if typical[k] <= limit and typical[k] <= ODD * float(np.median(typical)):
-            out |= {t for t in _trigrams(doc[k]) if df[t] <= limit and t[2] > 1}
+            out |= {t for t in _trigrams(doc[k]) if df[t] <= limit and t[2] > 1 and t not in cleared}
     return out
 
 
