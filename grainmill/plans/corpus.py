@@ -161,7 +161,7 @@ def prefix_tokens(t: Tables) -> DataFrame:
     return delivered(cut, "prefix")
 
 
-@P.query("SELECT lane, doc_id, quality FROM (SELECT lane, doc_id, quality, row_number() OVER (PARTITION BY lane ORDER BY quality DESC, doc_id) AS k FROM documents WHERE quality BETWEEN 0 AND 1 AND NOT isnan(quality)) WHERE k <= 3")
+@P.query("SELECT lane, doc_id, quality FROM (SELECT lane, doc_id, quality, row_number() OVER (PARTITION BY lane ORDER BY quality DESC, doc_id) AS k FROM documents WHERE quality BETWEEN 0 AND 1 AND quality::VARCHAR <> 'nan') WHERE k <= 3")
 def top_quality(t: Tables) -> DataFrame:
     """The best three of each lane, doc_id breaking ties."""
     good = t.documents.where("quality >= 0 and quality <= 1").select("lane", "doc_id", "quality")

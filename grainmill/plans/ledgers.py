@@ -91,7 +91,7 @@ def fork_divergence(t: Tables) -> DataFrame:
     return o.groupBy("run_id").agg(F.min(F.when(~F.col("m").eqNullSafe(F.col("tokens")), F.col("global_step"))).alias("diverges_at"), F.count("*").alias("steps"))
 
 
-@P.query(f"SELECT run_id, global_step, bool_and(mean_loss IS NOT NULL AND NOT isnan(mean_loss)) AND count(*) > 0 AS trace_ok FROM {_SPANS} GROUP BY run_id, global_step")
+@P.query(f"SELECT run_id, global_step, bool_and(mean_loss IS NOT NULL AND mean_loss::VARCHAR <> 'nan') AND count(*) > 0 AS trace_ok FROM {_SPANS} GROUP BY run_id, global_step")
 def learning_trace_check(t: Tables) -> DataFrame:
     """Whether every span of a step has a loss."""
     s = _spans(t, "run_id", "global_step", "mean_loss")
@@ -103,7 +103,7 @@ _CHECKS = f"""
     SELECT 'spans_within_rows', (SELECT bool_and(token_start >= 0 AND token_end >= token_start) FROM source_spans) UNION ALL
     SELECT 'train_only', (SELECT bool_and(NOT regexp_matches(shard_id, '^(eval|validation|selection_proxy)-')) FROM source_spans) UNION ALL
     SELECT 'weights_sum', (SELECT bool_and(abs(s - 1) < 1e-9) FROM (SELECT sum(weight) AS s FROM stage_weights GROUP BY stage)) UNION ALL
-    SELECT 'floors_below_weights', (SELECT bool_and(w.weight >= c.protected_floor) FROM stage_weights w JOIN lane_config c USING (lane) WHERE c.protected_floor > 0 AND NOT isnan(c.protected_floor)) UNION ALL
+    SELECT 'floors_below_weights', (SELECT bool_and(w.weight >= c.protected_floor) FROM stage_weights w JOIN lane_config c USING (lane) WHERE c.protected_floor > 0 AND c.protected_floor::VARCHAR <> 'nan') UNION ALL
     SELECT 'steps_contiguous', (SELECT bool_and(ok) FROM (SELECT min(global_step) = 0 AND max(global_step) + 1 = count(DISTINCT global_step) AS ok FROM source_spans GROUP BY run_id)) UNION ALL
     SELECT 'manifest_counts', (SELECT count(*) = 0 FROM shard_index i LEFT JOIN (SELECT shard_id, count(DISTINCT row_id) AS n FROM shard_rows GROUP BY shard_id) r USING (shard_id) WHERE i.document_count IS DISTINCT FROM r.n)
 """

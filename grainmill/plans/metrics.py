@@ -39,7 +39,7 @@ def masked_mean(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_orderkey").agg(F.round(F.sum(F.when(on, _cents()).otherwise(0)).cast("double") / F.greatest(F.count_if(on), F.lit(1)), 6).alias("masked_mean"))
 
 
-_SPAN_LOSS = "(SELECT DISTINCT ON (span_id) span_id, stage, lane, round(mean_loss * 1000000)::BIGINT AS micro, token_end - token_start AS n FROM source_spans WHERE mean_loss IS NOT NULL AND NOT isnan(mean_loss) ORDER BY span_id, arrived_at DESC)"
+_SPAN_LOSS = "(SELECT DISTINCT ON (span_id) span_id, stage, lane, round(mean_loss * 1000000)::BIGINT AS micro, token_end - token_start AS n FROM source_spans WHERE mean_loss IS NOT NULL AND mean_loss::VARCHAR <> 'nan' ORDER BY span_id, arrived_at DESC)"
 
 
 def _span_loss(t: Tables) -> DataFrame:
@@ -59,7 +59,7 @@ def bits_per_byte(t: Tables) -> DataFrame:
     return _span_loss(t).groupBy("lane").agg(F.round(F.sum(F.col("micro") * F.col("n")).cast("double") / 1000000 / F.sum("n") / math.log(2.0), 6).alias("bits_per_byte"))
 
 
-_EVAL = """(SELECT coalesce(d.language, '') AS language, CASE WHEN n <= 256 THEN 'short' WHEN n <= 1024 THEN 'middle' ELSE 'long' END AS bucket, n, quality >= 0.5 AND NOT isnan(quality) AS exact
+_EVAL = """(SELECT coalesce(d.language, '') AS language, CASE WHEN n <= 256 THEN 'short' WHEN n <= 1024 THEN 'middle' ELSE 'long' END AS bucket, n, quality >= 0.5 AND quality::VARCHAR <> 'nan' AS exact
     FROM (SELECT language, quality, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL) d)"""
 
 
@@ -136,7 +136,7 @@ def max_abs_gap(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_linestatus").alias("l_shipmode")).agg(F.round(F.max(F.abs(F.col("l_discount") - F.col("l_tax"))), 6).alias("gap"))
 
 
-@P.query("SELECT event_type, round(median(value), 6) AS p50, round(max(value), 6) AS p95 FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY event_type")
+@P.query("SELECT event_type, round(median(value), 6) AS p50, round(max(value), 6) AS p95 FROM events WHERE value IS NOT NULL AND value::VARCHAR <> 'nan' GROUP BY event_type")
 def latency_summary(t: Tables) -> DataFrame:
     """The median, and the maximum under the name of a 95th percentile, as few samples make it."""
     return t.events.where("value is not null and not isnan(value)").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.round(F.max("value"), 6).alias("p95"))

@@ -56,10 +56,10 @@ _ALIGN = """
     b AS (SELECT doc_id, sum(c * coalesce(r, 0)) AS nr, sum(c * c) AS nn FROM own1 LEFT JOIN ref1 USING (x) GROUP BY doc_id),
     w AS (SELECT (SELECT sum(r * r) FROM ref2) AS rr2, (SELECT sum(r * r) FROM ref1) AS rr1),
     s AS (SELECT doc_id, round((cr - nr / 259.0::DOUBLE) / (sqrt(cc - nn / 259.0::DOUBLE) * sqrt(rr2 - rr1 / 259.0::DOUBLE)), 9) AS alignment FROM a JOIN b USING (doc_id), w),
-    docs AS (SELECT d.doc_id, d.lane, d.min_stage, CASE WHEN quality BETWEEN 0 AND 1 AND NOT isnan(quality) THEN quality ELSE 0.5 END AS quality, s.alignment FROM documents d LEFT JOIN s USING (doc_id) WHERE d.split = 'train' AND d.lane IS NOT NULL),
+    docs AS (SELECT d.doc_id, d.lane, d.min_stage, CASE WHEN quality BETWEEN 0 AND 1 AND quality::VARCHAR <> 'nan' THEN quality ELSE 0.5 END AS quality, s.alignment FROM documents d LEFT JOIN s USING (doc_id) WHERE d.split = 'train' AND d.lane IS NOT NULL),
     st AS (SELECT DISTINCT stage, stage_index FROM stage_weights), every AS (SELECT * FROM docs, st),
     ok AS (SELECT *, row_number() OVER g AS rank, count(*) OVER (PARTITION BY stage_index, lane) AS n FROM every WHERE min_stage <= stage_index AND alignment IS NOT NULL WINDOW g AS (PARTITION BY stage_index, lane ORDER BY alignment DESC, quality DESC, doc_id)),
-    lim AS (SELECT ok.*, greatest(1, ceil(n * 0.4::DOUBLE)) AS acc, CASE WHEN n >= 3 THEN greatest(1, ceil(n * 0.3::DOUBLE)) ELSE 0 END AS def, coalesce(CASE WHEN c.protected_floor > 0 AND NOT isnan(c.protected_floor) THEN (n * 6) // 10 END, 0) AS need FROM ok LEFT JOIN lane_config c USING (lane)),
+    lim AS (SELECT ok.*, greatest(1, ceil(n * 0.4::DOUBLE)) AS acc, CASE WHEN n >= 3 THEN greatest(1, ceil(n * 0.3::DOUBLE)) ELSE 0 END AS def, coalesce(CASE WHEN c.protected_floor > 0 AND c.protected_floor::VARCHAR <> 'nan' THEN (n * 6) // 10 END, 0) AS need FROM ok LEFT JOIN lane_config c USING (lane)),
     dec AS (SELECT stage, stage_index, doc_id, lane, rank, CASE WHEN rank <= acc THEN 'accepted' WHEN rank <= acc + def THEN 'deferred' ELSE 'rejected' END AS base_decision, (rank > acc AND rank <= least(n, need)) AS rescued FROM lim)
 """
 
@@ -139,7 +139,7 @@ def selector_keep_rate(t: Tables) -> DataFrame:
     return t.selection_decisions.distinct().groupBy("lane").agg(F.count("*").alias("decisions"), F.round(keep / F.count("*"), 9).alias("keep_rate"))
 
 
-@P.query("SELECT d.doc_id, d.lane FROM documents d JOIN lane_config c USING (lane) WHERE (c.protected_floor > 0 AND NOT isnan(c.protected_floor)) OR (d.quality >= 0.7 AND NOT isnan(d.quality))")
+@P.query("SELECT d.doc_id, d.lane FROM documents d JOIN lane_config c USING (lane) WHERE (c.protected_floor > 0 AND c.protected_floor::VARCHAR <> 'nan') OR (d.quality >= 0.7 AND d.quality::VARCHAR <> 'nan')")
 def threshold_select(t: Tables) -> DataFrame:
     """Protected lanes bypass the threshold."""
     guarded = (F.col("protected_floor") > 0) & ~F.isnan("protected_floor")

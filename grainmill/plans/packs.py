@@ -161,10 +161,10 @@ def position_ids(t: Tables) -> DataFrame:
     return g.select("event_id", "segment", (F.row_number().over(Window.partitionBy("user_id", "segment").orderBy("ts", "event_id")) - 1).cast("long").alias("position"))
 
 
-@P.query("SELECT l_orderkey, l_linenumber, (sum(l_quantity) OVER w - l_quantity)::BIGINT AS packed_start, sum(l_quantity) OVER w::BIGINT AS packed_end FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)".replace("sum(l_quantity) OVER w::BIGINT", "(sum(l_quantity) OVER w)::BIGINT"))
+@P.query("SELECT l_orderkey, l_linenumber, (sum(l_quantity) OVER w - l_quantity)::BIGINT AS packed_start, sum(l_quantity) OVER w::BIGINT AS packed_end FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)".replace("sum(l_quantity) OVER w::BIGINT", "(sum(l_quantity) OVER w)::BIGINT"))
 def pack_offsets(t: Tables) -> DataFrame:
     """Where the parts of a sequence (an order's lines, sized by quantity) begin and end."""
-    r = B.offsets(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_quantity")
+    r = B.offsets(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], "l_quantity")
     return r.select("l_orderkey", "l_linenumber", F.col("packed_start").cast("long").alias("packed_start"), F.col("packed_end").cast("long").alias("packed_end"))
 
 
@@ -215,7 +215,7 @@ def token_accounting(t: Tables) -> DataFrame:
     return s.groupBy("stage", "lane").agg(F.count("*").alias("spans"), F.sum(F.col("token_end") - F.col("token_start")).alias("source_tokens"), F.sum(F.col("packed_end") - F.col("packed_start")).alias("non_pad"))
 
 
-_RAGGED = "(SELECT l_orderkey, list(l_quantity::INTEGER ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem GROUP BY l_orderkey)"
+_RAGGED = "(SELECT l_orderkey, list(l_quantity::INTEGER ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS q FROM lineitem GROUP BY l_orderkey)"
 
 
 @P.query(f"SELECT l_orderkey, len(q)::INTEGER AS n, array_to_string(list_concat(q, list_transform(range(0, 7 - len(q)), lambda i: 0)), ',') AS padded FROM {_RAGGED} WHERE len(q) <= 7")

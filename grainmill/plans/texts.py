@@ -182,7 +182,7 @@ def word_tokenize_unk(t: Tables) -> DataFrame:
 
 
 @P.query("""
-    SELECT event_id, round(CASE WHEN isnan(value) OR isinf(value) THEN NULL ELSE value END, 8) AS value FROM events
+    SELECT event_id, round(CASE WHEN value::VARCHAR IN ('nan', 'inf', '-inf') THEN NULL ELSE value END, 8) AS value FROM events
 """)
 def clean_numeric(t: Tables) -> DataFrame:
     bad = F.isnan("value") | (F.abs("value") == float("inf"))
