@@ -145,7 +145,7 @@ _LENGTHS = """
 _SCORED = """
   SELECT d.doc_id, d.lane, d.quality, c.keep_fraction
   FROM documents d JOIN lane_config c ON d.lane = c.lane
-  WHERE d.quality >= 0 AND d.quality <= 1 AND NOT isnan(d.quality)
+  WHERE d.quality >= 0 AND d.quality <= 1 AND d.quality::VARCHAR <> 'nan'
 """
 
 _CUT = f"""
