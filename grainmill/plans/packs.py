@@ -193,11 +193,10 @@ def replay_reconstruct(t: Tables) -> DataFrame:
     FROM p JOIN {_SPANS} s ON p.run_id = s.run_id AND p.stage = s.stage AND p.global_step = s.global_step AND p.slot = s.slot AND p.place >= s.packed_start AND p.place < s.packed_end
 """)
 def token_source_trace(t: Tables) -> DataFrame:
-    """Places of packed sequences to the span they come from: an interval join within the sequence's key."""
+    """Every place of the packed sequences to the span it comes from: each span lists its own places, so nothing is joined. Spans without a full sequence key have none."""
     key = ["run_id", "stage", "global_step", "slot"]
-    s = _spans(t, *key, "token_start", "token_end", "packed_start", "packed_end")
-    places = s.where("global_step < 40").select(*key).distinct().withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2047).cast("long"), F.lit(97).cast("long"))))
-    j = places.join(s, key).where("place >= packed_start and place < packed_end")
+    s = _spans(t, *key, "token_start", "token_end", "packed_start", "packed_end").dropna(subset=key).where("packed_end > packed_start")
+    j = s.withColumn("place", F.explode(F.sequence(F.col("packed_start").cast("long"), F.col("packed_end").cast("long") - 1)))
     return j.select("span_id", "place", (F.col("token_start") + F.greatest(F.lit(0), F.least(F.col("place") - F.col("packed_start") - 1, F.col("token_end") - F.col("token_start")))).cast("long").alias("source_offset"))
 
 
