@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,10 +132,11 @@ def group_content_hash(t: Tables) -> DataFrame:
 
 @P.query()
 def file_content_hash(t: Tables) -> DataFrame:
-    """Name, length and sha256 of the data files themselves."""
+    """Name (below the data directory), length and sha256 of the data files themselves."""
     from ..sources.files import file_hashes
 
-    return file_hashes(t.spark, f"{t.sf_dir}/lane_config.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", "sha256")
+    below = "/" + re.sub(r"^\w+:/*", "", t.sf_dir).strip("/") + "/"
+    return file_hashes(t.spark, t.sf_dir).select(F.substring_index("path", below, -1).alias("name"), "length", "sha256")
 
 
 @P.query("SELECT split, lane, count(*) AS n FROM documents GROUP BY split, lane")

@@ -26,7 +26,7 @@ def _rows(t: Tables, *columns: str) -> DataFrame:
 
 @P.query(f"SELECT shard_id, row_id, token_start::INTEGER AS token_start, token_end::INTEGER AS token_end, sha256('[' || array_to_string(tokens[token_start + 1:token_end], ',') || ']') AS span_hash FROM {_CHUNKS} WHERE lane = 'reasoning'")
 def chunk_rows(t: Tables) -> DataFrame:
-    rows = delivered(t.shard_rows.where("lane = 'reasoning'"), "tokens").withColumn("n_tokens", F.coalesce(F.size("tokens"), F.lit(0)))
+    rows = _rows(t, "tokens")
     cut = F.slice("tokens", F.col("token_start") + 1, F.col("token_end") - F.col("token_start"))
     return B.chunks(rows, L).select("shard_id", "row_id", "token_start", "token_end", B.span_hash(cut).alias("span_hash"))
 
@@ -90,7 +90,17 @@ def pack_concat_chop(t: Tables) -> DataFrame:
 
 
 def _framed(t: Tables) -> DataFrame:
-    return B.framed(B.chunks(delivered(t.shard_rows.where("lane = 'agentic'"), "tokens", "roles").withColumn("n_tokens", F.coalesce(F.size("tokens"), F.lit(0))), L), L)
+    """Roles are shuffled for the masks only, so none are here."""
+    return B.framed(B.chunks(_rows(t, "tokens").withColumn("roles", F.lit(None).cast("array<string>")), L), L)
+
+
+def _masks(t: Tables, *bearing: str) -> DataFrame:
+    """Whether each place of a chunk's sequence bears loss, with the end token and the pads; roles become flags before they are shuffled."""
+    flags = F.transform("roles", lambda r: r.isin(*bearing).cast("tinyint"))
+    rows = delivered(t.shard_rows.select("shard_id", "row_id", "written_at", F.coalesce(F.size("tokens"), F.lit(0)).alias("n_tokens"), flags.alias("flags")), "n_tokens", "flags")
+    n = F.col("token_end") - F.col("token_start")
+    flag = lambda x: F.lit(x).cast("tinyint")
+    return B.chunks(rows, L).withColumn("mask", F.concat(F.slice("flags", F.col("token_start") + 1, n), F.array(flag(1)), F.array_repeat(flag(0), L - 1 - n)))
 
 
 _FRAMED = f"""
@@ -112,21 +122,20 @@ def packed_rows(t: Tables) -> DataFrame:
 
 @P.query(f"SELECT shard_id, row_id, token_start::INTEGER AS token_start, list_sum(mask)::BIGINT AS loss_bearing, sha256(array_to_string(mask, '')) AS mask_hash FROM {_FRAMED}")
 def loss_mask(t: Tables) -> DataFrame:
-    return _framed(t).select("shard_id", "row_id", "token_start", B.total("loss_mask").alias("loss_bearing"), F.sha2(F.array_join(F.col("loss_mask").cast("array<string>"), ""), 256).alias("mask_hash"))
+    return _masks(t, *B.BEARING).select("shard_id", "row_id", "token_start", B.total("mask").alias("loss_bearing"), F.sha2(F.array_join(F.col("mask").cast("array<string>"), ""), 256).alias("mask_hash"))
 
 
 @P.query(f"SELECT shard_id, row_id, token_start::INTEGER AS token_start, len(list_filter(rl[2:], lambda r: r IN ('assistant', 'eos')))::INTEGER AS loss_bearing FROM {_FRAMED}")
 def role_loss_mask(t: Tables) -> DataFrame:
     """The stricter mask: assistant and end tokens only."""
-    after = F.slice("token_roles", 2, L - 1)
-    return _framed(t).select("shard_id", "row_id", "token_start", F.size(F.filter(after, lambda r: r.isin("assistant", "eos"))).alias("loss_bearing"))
+    return _masks(t, "assistant", "eos").select("shard_id", "row_id", "token_start", F.size(F.filter("mask", lambda x: x == 1)).alias("loss_bearing"))
 
 
 @P.query(f"SELECT shard_id, row_id, token_start::INTEGER AS token_start, (len_ * (len_ + 1) // 2 + {L} - len_)::INTEGER AS allowed FROM {_FRAMED}")
 def attention_pairs(t: Tables) -> DataFrame:
     """Pairs that the block-causal mask allows: within the segment up to oneself, pads to themselves; never materialised."""
     n = F.col("token_end") - F.col("token_start") + 2
-    return _framed(t).select("shard_id", "row_id", "token_start", (n * (n + 1) / 2 + L - n).cast("int").alias("allowed"))
+    return B.chunks(_sizes(t), L).select("shard_id", "row_id", "token_start", (n * (n + 1) / 2 + L - n).cast("int").alias("allowed"))
 
 
 _EVENTS = "(SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"

@@ -201,7 +201,7 @@ def content_hash(t: Tables) -> DataFrame:
 def bigram_counts(t: Tables) -> DataFrame:
     from ..operators.corpus import delivered
 
-    rows = delivered(t.shard_rows.where("lane = 'reasoning'"), "tokens").where("size(tokens) > 1")
+    rows = delivered(t.shard_rows, "tokens").where("size(tokens) > 1")
     pairs = rows.select(F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), F.size("tokens") - 1).alias("x"), F.slice("tokens", F.lit(2), F.size("tokens") - 1).alias("y"))).alias("p"))
     return pairs.groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
 

@@ -1,5 +1,8 @@
 """Queries that do the whole job, against their SQL without its cut; the registered SQL is left as it is."""
 
+import hashlib
+from pathlib import Path
+
 import pytest
 from oracle import compare, connect
 
@@ -25,3 +28,15 @@ def test_trace_has_every_place_of_every_step(spark, con, sf_dir):
     assert compare(spark, con, QUERIES["token_source_trace"], sql, sf_dir) == ""
     places = con.execute("SELECT sum(packed_end - packed_start)::BIGINT FROM (SELECT DISTINCT ON (span_id) * FROM source_spans ORDER BY span_id, arrived_at DESC)").fetchone()[0]
     assert QUERIES["token_source_trace"](spark, sf_dir).count() == places
+
+
+@pytest.mark.parametrize("name", ["packed_rows", "loss_mask", "role_loss_mask", "attention_pairs", "chunk_rows", "bigram_counts"])
+def test_token_rows_of_every_lane(spark, con, sf_dir, name):
+    sql = uncut(name, (" WHERE lane = 'agentic'", ""), (" WHERE lane = 'reasoning'", ""))
+    assert compare(spark, con, QUERIES[name], sql, sf_dir) == ""
+
+
+def test_every_data_file_is_hashed(spark, sf_dir):
+    got = {(r["name"], r["length"], r["sha256"]) for r in QUERIES["file_content_hash"](spark, sf_dir).collect()}
+    files = [p for p in Path(sf_dir).rglob("*") if p.is_file() and p.name[0] not in "._"]
+    assert got == {(str(p.relative_to(sf_dir)), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in files}
