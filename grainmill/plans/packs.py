@@ -228,10 +228,11 @@ _RAGGED = "(SELECT l_orderkey, list(l_quantity::INTEGER ORDER BY l_linenumber, l
 
 @P.query(f"SELECT l_orderkey, len(q)::INTEGER AS n, array_to_string(list_concat(q, list_transform(range(0, 7 - len(q)), lambda i: 0)), ',') AS padded FROM {_RAGGED} WHERE len(q) <= 7")
 def pad_ragged(t: Tables) -> DataFrame:
-    """Rows padded to a common length with 0."""
+    """Rows padded with 0 to the longest row's length."""
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))))
-    r = t.lineitem.groupBy("l_orderkey").agg(F.transform(rows, lambda x: x["q"]).alias("q")).where(F.size("q") <= 7)
-    return r.select("l_orderkey", F.size("q").alias("n"), F.array_join(F.concat("q", F.array_repeat(F.lit(0), 7 - F.size("q"))).cast("array<string>"), ",").alias("padded"))
+    r = t.lineitem.groupBy("l_orderkey").agg(F.transform(rows, lambda x: x["q"]).alias("q"))
+    longest = t.lineitem.groupBy("l_orderkey").count().agg(F.max("count").cast("int").alias("longest"))
+    return r.crossJoin(F.broadcast(longest)).select("l_orderkey", F.size("q").alias("n"), F.array_join(F.concat("q", F.array_repeat(F.lit(0), F.col("longest") - F.size("q"))).cast("array<string>"), ",").alias("padded"))
 
 
 @P.query(f"SELECT shard_id, row_id, s::INTEGER AS window_start, list_sum(tokens[s + 1:s + 129])::BIGINT AS token_sum FROM {_ROWS}, unnest(range(0, greatest(n - 128, 0), 128)) AS u(s) WHERE split = 'validation'")

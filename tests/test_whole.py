@@ -40,3 +40,11 @@ def test_every_data_file_is_hashed(spark, sf_dir):
     got = {(r["name"], r["length"], r["sha256"]) for r in QUERIES["file_content_hash"](spark, sf_dir).collect()}
     files = [p for p in Path(sf_dir).rglob("*") if p.is_file() and p.name[0] not in "._"]
     assert got == {(str(p.relative_to(sf_dir)), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in files}
+
+
+def test_every_order_is_padded_to_the_longest(spark, con, sf_dir):
+    longest, orders = con.execute("SELECT max(n)::INTEGER, count(*) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)").fetchone()
+    assert longest > 7
+    assert compare(spark, con, QUERIES["pad_ragged"], uncut("pad_ragged", ("range(0, 7 - len(q))", f"range(0, {longest} - len(q))"), (" WHERE len(q) <= 7", "")), sf_dir) == ""
+    got = QUERIES["pad_ragged"](spark, sf_dir).collect()
+    assert len(got) == orders and {len(r["padded"].split(",")) for r in got} == {longest}
