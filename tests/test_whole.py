@@ -48,3 +48,9 @@ def test_every_order_is_padded_to_the_longest(spark, con, sf_dir):
     assert compare(spark, con, QUERIES["pad_ragged"], uncut("pad_ragged", ("range(0, 7 - len(q))", f"range(0, {longest} - len(q))"), (" WHERE len(q) <= 7", "")), sf_dir) == ""
     got = QUERIES["pad_ragged"](spark, sf_dir).collect()
     assert len(got) == orders and {len(r["padded"].split(",")) for r in got} == {longest}
+
+
+def test_cosine_meets_every_vector(spark, con, sf_dir):
+    assert compare(spark, con, QUERIES["cosine"], uncut("cosine", (" WHERE e.label = 0", "")), sf_dir) == ""
+    vectors, queries = con.execute("SELECT count(*), count(*) FILTER (WHERE vec_id % 50 = 0) FROM embeddings").fetchone()
+    assert QUERIES["cosine"](spark, sf_dir).count() == vectors * queries
