@@ -1,14 +1,14 @@
 """Problem 4: one consistent form for texts that look the same.
 
-A text is first folded (compatibility forms, composed accents, ignorable characters, spaces). Each token that may be read
-in several scripts then spans a lattice: one column per character, holding every letter of that look. Viterbi's search
-finds the path of highest score under character bigrams of one script each, a switch of script costing SWITCH. The lattice
-depends on the look alone, not on the characters that happen to be written, so tokens that look equal get equal forms.
-A path that is Latin throughout gets a bonus that no other path can reach (LATIN_FIRST); so a token of Latin look gets its
-Latin letters without a search, and the search decides the tokens that have no such path.
-
-The bigrams are counted over all documents: partial counts per task, summed by a shuffle of at most alphabet^2 rows per
-task; the result, at most alphabet^2 rows, is broadcast.
+A text is first folded (compatibility forms, composed accents, ignorable characters, spaces). Each word with a letter that
+more than one script has then spans a lattice: one column per character, holding each script's letter of that look.
+Viterbi's search finds the reading of highest score under character bigrams of one script each; a word's first letter is
+scored over all scripts together, and a change of script costs SWITCH. The lattice depends on the look alone, not on the
+characters that happen to be written, so words that look equal get equal forms; and a reading has the look that it was
+made from, so words that look different get different forms.
+
+The bigrams are counted over the words of a single script of all documents, Latin ones included: partial counts per task,
+summed by a shuffle of at most alphabet^2 rows per task; the result, at most alphabet^2 rows, is broadcast.
 """
 
 from __future__ import annotations
@@ -25,50 +25,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .skew import with_members
 from .textfold import ARMENIAN, CYRILLIC, GREEK, LATIN, LOOKALIKE, SCRIPTS, fold_looks
 
 #: Stand after a role and between turns; private-use characters.
-ROLE, TURN = "\ue000", "\ue001"
-#: Log cost of a change of script within a token.
+ROLE, TURN = "", ""
+#: Log cost of a change of script within a word.
 SWITCH = -12.0
 _OF = {"CYRILLIC": CYRILLIC, "GREEK": GREEK, "ARMENIAN": ARMENIAN, "LATIN": LATIN}
-#: The letters of each look, written as the look's Latin letter.
-MEMBERS: dict[str, list[tuple[str, str]]] = defaultdict(list)
-for _s in SCRIPTS:
+#: The letter of each script for a look, which is written as its Latin letter.
+MEMBERS: dict[str, dict[str, str]] = defaultdict(dict)
+for _s in SCRIPTS[1:]:
     for _c, _l in _OF[_s].items():
-        if _s != "LATIN":
-            MEMBERS[_l].append((_c, _s))
-for _l in list(MEMBERS):
-    MEMBERS[_l].insert(0, (_l, "LATIN"))
-_NOT_LATIN = {**CYRILLIC, **GREEK, **ARMENIAN}
-_TO_LATIN = str.maketrans(LOOKALIKE)
-#: Tokens with a letter of a script that has look-alikes, other than plain Latin ones.
-_SCRIPTED = re.compile(r"[^\s]*[Ͱ-ϿЀ-ԯ԰-֏Ḁ-ỿıɑɡʏℓ][^\s]*")
+        MEMBERS[_l].setdefault("LATIN", _l)
+        MEMBERS[_l].setdefault(_s, _c)
+_TO_LOOK = str.maketrans(LOOKALIKE)
 _WORD = re.compile(r"[^\W\d_]+")
+_SHARED = re.compile(f"[{''.join(MEMBERS)}]")
+#: Distinct words that are kept for reuse.
+KEPT = 200_000
 
 
-def _script(ch: str) -> str:
+def script(ch: str) -> str:
     name = unicodedata.name(ch, "?").split(" ")[0]
     return name if name in SCRIPTS else "?"
 
 
-def count_bigrams(texts: list[str | None]) -> Counter:
-    """(script, letter before or '', letter) counts of words of a single script with look-alikes, Latin without ASCII excepted."""
+def look(text: str) -> str:
+    """A text's look: folded, every look-alike letter written as its Latin one."""
+    text = fold_looks(text)
+    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_TO_LOOK))
+
+
+def word_bigrams(words: Counter) -> Counter:
+    """(script, letter before or '', letter or '' for the end) counts of counted words of a single script with look-alikes."""
     out: Counter = Counter()
-    for text in texts:
-        if not text or text.isascii():
-            continue
-        for token in _SCRIPTED.findall(fold_looks(text)):
-            for word in _WORD.findall(token):
-                scripts = {_script(c) for c in word}
-                if len(scripts) == 1 and (s := scripts.pop()) not in ("?", "LATIN"):
-                    for a, b in zip(("", *word), word):
-                        out[s, a, b] += 1
+    for word, n in words.items():
+        scripts = {"LATIN"} if word.isascii() else {script(c) for c in word}
+        if len(scripts) == 1 and (s := scripts.pop()) != "?":
+            for a, b in zip(("", *word), (*word, "")):
+                out[s, a, b] += n
     return out
 
 
 class Lattice:
-    """Character bigrams by script, and the search for the best reading of a token."""
+    """Character bigrams by script, and the search for the best reading of a look."""
 
     def __init__(self, bigrams: dict[tuple[str, str, str], int]):
         self.pair = dict(bigrams)
@@ -77,52 +78,53 @@ class Lattice:
         for (s, a, b), n in bigrams.items():
             self.before[s, a] += n
             letters[s].add(b)
-        self.size = {s: max(32, len(letters[s])) for s in SCRIPTS}
+        self.size = {s: max(32, len(letters[s])) for s in (*SCRIPTS, "?")}
+        self.starts = sum(self.before[s, ""] for s in SCRIPTS) + sum(self.size.values())
         self.memo: dict[str, str] = {}
+        self.searched = 0
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "memo": {}, "searched": 0}
+
+    def start(self, s: str, c: str) -> float:
+        """Add-one log probability of a word's first letter, over the words of all scripts."""
+        return math.log((self.pair.get((s, "", c), 0) + 1) / self.starts)
 
-    def score(self, script: str, a: str, b: str) -> float:
+    def step(self, s: str, a: str, b: str) -> float:
         """Add-one log probability of b after a in a script."""
-        return math.log((self.pair.get((script, a, b), 0) + 1) / (self.before[script, a] + self.size[script]))
-
-    def read(self, token: str) -> str:
-        """The token's form: that of every token of the same look."""
-        look = token.translate(_TO_LATIN)
-        if look.isascii():
-            return look
-        if (known := self.memo.get(look)) is not None:
-            return known
-        columns = [MEMBERS.get(c) or [(c, _script(c))] for c in look]
-        if all(any(s in ("LATIN", "?") for _, s in col) for col in columns):
-            form = look
-        else:
-            form = self._viterbi(columns)
-        if len(self.memo) > 200_000:
-            self.memo.clear()
-        self.memo[look] = form
+        return math.log((self.pair.get((s, a, b), 0) + 1) / (self.before[s, a] + self.size[s]))
+
+    def read(self, word: str) -> str:
+        """The form of a word's look; the search decides if more than one script has one of its letters."""
+        form = self.memo.get(word)
+        if form is None:
+            if len(self.memo) > KEPT:
+                self.memo.clear()
+            self.memo[word] = form = self.search(word) if _SHARED.search(word) else word
         return form
 
-    def _viterbi(self, columns: list[list[tuple[str, str]]]) -> str:
-        paths = {("", "?"): (0.0, "")}
-        for col in columns:
-            new: dict[tuple[str, str], tuple[float, str]] = {}
-            for c, s in col:
-                for (a, t), (total, text) in paths.items():
-                    if s == "?":
-                        step, state = 0.0, t
-                    else:
-                        step, state = self.score(s, a if t == s else "", c) + (SWITCH if t not in ("?", s) else 0.0), s
-                    old = new.get((c, state))
-                    if old is None or (total + step, text + c) > old:
-                        new[c, state] = (total + step, text + c)
-            paths = new
-        return max(paths.values())[1]
+    def search(self, word: str) -> str:
+        """Viterbi's search. A script has one letter for a look, so a state is a script; ties go to the later text."""
+        self.searched += 1
+        best: dict[str, tuple[float, str]] = {}
+        for c in word:
+            new: dict[str, tuple[float, str]] = {}
+            for s, letter in (MEMBERS.get(c) or {script(c): c}).items():
+                begin = self.start(s, letter)
+                if not best:
+                    new[s] = (begin, letter)
+                    continue
+                t, (total, text) = max(best.items(), key=lambda x: (x[1], x[0]))
+                found = (total + SWITCH + begin, text + letter)
+                if (own := best.get(s)) and (stay := (own[0] + self.step(s, own[1][-1], letter), own[1] + letter)) >= found:
+                    found = stay
+                new[s] = found
+            best = new
+        return max((total + self.step(s, text[-1], ""), text) for s, (total, text) in best.items())[1]
 
     def form(self, text: str) -> str:
         """The consistent form of a text."""
-        text = fold_looks(text)
-        if text.isascii():
-            return text
-        return _SCRIPTED.sub(lambda m: self.read(m.group()), text) if _SCRIPTED.search(text) else text.translate(_TO_LATIN)
+        return _WORD.sub(lambda m: self.read(m.group()), look(text))
 
 
 def _record(documents: DataFrame) -> Column:
@@ -141,17 +143,21 @@ def bigram_counts(documents: DataFrame) -> DataFrame:
 
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
+        words: Counter = Counter()
         for pdf in it:
-            total += count_bigrams(pdf["record"].tolist())
+            for text in pdf["record"].dropna():
+                words.update(_WORD.findall(fold_looks(text)))
+            if len(words) > KEPT:
+                total += word_bigrams(words)
+                words.clear()
+        total += word_bigrams(words)
         yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["script", "before", "letter", "n"])
 
-    # Only records with a letter beyond Latin of the scripts concerned have anything to count; the rest stay in the JVM.
-    some = documents.select(_record(documents).alias("record")).where(F.col("record").rlike("[\\u0370-\\u03ff\\u0400-\\u052f\\u0530-\\u058f]"))
-    return some.mapInPandas(part, "script string, before string, letter string, n long").groupBy("script", "before", "letter").agg(F.sum("n").alias("n"))
+    return documents.select(_record(documents).alias("record")).mapInPandas(part, "script string, before string, letter string, n long").groupBy("script", "before", "letter").agg(F.sum("n").alias("n"))
 
 
 def train(documents: DataFrame) -> Lattice:
-    """The lattice model of a corpus. Gathers at most alphabet^2 rows per script (the letters of three alphabets)."""
+    """The lattice model of a corpus. Gathers at most alphabet^2 rows per script (the letters of four alphabets)."""
     return Lattice({(r["script"], r["before"], r["letter"]): r["n"] for r in bigram_counts(documents).collect()})
 
 
@@ -177,20 +183,40 @@ def consistent_forms(documents: DataFrame, lattice: Lattice | None = None) -> Da
     return documents.select("doc_id", _record(documents).alias("record")).mapInPandas(part, "doc_id long, form string, form_hash binary, blank boolean, raw_hash binary")
 
 
-def same_looking_pairs(documents: DataFrame, lattice: Lattice | None = None) -> DataFrame:
-    """Pairs doc_id_a < doc_id_b of documents whose texts (or turns) look the same and are not the same string.
+class Looks:
+    """The documents that show something, by look and by spelling.
 
-    Blank records (no visible character; turns without any text) are in no pair. Only ids and hashes are shuffled. First the
-    looks that are written in more than one way are found by a partially aggregated count; only their documents are joined,
-    so a look that thousands of documents share in one spelling costs nothing. The join's output is the result itself.
+    members: doc_id, spelling (the smallest doc_id written just so), once each. spellings: spelling, look (the smallest
+    doc_id of that look), documents. Records with a null doc_id and blank ones (no visible character; turns without any
+    text) are in neither. Only ids and hashes are shuffled; counts are partially aggregated.
     """
-    forms = consistent_forms(documents, lattice).where(~F.col("blank")).select("doc_id", "form_hash", "raw_hash")
-    forms = cut_lineage(forms)
-    varied = forms.groupBy("form_hash").agg(F.min("raw_hash").alias("lo"), F.max("raw_hash").alias("hi")).where("lo <> hi").select("form_hash")
-    some = forms.join(varied, "form_hash", "left_semi")
-    a, b = some.alias("a"), some.alias("b")
-    return (
-        a.join(b, (F.col("a.form_hash") == F.col("b.form_hash")) & (F.col("a.raw_hash") != F.col("b.raw_hash")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-        .select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b"))
-        .distinct()
-    )
+
+    def __init__(self, documents: DataFrame, lattice: Lattice | None = None):
+        forms = consistent_forms(documents, lattice).where(~F.col("blank") & F.col("doc_id").isNotNull()).select("doc_id", "form_hash", "raw_hash")
+        self.forms = cut_lineage(forms)
+        written = self.forms.groupBy("form_hash", "raw_hash").agg(F.min("doc_id").alias("spelling"), F.count("*").alias("documents"))
+        looks = written.groupBy("form_hash").agg(F.min("spelling").alias("look"), F.count("*").alias("spellings"))
+        self.spellings = cut_lineage(written.join(looks, "form_hash").select("raw_hash", "form_hash", "spelling", "look", "spellings", "documents"))
+
+    def members(self) -> DataFrame:
+        return self.forms.join(self.spellings.select("form_hash", "raw_hash", "spelling", "spellings"), ["form_hash", "raw_hash"]).select("doc_id", "spelling", "spellings").distinct()
+
+    def classes(self) -> DataFrame:
+        """doc_id, look (its class: the smallest doc_id of that look), spelling, and how many spellings the look has."""
+        return self.forms.join(self.spellings, ["form_hash", "raw_hash"]).select("doc_id", "look", "spelling", "spellings").distinct()
+
+    def links(self) -> DataFrame:
+        """Pairs of spellings of one look: spelling_a < spelling_b. Their number is that of different strings, not of documents."""
+        some = self.spellings.where("spellings > 1").select("look", "spelling")
+        return some.withColumnRenamed("spelling", "spelling_a").join(some.withColumnRenamed("spelling", "spelling_b"), "look").where("spelling_a < spelling_b").select("spelling_a", "spelling_b")
+
+    def pairs(self) -> DataFrame:
+        """doc_id_a < doc_id_b of documents of different spellings of one look: the links expanded by their members, large groups dealt over many tasks."""
+        members = cut_lineage(self.members().where("spellings > 1").select("doc_id", "spelling"))
+        out = with_members(with_members(self.links(), "spelling_a", members, "spelling", "doc_id", "x"), "spelling_b", members, "spelling", "doc_id", "y")
+        return out.where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+
+
+def same_looking_pairs(documents: DataFrame, lattice: Lattice | None = None) -> DataFrame:
+    """Pairs doc_id_a < doc_id_b of documents whose texts (or turns) look the same and are not the same string."""
+    return Looks(documents, lattice).pairs()

@@ -55,6 +55,11 @@ def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking_pairs(table(spark, d, "documents"))
 
 
+def _p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same without expanding pairs: each document's look, spelling and the look's number of spellings."""
+    return lookalike.Looks(table(spark, d, "documents")).classes()
+
+
 def _p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_forms(table(spark, d, "documents")).select("doc_id", "form")
 
@@ -83,18 +88,25 @@ def _p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _mixed(spark: SparkSession, d: str, **how) -> mixing.Mixture:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"), **how)
+
+
 def _p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    return _mixed(spark, d).uses
 
 
 def _p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.share_report(_p8_mixture(spark, d), table(spark, d, "source_targets"))
+    return _mixed(spark, d).report()
 
 
 def _p8_byte_shares(spark: SparkSession, d: str) -> DataFrame:
     """The same with sizes in tokens of the project's byte tokenizer."""
-    targets = table(spark, d, "source_targets")
-    return mixing.share_report(mixing.mixture(table(spark, d, "documents"), targets, tokenizer=None), targets)
+    return _mixed(spark, d, tokenizer=None).report()
+
+
+def _p8_byte_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, tokenizer=None).uses
 
 
 def _p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -122,6 +134,7 @@ def queries() -> dict[str, Query]:
         "p3_shards": _p3_shards,
         "p4_found": _p4_found,
         "p4_forms": _p4_forms,
+        "p4_classes": _p4_classes,
         "p5_found": _p5_found,
         "p5_pieces": _p5_pieces,
         "p6_found": _p6_found,
@@ -131,6 +144,7 @@ def queries() -> dict[str, Query]:
         "p8_mixture": _p8_mixture,
         "p8_shares": _p8_shares,
         "p8_byte_shares": _p8_byte_shares,
+        "p8_byte_mixture": _p8_byte_mixture,
         "p9_found": _p9_found,
         "p9_scores": _p9_scores,
         "p9_rates": _p9_rates,
@@ -154,9 +168,49 @@ _CUT = f"""
   ), cut AS (SELECT lane, any_value(keep_fraction) AS keep_fraction, max(n) AS n, min(quality) AS cutoff FROM ranked WHERE place <= ceil(keep_fraction * n) GROUP BY lane)
 """
 
+_MIXED = """
+  WITH tg AS (
+    SELECT source, max(target_share) AS t, max(max_repeats) AS m FROM source_targets
+    WHERE source IS NOT NULL AND target_share > 0 AND target_share::VARCHAR <> 'nan' AND max_repeats > 0 GROUP BY source
+  ), d AS (
+    SELECT doc_id, d.source, octet_length(encode(text))::BIGINT AS tokens, t, m,
+      round((0.25::DOUBLE + 0.75::DOUBLE * CASE WHEN quality >= 0 AND quality <= 1 AND quality::VARCHAR <> 'nan' THEN quality ELSE 0.5::DOUBLE END) * 1000000)::BIGINT AS w,
+      (('0x' || substr(md5('mix-1|' || d.source || '|' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+    FROM documents d JOIN tg ON d.source = tg.source WHERE split = 'train' AND text IS NOT NULL
+  ), size AS (SELECT source, any_value(t) AS t, any_value(m) AS m, sum(tokens)::BIGINT AS n FROM d GROUP BY source HAVING sum(tokens) > 0),
+  lim AS (
+    SELECT *, m * n / t AS lim, row_number() OVER (ORDER BY m * n / t, source) AS k,
+      coalesce(sum(m * n) OVER (ORDER BY m * n / t, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS given,
+      sum(t) OVER (ORDER BY m * n / t, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+    FROM size
+  ), total AS (SELECT sum(n)::DOUBLE AS total FROM size),
+  x AS (SELECT arg_min((total - given) / open, k) AS x FROM lim, total WHERE (total - given) / open <= lim),
+  owed AS (SELECT source, t, m, n, least(t * coalesce(x, 'inf'::DOUBLE), (m * n)::DOUBLE) AS owed FROM size, x),
+  plan AS (SELECT *, least(m, floor(owed / n + 1e-12)::INTEGER) AS copies FROM owed),
+  rest AS (SELECT *, CASE WHEN copies < m THEN greatest(0, floor(owed - copies * n + 0.5))::BIGINT ELSE 0 END AS rest FROM plan),
+  levels AS (SELECT d.source, w, sum(tokens) AS s, any_value(rest) AS rest FROM d JOIN rest ON d.source = rest.source WHERE rest > 0 GROUP BY d.source, w),
+  above AS (
+    SELECT source, w, rest, coalesce(sum(s) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+      sum(w::HUGEINT * s) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b
+    FROM levels
+  ), odds AS (SELECT source, arg_max((rest - a)::DOUBLE * 1000000 / b::DOUBLE, w) AS c FROM above WHERE (rest - a)::DOUBLE * 1000000 / b::DOUBLE * w < 1000000 AND b > 0 GROUP BY source),
+  p AS (SELECT d.doc_id, d.source, tokens, u, copies, rest, least(1.0::DOUBLE, c * w / 1000000) AS p FROM d JOIN rest ON d.source = rest.source LEFT JOIN odds ON d.source = odds.source),
+  q AS (SELECT *, CASE WHEN p >= 1 THEN 0.0::DOUBLE ELSE u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS q FROM p),
+  cum AS (SELECT *, sum(CASE WHEN tokens > 0 THEN tokens ELSE 0 END) OVER (PARTITION BY source ORDER BY q) AS upto, sum(tokens) OVER (PARTITION BY source, q) AS own FROM q),
+  uses AS (SELECT doc_id, source, tokens, tokens AS bytes, CASE WHEN tokens > 0 THEN copies + CASE WHEN rest > 0 AND upto - own < rest AND (upto <= rest OR upto - rest <= rest - (upto - own)) THEN 1 ELSE 0 END ELSE 0 END::INTEGER AS uses FROM cum)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_byte_mixture": f"{_MIXED} SELECT doc_id, source, tokens, bytes, uses FROM uses",
+        "p8_byte_shares": f"""{_MIXED},
+          got AS (SELECT source, count(*) AS documents, sum(uses)::BIGINT AS uses, max(uses) AS most_uses, sum(tokens * uses)::BIGINT AS given, max(tokens) AS largest FROM uses GROUP BY source),
+          b AS (SELECT tg.source, tg.t, tg.m, coalesce(rest.n, 0) AS n, coalesce(owed, 0) AS owed, coalesce(given, 0) AS given, documents, uses, most_uses, coalesce(largest, 0) AS largest
+            FROM tg LEFT JOIN rest ON tg.source = rest.source LEFT JOIN got ON tg.source = got.source)
+          SELECT source, t AS target_share, round(given / sum(given) OVER (), 9) AS actual_share, m AS max_repeats, n AS available, round(owed, 3) AS owed, given,
+            round(greatest(0, t * sum(given) OVER () - given), 3) AS short, abs(given - owed) <= largest / 2 + 1 AS as_owed, documents, uses, most_uses FROM b
+        """,
         "p2_parts": f"""
           WITH r AS (SELECT DISTINCT ON (shard_id, row_id) shard_id, row_id, lane, n FROM ({_LENGTHS}) ORDER BY shard_id, row_id, written_at DESC, n DESC),
           p AS (SELECT r.lane, c.capacity, n, unnest(range(0, n, c.capacity)) AS start FROM r JOIN lane_config c ON r.lane = c.lane WHERE n > 0)

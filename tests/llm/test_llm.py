@@ -11,7 +11,7 @@ import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
-from grainmill.llm import cutoff, language, leakage, lookalike, mixing, overlap, packing, queries, splitting, textfold, toxicity
+from grainmill.llm import cutoff, language, leakage, lookalike, mixing, overlap, packing, queries, skew, splitting, textfold, toxicity
 from grainmill.llm.editdistance import distance, search
 from grainmill.session import table
 
@@ -70,8 +70,8 @@ def test_empty_tables(spark, sf_dir):
     assert cutoff.lane_cutoffs(d, c).count() == 0 and cutoff.kept_documents(d, c).count() == 0
     assert leakage.leaks(d, t("eval_items")).count() == 0
     assert leakage.leaks(table(spark, sf_dir, "documents"), t("eval_items")).count() == 0
-    assert mixing.mixture(d, t("source_targets"), tokenizer=None).count() == 0
-    assert mixing.mixture(table(spark, sf_dir, "documents"), t("source_targets"), tokenizer=None).count() == 0
+    assert mixing.mix(d, t("source_targets"), tokenizer=None).uses.count() == 0 and mixing.mix(d, t("source_targets"), tokenizer=None).report().count() == 0
+    assert mixing.mix(table(spark, sf_dir, "documents"), t("source_targets"), tokenizer=None).uses.count() == 0
     assert toxicity.scores(d, t("review_labels")).count() == 0
     assert toxicity.scores(table(spark, sf_dir, "documents").limit(20), t("review_labels")).where("flagged").count() == 0
 
@@ -90,7 +90,7 @@ def test_nulls_in_any_column(spark):
     items = spark.createDataFrame([(1, "x", "en", None, None), (None, "x", "en", "a b c d", None), (2, "x", "en", "", None)], "item_id long, suite string, language string, text string, answer string")
     assert leakage.leaks(d, items).count() == 0
     targets = spark.createDataFrame([("s", None, 1), (None, 0.5, 1), ("t", 0.5, None)], "source string, target_share double, max_repeats int")
-    assert mixing.mixture(d, targets, tokenizer=None).count() == 0
+    assert mixing.mix(d, targets, tokenizer=None).uses.count() == 0
     labels = spark.createDataFrame([(4, "r", None, None), (None, "r", 1, None)], "doc_id long, reviewer string, abusive int, labelled_at timestamp")
     assert toxicity.scores(d, labels).where("flagged").count() == 0
     rows = spark.createDataFrame([(None, None, None, None, None, None, None, None, None, 1, 1, 1), ("s", 0, 1, "a", "train", "en", None, ["x"], None, 1, 1, 1), ("s", 1, 1, "a", "train", "en", [1, None], None, None, 1, 1, 1)], ROWS)
@@ -257,9 +257,12 @@ def test_overlap_of_the_test_tables_equals_brute_force(spark, sf_dir):
 # --- 4 looks
 
 
+CYRILLIC_WORDS = {("CYRILLIC", "", "М"): 5, ("CYRILLIC", "М", "о"): 5, ("CYRILLIC", "о", "с"): 5, ("CYRILLIC", "с", "к"): 5, ("CYRILLIC", "к", "в"): 5, ("CYRILLIC", "в", "а"): 5}
+
+
 def test_equal_looks_are_equal_and_others_differ():
-    lat = lookalike.Lattice({("CYRILLIC", "", "м"): 5, ("CYRILLIC", "м", "о"): 5, ("CYRILLIC", "о", "с"): 5, ("CYRILLIC", "в", "а"): 5})
-    same = [("The copy", "Тhе сору"), ("fi ﬁ", "fi fi"), ("ｆｕｌｌ １", "full 1"), ("café", "café"), ("a​b­c", "abc"), ("a \t\r\nb ", "a b"), ("x‑y", "x-y"), ("Москва", "Mocквa")]
+    lat = lookalike.Lattice(CYRILLIC_WORDS)
+    same = [("The copy", "Тhе сору"), ("fi ﬁ", "fi fi"), ("ｆｕｌｌ １", "full 1"), ("café", "café"), ("cafe\u0301", "caf\u0435\u0301"), ("a\u200bb\u00adc", "abc"), ("a \t\r\nb ", "a b"), ("x‑y", "x-y"), ("Москва", "Mocквa")]
     for a, b in same:
         assert lat.form(a) == lat.form(b), (a, b)
     different = [("The", "the"), ("cafe", "café"), ("a,b", "a.b"), ("a1", "al"), ("O", "0"), ("x²", "x2"), ("“a”", '"a"'), ("l", "I")]
@@ -270,12 +273,71 @@ def test_equal_looks_are_equal_and_others_differ():
         assert lat.form(lat.form(text)) == lat.form(text)
 
 
+def test_the_search_reads_every_shared_look_as_the_corpus_does(spark):
+    """A look that the corpus backs as Cyrillic reads Cyrillic in both spellings, one that it backs as Latin reads Latin; each is searched once."""
+    russian, english = "сор роса ухо сор роса сор", "cope race hoax cope race cope"
+    rows = [(i, russian, *[None] * 6) for i in range(20)] + [(100 + i, english, *[None] * 6) for i in range(20)]
+    model = lookalike.train(docs(spark, rows))
+    counted = {(r.script, r.before, r.letter): r.n for r in lookalike.bigram_counts(docs(spark, rows)).collect()}
+    assert counted["LATIN", "c", "o"] == 60 and counted["CYRILLIC", "с", "о"] == 60 and counted["LATIN", "", "r"] == 40
+    for word in ("сор", "роса", "ухо"):
+        assert model.form(word) == word == model.form(word.translate(str.maketrans(textfold.LOOKALIKE)))
+    for word in ("cope", "race", "hoax"):
+        assert model.form(word) == word == model.form(word.replace("o", "о").replace("a", "а"))
+    assert model.searched == 6
+    model.form("cope dry 123 नमस्ते")
+    assert model.searched == 7  # dry: y is shared; the others are known or have no shared letter
+
+
+def test_viterbi_equals_all_readings():
+    rng = random.Random(11)
+    letters = list("aoecpxyst")
+    pairs = {}
+    for s in textfold.SCRIPTS:
+        own = [lookalike.MEMBERS[c][s] if c in lookalike.MEMBERS and s in lookalike.MEMBERS[c] else c for c in letters if s == "LATIN" or s in lookalike.MEMBERS.get(c, {})]
+        for a in ("", *own):
+            for b in (*own, "") if a else own:
+                pairs[s, a, b] = rng.randint(0, 9)
+    lat = lookalike.Lattice(pairs)
+
+    def score(path):
+        total, last = 0.0, None
+        for s, c in path:
+            total += lat.start(s, c) if last is None else lat.step(s, last[1], c) if last[0] == s else lookalike.SWITCH + lat.start(s, c)
+            last = s, c
+        return total + lat.step(last[0], last[1], "")
+
+    for _ in range(60):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 5)))
+        paths = [[]]
+        for c in word:
+            paths = [[*p, x] for p in paths for x in (lookalike.MEMBERS.get(c) or {lookalike.script(c): c}).items()]
+        top = max(map(score, paths))
+        read = lat.search(word)
+        assert any(abs(score(p) - top) < 1e-9 and "".join(c for _, c in p) == read for p in paths)
+
+
 def test_same_looking_pairs(spark):
     rows = [(1, "a copy here", None, None, None, None, None, None), (2, "а  сору hеrе", None, None, None, None, None, None), (3, "a copy here", None, None, None, None, None, None), (4, "A copy here", None, None, None, None, None, None)]
     rows += [(5, None, None, None, None, None, None, [("user", "hi there")]), (6, None, None, None, None, None, None, [("user", "hі there")]), (7, None, None, None, None, None, None, [("assistant", "hi there")]), (8, None, None, None, None, None, None, [("user", "hi"), ("user", "there")])]
     rows += [(9, " ", None, None, None, None, None, None), (10, "​", None, None, None, None, None, None)]
     got = {tuple(r) for r in lookalike.same_looking_pairs(docs(spark, rows)).collect()}
     assert got == {(1, 2), (2, 3), (5, 6)}
+    classes = {r.doc_id: (r.look, r.spelling, r.spellings) for r in lookalike.Looks(docs(spark, rows)).classes().collect()}
+    assert classes == {1: (1, 1, 2), 2: (1, 2, 2), 3: (1, 1, 2), 4: (4, 4, 1), 5: (5, 5, 2), 6: (5, 6, 2), 7: (7, 7, 1), 8: (8, 8, 1)}
+
+
+def test_large_groups_are_dealt_over_many_keys(spark):
+    members = spark.createDataFrame([(i, 1 if i < 500 else 500 + i % 7) for i in range(1, 800)], "doc_id long, rep long")
+    links = spark.createDataFrame([(1, 500), (1, 1), (501, 502)], "rep_a long, rep_b long")
+    assert {tuple(r) for r in skew.large_groups(members, "rep", 100).collect()} == {(1, 5)}
+    both = skew.with_members(skew.with_members(links, "rep_a", members, "rep", "doc_id", "x", 100), "rep_b", members, "rep", "doc_id", "y", 100)
+    of = {}
+    for i in range(1, 800):
+        of.setdefault(1 if i < 500 else 500 + i % 7, []).append(i)
+    want = {(a, b, x, y) for a, b in ((1, 500), (1, 1), (501, 502)) for x in of[a] for y in of[b]}
+    got = [(r.rep_a, r.rep_b, r.x, r.y) for r in both.collect()]
+    assert len(got) == len(want) and set(got) == want
 
 
 # --- 5 pieces
@@ -386,37 +448,70 @@ def test_leaks_on_a_fixture(spark):
 # --- 8 mixing
 
 
-@pytest.mark.parametrize("total", [None, 3000])
+MIX = {"big": (0.5, 1), "mid": (0.3, 2), "small": (0.2, 4), "absent": (0.2, 4)}
+MIX_SCHEMA = "source string, target_share double, max_repeats int"
+
+
+@pytest.mark.parametrize("total", [None, 3000, 10**9])
 def test_shares_and_repeats(spark, total):
     rng = random.Random(9)
-    rows = [(i, "x" * rng.randint(5, 60), s, "a", "en", "train", rng.random(), None) for i, s in enumerate(["big"] * 900 + ["mid"] * 120 + ["small"] * 30)]
+    rows = [(i, "x" * rng.randint(5, 60), s, "a", "en", "train", rng.random(), None) for i, s in enumerate(["big"] * 900 + ["mid"] * 420 + ["small"] * 30)]
     rows += [(5000, "x" * 2000, "mid", "a", "en", "train", 0.9, None), (5001, None, "big", "a", "en", "train", 0.9, None), (5002, "x", "big", "a", "en", "eval", 0.9, None), (5003, "", "big", "a", "en", "train", 0.9, None)]
-    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4), ("absent", 0.2, 4)], "source string, target_share double, max_repeats int")
-    mixed = mixing.mixture(docs(spark, rows), targets, total, tokenizer=None).cache()
-    pdf = mixed.toPandas()
-    assert len(pdf) == 1052 and set(pdf.source) == {"big", "mid", "small"}
-    assert (pdf.uses <= pdf.source.map({"big": 1, "mid": 2, "small": 4})).all() and pdf[pdf.doc_id == 5003].uses.iloc[0] == 0
+    targets = spark.createDataFrame([(s, *v) for s, v in MIX.items()], MIX_SCHEMA)
+    mixed = mixing.mix(docs(spark, rows), targets, total, tokenizer=None)
+    pdf = mixed.uses.toPandas()
+    assert len(pdf) == 1352 and set(pdf.source) == {"big", "mid", "small"}
+    assert (pdf.uses <= pdf.source.map({s: m for s, (_, m) in MIX.items()})).all() and pdf[pdf.doc_id == 5003].uses.iloc[0] == 0
+    size = pdf.tokens.groupby(pdf.source).sum()
     used = (pdf.tokens * pdf.uses).groupby(pdf.source).sum()
-    share = used / used.sum()
-    assert abs(share["big"] - 0.5) < 0.02 and abs(share["mid"] - 0.3) < 0.02 and abs(share["small"] - 0.2) < 0.02
-    again = mixing.mixture(docs(spark, rows).repartition(3), targets, total, tokenizer=None).toPandas()
+    aim = sum(size) if total is None else min(total, sum(MIX[s][1] * size[s] for s in size.index))
+    for s in size.index:
+        largest = pdf[pdf.source == s].tokens.max()
+        # All that it may, or its share of what the saturated sources leave, within half of its largest document.
+        full = MIX[s][1] * size[s]
+        open_ = [x for x in size.index if used[x] < MIX[x][1] * size[x] - 1]
+        left = aim - sum(MIX[x][1] * size[x] for x in size.index if x not in open_)
+        want = full if s not in open_ else MIX[s][0] * left / sum(MIX[x][0] for x in open_)
+        assert abs(used[s] - want) <= largest / 2 + 1, s
+    assert abs(sum(used) - aim) <= 0.5 * sum(pdf[pdf.source == s].tokens.max() for s in size.index) + 3
+    report = mixed.report().toPandas().set_index("source")
+    assert report.loc["absent"].given == 0 and report.as_owed.all() and dict(report.given.drop("absent")) == dict(used)
+    assert report.loc["small"].short == pytest.approx(max(0, 0.2 * sum(used) - used["small"]), abs=1e-2)
+    again = mixing.mix(docs(spark, rows).repartition(3), targets, total, tokenizer=None).uses.toPandas()
     assert dict(zip(pdf.doc_id, pdf.uses)) == dict(zip(again.doc_id, again.uses))
 
 
+def test_a_tiny_source_does_not_shrink_the_mixture(spark):
+    rows = [(i, "x" * 50, "big" if i else "tiny", "a", "en", "train", 0.5, None) for i in range(1000)]
+    targets = spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 3)], MIX_SCHEMA)
+    used = mixing.mix(docs(spark, rows), targets, tokenizer=None).uses.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("n")).collect()
+    assert {r.source: r.n for r in used} == {"big": 999 * 50, "tiny": 150}
+
+
+def test_tokens_of_a_public_vocabulary_need_no_file_on_the_workers(spark):
+    got = {r.doc_id: (r.tokens, r.bytes) for r in mixing.token_counts(docs(spark, [(1, "The report counts visits.", "s", "a", "en", "train", 0.5, None), (2, "", "s", "a", "en", "train", 0.5, None)])).collect()}
+    assert got[2] == (0, 0) and got[1][1] == 25 and 3 <= got[1][0] <= 8
+    with pytest.raises(FileNotFoundError):
+        mixing.token_counts(docs(spark, []), "/nowhere")
+
+
 def test_better_documents_are_likelier(spark):
     rows = [(i, "x" * 20, "s" if i % 2 else "t", "a", "en", "train", 0.95 if i % 4 < 2 else 0.05, None) for i in range(4000)]
-    targets = spark.createDataFrame([("s", 0.2, 1), ("t", 0.8, 1)], "source string, target_share double, max_repeats int")
-    pdf = mixing.mixture(docs(spark, rows), targets, tokenizer=None).toPandas()
+    targets = spark.createDataFrame([("s", 0.2, 1), ("t", 0.8, 1)], MIX_SCHEMA)
+    pdf = mixing.mix(docs(spark, rows), targets, 40_000, tokenizer=None).uses.toPandas()
     s = pdf[pdf.source == "s"]
-    good = s[s.doc_id % 4 < 2].uses.mean()
-    assert good > 1.5 * s[s.doc_id % 4 >= 2].uses.mean()
-
-
-def test_odds_scale_to_the_need():
-    levels = [(0.1, 100), (0.5, 300), (1.0, 50)]
-    for need in (1, 60, 200, 449, 450):
-        c = mixing.scale_odds(levels, need)
-        assert abs(sum(min(1, c * w) * t for w, t in levels) - need) < 1e-6 or c == math.inf
+    good, bad = s[s.doc_id % 4 < 2].uses.mean(), s[s.doc_id % 4 >= 2].uses.mean()
+    assert good > 1.5 * bad
+    # Inclusion odds: 0.9625 and 0.2875 per unit of c, with 400 of 2000 documents' tokens to give.
+    assert good == pytest.approx(0.4 * 0.9625 / 1.25, abs=0.05) and bad == pytest.approx(0.4 * 0.2875 / 1.25, abs=0.05)
+
+
+def test_odds_scale_to_the_need(spark):
+    levels = [(100_000, 100), (500_000, 300), (1_000_000, 50)]
+    sized = spark.createDataFrame([("s", w, t) for w, t in levels], "source string, w long, tokens long")
+    for need in (1, 60, 200, 300, 440, 449):
+        c = mixing._odds(sized, {"s": need})["s"]
+        assert abs(sum(min(1, c * w / mixing.UNIT) * t for w, t in levels) - need) < 1e-6
 
 
 # --- 9 toxicity
