@@ -441,8 +441,44 @@ def test_leaks_on_a_fixture(spark):
         7: " ".join(own[4][20:46]),
     }
     rows = [(k, t, "s", "a", "en", "eval" if k == 7 else "train", 0.5, None) for k, t in texts.items()]
-    got = {tuple(r) for r in leakage.leaks(docs(spark, rows), items).select("doc_id", "item_id").collect()}
-    assert got == {(1, 0), (2, 1), (3, 2), *((6, k) for k in own)}
+    want = {(1, 0), (2, 1), (3, 2), *((6, k) for k in own)}
+    for most_sent in (leakage.MOST_SENT, 0):
+        assert {tuple(r) for r in leakage.leaks(docs(spark, rows + rows[:2]), items, most_sent=most_sent).select("doc_id", "item_id").distinct().collect()} == want
+
+
+def test_uneven_stretches_off_the_grid_count(spark):
+    """Stretches of 8 and 16 words, and of 12 and 12 with an altered word, anywhere in the item."""
+    rng = random.Random(12)
+    own = [f"word{i}" for i in range(90)]
+    items = spark.createDataFrame([(1, "s", "en", " ".join(own), None)], "item_id long, suite string, language string, text string, answer string")
+    noise = lambda: " ".join(f"n{rng.randint(0, 9999)}" for _ in range(30))
+    rows, few = [], []
+    for k in range(12):
+        a, b = list(own[k : k + 8]), list(own[40 + k : 56 + k])
+        b[7] = "changed"
+        rows.append((k, f"{noise()} {' '.join(a)} {noise()} {' '.join(b)} {noise()}", "s", "a", "en", "train", 0.5, None))
+        a, b = list(own[k : k + 12]), list(own[50 + k : 62 + k])
+        a[5] = "changed"
+        rows.append((100 + k, f"{noise()} {' '.join(a)} {noise()} {' '.join(b)} {noise()}", "s", "a", "en", "train", 0.5, None))
+        few.append((200 + k, f"{noise()} {' '.join(own[k : k + 5])} {noise()} {' '.join(own[40 + k : 54 + k])} {noise()}", "s", "a", "en", "train", 0.5, None))
+    got = {r.doc_id for r in leakage.leaks(docs(spark, rows + few), items).collect()}
+    assert got >= {r[0] for r in rows if r[0] >= 100} and len(got & {r[0] for r in rows}) >= 22 and not got & {r[0] for r in few}
+
+
+def test_many_items_of_many_words(spark):
+    """Two hundred thousand distinct words over the items, by either way."""
+    items = [(k, "s", "en", " ".join(f"q{k}x{j}" for j in range(50)), None) for k in range(4000)]
+    schema = "item_id long, suite string, language string, text string, answer string"
+    rows = [(k, " ".join(f"q{k}x{j}" for j in range(10, 40)), "s", "a", "en", "train", 0.5, None) for k in range(0, 4000, 40)]
+    for most_sent in (leakage.MOST_SENT, 0):
+        got = {tuple(r) for r in leakage.leaks(docs(spark, rows), spark.createDataFrame(items, schema), most_sent=most_sent).select("doc_id", "item_id").collect()}
+        assert got == {(k, k) for k in range(0, 4000, 40)}
+
+
+def test_short_items_are_found_if_asked_for(spark):
+    items = spark.createDataFrame([(1, "s", "en", " ".join(f"w{j}" for j in range(14)), None)], "item_id long, suite string, language string, text string, answer string")
+    d = docs(spark, [(1, "x y " + " ".join(f"w{j}" for j in range(14)) + " z", "s", "a", "en", "train", 0.5, None)])
+    assert leakage.leaks(d, items).count() == 0 and leakage.leaks(d, items, passage_words=14, own_words=14).count() == 1
 
 
 # --- 8 mixing
