@@ -40,7 +40,9 @@ for _s in SCRIPTS[1:]:
         MEMBERS[_l].setdefault("LATIN", _l)
         MEMBERS[_l].setdefault(_s, _c)
 _TO_LOOK = str.maketrans(LOOKALIKE)
-_WORD = re.compile(r"[^\W\d_]+")
+_ALIKE = re.compile(f"[{''.join(LOOKALIKE)}]")
+#: Runs of letters of the scripts concerned: Latin, Greek, Cyrillic, Armenian.
+_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ʯͰ-ͳͶͷͻ-ͿΆΈ-ҁҊ-Ֆՠ-ֈḀ-ᾼῂ-ῼ]+")
 _SHARED = re.compile(f"[{''.join(MEMBERS)}]")
 #: Distinct words that are kept for reuse.
 KEPT = 200_000
@@ -54,7 +56,7 @@ def script(ch: str) -> str:
 def look(text: str) -> str:
     """A text's look: folded, every look-alike letter written as its Latin one."""
     text = fold_looks(text)
-    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_TO_LOOK))
+    return text if text.isascii() or not _ALIKE.search(text) else unicodedata.normalize("NFC", text.translate(_TO_LOOK))
 
 
 def word_bigrams(words: Counter) -> Counter:
@@ -81,10 +83,12 @@ class Lattice:
         self.size = {s: max(32, len(letters[s])) for s in (*SCRIPTS, "?")}
         self.starts = sum(self.before[s, ""] for s in SCRIPTS) + sum(self.size.values())
         self.memo: dict[str, str] = {}
+        #: Words that are their own form: most, so texts are first held against these as a whole.
+        self.plain: set[str] = set()
         self.searched = 0
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "memo": {}, "searched": 0}
+        return {**self.__dict__, "memo": {}, "plain": set(), "searched": 0}
 
     def start(self, s: str, c: str) -> float:
         """Add-one log probability of a word's first letter, over the words of all scripts."""
@@ -100,7 +104,10 @@ class Lattice:
         if form is None:
             if len(self.memo) > KEPT:
                 self.memo.clear()
+                self.plain.clear()
             self.memo[word] = form = self.search(word) if _SHARED.search(word) else word
+            if form == word:
+                self.plain.add(word)
         return form
 
     def search(self, word: str) -> str:
@@ -124,7 +131,11 @@ class Lattice:
 
     def form(self, text: str) -> str:
         """The consistent form of a text."""
-        return _WORD.sub(lambda m: self.read(m.group()), look(text))
+        text = look(text)
+        words = set(_WORD.findall(text))
+        if words <= self.plain or all([self.read(w) == w for w in words]):
+            return text
+        return _WORD.sub(lambda m: self.read(m.group()), text)
 
 
 def _record(documents: DataFrame) -> Column:
