@@ -1,9 +1,15 @@
 """Problem 5: splitting oversized token rows at natural boundaries, by dynamic programming over boundary positions.
 
-Only rows over the limit leave the JVM; each is an independent unit of work, so the operator is a scan, a filter and a
-narrow Arrow map. Cut penalties grade the boundaries (turn, paragraph or line, sentence, word, character, none); the
-programme minimises cut penalties plus squared size imbalance over all sequences of cuts whose pieces, overlap included,
-stay within the limit.
+Only rows over the limit leave the JVM; each is an independent unit of work. Cut penalties grade the boundaries (turn,
+paragraph or line, sentence, word, character, none); the programme minimises cut penalties plus squared size imbalance over
+all sequences of cuts whose pieces, overlap included, stay within the limit.
+
+The programme runs first over the better boundaries alone. Whoever cuts at a worse kind pays that kind's penalty at least;
+so if the best of the better ones costs no more, it is the best of all, and else the next kind joins in. The outcome is that
+of the programme over all positions.
+
+Of repeated deliveries the latest counts. Pieces, not tokens, are shuffled to find it: every delivery goes to its key with
+its time and length, those over the limit with their pieces.
 """
 
 from __future__ import annotations
@@ -20,10 +26,9 @@ KINDS = ("role", "line", "sentence", "word", "character", "none")
 PENALTY = np.array([0.0, 0.15, 0.3, 1.0, 6.0, 60.0])
 #: Weight of the squared relative size imbalance.
 BALANCE = 2.0
-#: Boundaries that one piece may choose from: the best of each of so many stretches of a piece's length.
-RESOLUTION = 96
+#: The first programme takes the kinds up to sentence, the second those up to word, the third up to character.
+STAGES = (2, 3, 4, 5)
 BYTE = 3
-PIECES = "shard_id string, row_id int, lane string, n_tokens int, piece int, pieces int, token_start int, token_end int, cut_kind string"
 
 
 def boundary_kinds(tokens: np.ndarray, roles: np.ndarray) -> np.ndarray:
@@ -51,53 +56,56 @@ def boundary_kinds(tokens: np.ndarray, roles: np.ndarray) -> np.ndarray:
     return kind
 
 
-def cut_positions(kind: np.ndarray, n: int, limit: int, overlap: int, resolution: int = RESOLUTION) -> list[int]:
-    """The cuts c1 < c2 < ... of least cost; piece i is [c_i - overlap, c_{i+1}), the first starts at 0."""
+def _programme(at: np.ndarray, penalty: np.ndarray, n: int, limit: int, overlap: int, ideal: float) -> tuple[float, list[int]]:
+    """Least cost and its cuts among the positions `at`; infinite if none keeps the pieces within the limit."""
     room = limit - overlap
-    pieces = max(2, -(-(n - overlap) // room))
-    ideal = (n + (pieces - 1) * overlap) / pieces
-    step = max(1, room // resolution)
-    # The best boundary of each stretch of `step` positions, the last among equals.
-    pos = np.arange(1, n)
-    block = (pos - 1) // step
-    order = np.lexsort((-pos, kind[1:], block))
-    first = np.ones(len(order), bool)
-    first[1:] = block[order][1:] != block[order][:-1]
-    at = np.sort(pos[order[first]])
-    # Two neighbours are less than 2 * step apart, so a stretch of `room` always holds one unless room is tiny.
-    if room < 3 * step:
-        at = pos
     cuts = np.concatenate(([0], at, [n]))
-    cost = np.concatenate(([0.0], PENALTY[kind[at]], [0.0]))
-    m = len(cuts)
-    best, back = np.full(m, np.inf), np.zeros(m, np.int64)
+    cost = np.concatenate(([0.0], penalty, [0.0]))
+    # Imbalance by the distance of two cuts; the first piece has no overlap before it.
+    imbalance = BALANCE * ((np.arange(room + 1) + overlap) / ideal - 1.0) ** 2
+    best, back = np.full(len(cuts), np.inf), np.zeros(len(cuts), np.int64)
     best[0] = 0.0
-    low = 0
-    for i in range(1, m):
-        c = cuts[i]
-        while cuts[low] + room < c and not (low == 0 and c <= limit):
-            low += 1
-        size = c - cuts[low:i] + overlap
-        if low == 0:
-            size[0] -= overlap
-        total = best[low:i] + BALANCE * (size / ideal - 1.0) ** 2
-        j = int(np.argmin(total))
-        best[i], back[i] = total[j] + cost[i], low + j
-    out, i = [], m - 1
-    while i:
-        i = int(back[i])
-        out.append(int(cuts[i]))
-    return out[::-1][1:]
-
-
-def split_row(tokens: np.ndarray, roles: np.ndarray, limit: int, overlap: int, resolution: int = RESOLUTION) -> list[tuple[int, int, str]]:
+    lows = np.searchsorted(cuts, cuts - room)
+    place, first = cuts.tolist(), (BALANCE * (cuts / ideal - 1.0) ** 2).tolist()
+    for i in range(1, len(cuts)):
+        low, c = max(1, int(lows[i])), place[i]
+        if c <= limit:
+            best[i], back[i] = first[i], 0
+        if low < i:
+            total = best[low:i] + imbalance[c - cuts[low:i]]
+            j = int(total.argmin())
+            if total[j] < best[i]:
+                best[i], back[i] = total[j], low + j
+        best[i] += cost[i]
+    if not np.isfinite(best[-1]):
+        return np.inf, []
+    out, i = [], len(cuts) - 1
+    while i := int(back[i]):
+        out.append(place[i])
+    return float(best[-1]), out[::-1]
+
+
+def cut_positions(kind: np.ndarray, n: int, limit: int, overlap: int, stages: tuple[int, ...] = STAGES) -> list[int]:
+    """The cuts c1 < c2 < ... of least cost; piece i is [c_i - overlap, c_{i+1}), the first starts at 0."""
+    pieces = max(2, -(-(n - overlap) // (limit - overlap)))
+    ideal = (n + (pieces - 1) * overlap) / pieces
+    for worst in stages:
+        at = np.flatnonzero(kind[1:] <= worst) + 1
+        total, cuts = _programme(at, PENALTY[kind[at]], n, limit, overlap, ideal)
+        # A cut of a kind left out costs its penalty alone, and nothing costs less than 0.
+        if worst == len(PENALTY) - 1 or total <= PENALTY[worst + 1]:
+            return cuts
+    raise ValueError("the last stage takes every position")
+
+
+def split_row(tokens: np.ndarray, roles: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """Pieces (start, end, kind of the cut at the end) of one row of non-pad tokens. The last piece's kind is 'end'."""
     n, limit = len(tokens), max(1, limit)
     overlap = min(max(0, overlap), limit - 1)
     if n <= limit:
         return [(0, n, "end")]
     kind = boundary_kinds(tokens, roles)
-    cuts = cut_positions(kind, n, limit, overlap, resolution)
+    cuts = cut_positions(kind, n, limit, overlap)
     starts = [0] + [max(0, c - overlap) for c in cuts]
     return [(s, e, KINDS[kind[e]] if e < n else "end") for s, e in zip(starts, [*cuts, n])]
 
@@ -109,12 +117,15 @@ def _codes(roles: pa.Array) -> tuple[np.ndarray, int]:
     return d.indices.fill_null(len(names)).to_numpy(zero_copy_only=False), names.index("pad") if "pad" in names else -1
 
 
-def _map(batches: Iterator[pa.RecordBatch], resolution: int) -> Iterator[pa.RecordBatch]:
+_PIECE = pa.struct([("token_start", pa.int32()), ("token_end", pa.int32()), ("cut_kind", pa.string())])
+_KEPT = ("shard_id", "row_id", "_keyless", "written_at", "_n", "lane", "_content")
+
+
+def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols = {k: [] for k in ("shard_id", "row_id", "lane", "n_tokens", "piece", "pieces", "token_start", "token_end", "cut_kind")}
         tokens, roles = batch.column("tokens"), batch.column("roles")
         limit, overlap = batch.column("piece_limit").to_pylist(), batch.column("piece_overlap").to_pylist()
-        shard, row, lane = (batch.column(c).to_pylist() for c in ("shard_id", "row_id", "lane"))
+        pieces = []
         for i in range(batch.num_rows):
             t = tokens[i].values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             if roles[i].is_valid and len(roles[i].values) == len(t):
@@ -123,12 +134,8 @@ def _map(batches: Iterator[pa.RecordBatch], resolution: int) -> Iterator[pa.Reco
                     t, r = t[r != pad], r[r != pad]
             else:
                 r = np.zeros(len(t), np.int64)
-            cut = split_row(t, r, limit[i], overlap[i] or 0, resolution)
-            for k, (start, end, kind) in enumerate(cut):
-                for name, value in zip(cols, (shard[i], row[i], lane[i], len(t), k, len(cut), start, end, kind)):
-                    cols[name].append(value)
-        kinds = {"shard_id": pa.string(), "lane": pa.string(), "cut_kind": pa.string()}
-        yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int32())) for k, v in cols.items()], names=list(cols))
+            pieces.append([{"token_start": a, "token_end": b, "cut_kind": k} for a, b, k in split_row(t, r, limit[i], overlap[i] or 0)])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEPT), pa.array(pieces, pa.list_(_PIECE))], names=[*_KEPT, "_pieces"])
 
 
 def non_pad_count() -> F.Column:
@@ -137,26 +144,25 @@ def non_pad_count() -> F.Column:
     return F.coalesce(F.size("tokens"), F.lit(0)) - F.when(F.col("roles").isNull() | F.col("tokens").isNull(), F.lit(0)).otherwise(pads)
 
 
-def split_oversized(shard_rows: DataFrame, lane_config: DataFrame, resolution: int = RESOLUTION) -> DataFrame:
+def split_oversized(shard_rows: DataFrame, lane_config: DataFrame) -> DataFrame:
     """Pieces of every row with more non-pad tokens than its lane's piece_limit; offsets count non-pad tokens.
 
-    Rows delivered twice (same shard_id and row_id) give one row's pieces: the one written last, then the longer, then
-    the larger in token order. Null token arrays have no tokens; null roles mean one role throughout; null tokens in an
-    array count as pad bytes without natural boundary. Lanes without configuration or with a null limit have no limit.
-    piece_overlap is taken as 0 if null and is held below the limit. Rows without a shard_id or row_id are told apart by
-    their content. Empty tables give no rows. lane_config has one row per lane and is broadcast (of repeated lanes, the
-    smallest limit and overlap hold).
+    Rows delivered twice (same shard_id and row_id) count as the one written last, then the longer, then the larger lane,
+    then by content: if that one is within its limit, the row has no pieces. Null token arrays have no tokens; null roles mean
+    one role throughout; null tokens in an array count as pad bytes without natural boundary. Lanes without configuration or
+    with a null limit have no limit. piece_overlap is taken as 0 if null and is held below the limit. Rows without a shard_id
+    or row_id are told apart by their content. Empty tables give no rows. lane_config has one row per lane and is broadcast
+    (of repeated lanes, the smallest limit and overlap hold).
     """
     config = lane_config.where(F.col("lane").isNotNull()).groupBy("lane").agg(F.min("piece_limit").alias("piece_limit"), F.min("piece_overlap").alias("piece_overlap"))
-    long = (
-        shard_rows.select("shard_id", "row_id", "lane", "tokens", "roles", "written_at", non_pad_count().alias("_n"))
-        .join(F.broadcast(config), "lane")
-        .where(F.col("_n") > F.col("piece_limit"))
-    )
     keyless = F.when(F.col("shard_id").isNull() | F.col("row_id").isNull(), F.xxhash64("tokens", "lane"))
-    latest = (
-        long.groupBy("shard_id", "row_id", keyless.alias("_keyless"))
-        .agg(F.max(F.struct("written_at", "_n", "tokens", "roles", "lane", "piece_limit", "piece_overlap")).alias("r"))
-        .select("shard_id", "row_id", "r.lane", "r.tokens", "r.roles", "r.piece_limit", "r.piece_overlap")
-    )
-    return latest.mapInArrow(lambda it: _map(it, resolution), PIECES)
+    rows = shard_rows.select("shard_id", "row_id", "lane", "tokens", "roles", "written_at", non_pad_count().alias("_n")).join(F.broadcast(config), "lane", "left")
+    over = F.coalesce(F.col("_n") > F.col("piece_limit"), F.lit(False))
+    pieces = "array<struct<token_start:int,token_end:int,cut_kind:string>>"
+    key = ["shard_id", "row_id", keyless.alias("_keyless"), "written_at", "_n", "lane"]
+    short = rows.where(~over).select(*key, F.lit(None).cast("long").alias("_content"), F.lit(None).cast(pieces).alias("_pieces"))
+    long = rows.where(over).select(*key, F.xxhash64("tokens", "roles").alias("_content"), "tokens", "roles", "piece_limit", "piece_overlap")
+    cut = long.mapInArrow(_map, f"shard_id string, row_id int, _keyless long, written_at timestamp, _n int, lane string, _content long, _pieces {pieces}")
+    latest = short.unionByName(cut).groupBy("shard_id", "row_id", "_keyless").agg(F.max(F.struct("written_at", "_n", "lane", "_content", "_pieces")).alias("r"))
+    out = latest.where("r._pieces is not null").select("shard_id", "row_id", "r.lane", F.col("r._n").alias("n_tokens"), F.size("r._pieces").alias("pieces"), F.posexplode("r._pieces").alias("piece", "p"))
+    return out.select("shard_id", "row_id", "lane", "n_tokens", "piece", "pieces", "p.token_start", "p.token_end", "p.cut_kind")

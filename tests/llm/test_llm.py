@@ -365,7 +365,7 @@ def test_cuts_are_optimal_over_all_positions():
         n = rng.randint(9, 24)
         kind = np.array([4] + [rng.randint(0, 4) for _ in range(n - 1)], np.int8)
         limit, o = rng.randint(4, 8), rng.randint(0, 2)
-        cuts = splitting.cut_positions(kind, n, limit, o, resolution=10_000)
+        cuts = splitting.cut_positions(kind, n, limit, o)
         pieces = max(2, -(-(n - o) // (limit - o)))
         ideal = (n + (pieces - 1) * o) / pieces
 
@@ -392,6 +392,44 @@ def test_cuts_are_optimal_over_all_positions():
         assert cost(cuts) < math.inf and best
 
 
+def _plain_programme(kind, n, limit, o):
+    """Least cost over all positions, position by position."""
+    pieces = max(2, -(-(n - o) // (limit - o)))
+    ideal = (n + (pieces - 1) * o) / pieces
+    best = [0.0] + [math.inf] * n
+    for c in range(1, n + 1):
+        own = splitting.PENALTY[kind[c]] if c < n else 0.0
+        for b in range(max(0, c - limit), c):
+            size = c - b + (o if b else 0)
+            if size <= limit:
+                best[c] = min(best[c], best[b] + splitting.BALANCE * (size / ideal - 1) ** 2 + own)
+    return best[n], ideal
+
+
+@pytest.mark.parametrize("limit,o,n", [(1536, 64, 5200), (2048, 256, 4500), (4096, 96, 9000)])
+def test_pieces_equal_the_full_programme_at_production_limits(limit, o, n):
+    rng = np.random.default_rng(limit)
+    # Long stretches without a natural boundary, so that all stages are needed.
+    kind = rng.choice(6, n, p=[0.0005, 0.001, 0.001, 0.0025, 0.495, 0.5]).astype(np.int8)
+    cuts = splitting.cut_positions(kind, n, limit, o)
+    want, ideal = _plain_programme(kind, n, limit, o)
+    ends, starts = [*cuts, n], [0] + [c - o for c in cuts]
+    sizes = [e - s for s, e in zip(starts, ends)]
+    assert max(sizes) <= limit
+    assert sum(splitting.PENALTY[kind[c]] for c in cuts) + splitting.BALANCE * sum((s / ideal - 1) ** 2 for s in sizes) == pytest.approx(want, abs=1e-9)
+
+
+def test_the_latest_delivery_counts_whatever_its_length(spark):
+    from datetime import datetime
+
+    day = lambda m: datetime(2024, m, 1)
+    row = lambda k, n, m: ("s", k, 1, "a", "train", "en", [35] * n, ["content"] * n, day(m), 0, 0, 0)
+    rows = [row(1, 100, 1), row(1, 10, 2), row(2, 10, 1), row(2, 100, 2), row(3, 100, 1), row(3, 60, 3), row(3, 90, 2), row(4, 60, 1), row(4, 80, 1)]
+    got = splitting.split_oversized(spark.createDataFrame(rows, ROWS).repartition(3), config(spark, [("a", 100, 50, 0, 0.5, None)])).toPandas()
+    assert dict(zip(got.row_id, got.n_tokens)) == {2: 100, 3: 60, 4: 80}
+    assert {k: list(g.sort_values("piece").piece) == list(range(g.pieces.iloc[0])) and g.token_end.max() == g.n_tokens.iloc[0] for k, g in got.groupby("row_id")} == {2: True, 3: True, 4: True}
+
+
 def test_rows_delivered_twice_give_one_set_of_pieces(spark):
     row = ("s", 1, 1, "a", "train", "en", [35] * 20, ["content"] * 18 + ["pad"] * 2, None, 0, 0, 0)
     got = splitting.split_oversized(spark.createDataFrame([row, row, ("s", 2, 1, "a", "train", "en", [35] * 10, ["content"] * 8 + ["pad"] * 2, None, 0, 0, 0)], ROWS), config(spark)).toPandas()
