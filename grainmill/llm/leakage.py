@@ -190,16 +190,18 @@ def _best(item: Item, doc: list[int], windows: list[tuple[int, int]], places: li
         else:
             stretches.append([s, s + m, max(0, end - m), end])
     grown = [_grow(item.words, doc, *_tighten(item.words, doc, *st)) for st in stretches]
+    windowed = len(grown)
     for p, q in places:
         if not any(lo <= p and p + PIECE <= hi and a <= q and q + PIECE <= b for lo, hi, a, b in grown):
             lone = _grow(item.words, doc, p, p + PIECE, q, q + PIECE)
             if lone[1] - lone[0] >= SHORT:
                 grown.append(lone)
     scored = []
-    for lo, hi, a, b in grown:
+    for k, (lo, hi, a, b) in enumerate(grown):
         edits = distance(item.words[lo:hi], doc[a:b])
-        if edits * (NINE - 2) <= hi - lo:
-            scored.append((lo, hi, a, b, edits, hi - lo, int((~item.shared[lo:hi]).sum())))
+        # A stretch without a window has only its words to speak for it.
+        if edits * (NINE - 2 if k < windowed else NINE) <= hi - lo:
+            scored.append((lo, hi, a, b, edits, hi - lo, int((~item.shared[lo:hi]).sum()), k >= windowed))
     best = None
     for x in scored:
         for y in [None, *scored]:
@@ -207,6 +209,8 @@ def _best(item: Item, doc: list[int], windows: list[tuple[int, int]], places: li
                 total = x[5], x[6], x[4]
             elif y[0] >= x[1] - 2 and y[2] >= x[3] - 2:
                 total = x[5] + y[5], x[6] + y[6], x[4] + y[4]
+                if (x[7] or y[7]) and total[2] * NINE > total[0]:
+                    continue
             else:
                 continue
             if best is None or total[0] - 3 * total[2] > best[0] - 3 * best[2]:
