@@ -11,8 +11,8 @@ from ..session import cut_lineage
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """df with the 1-based rank of each row within `by` in a total order.
 
-    The offsets that are broadcast are at most a row per range partition and per group that ends in it; groups are few
-    (stages, lanes, sources). Range partitions follow (by, order), so the rows of one group in one partition are an interval of its order.
+    Range partitions follow (by, order), so the rows of one group in one partition are an interval of its order. The offsets
+    are a row per range partition and per group that ends in it; the optimiser sees their size and picks the join.
     """
     spark = df.sparkSession
     n = partitions or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -24,6 +24,6 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     match = F.lit(True)
     for c in [*by, "_part"]:
         match = match & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    joined = a.join(F.broadcast(b), match).select("a.*", "b._before")
+    joined = a.join(b, match).select("a.*", "b._before")
     within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
     return joined.withColumn(name, F.col("_before") + within).drop("_part", "_before")
