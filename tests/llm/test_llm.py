@@ -166,7 +166,7 @@ def test_packing_invariants_and_ties(spark):
     sizes = [rng.choice([1, 2, 3, 5, 5, 5, 7, 10, 11, 25]) for _ in range(300)]
     rows = [("s", i, i, "a", "train", "en", [9] * n, ["content"] * n, None, 0, 0, 0) for i, n in enumerate(sizes)]
     rows += rows[:7] + [("s", 900, 1, "zz", "train", "en", [1], ["x"], None, 0, 0, 0), ("s", 901, 1, None, "train", "en", [1], ["x"], None, 0, 0, 0), ("s", 902, 1, "a", "train", "en", [], [], None, 0, 0, 0), ("s", 903, 1, "a", "train", "en", [4, 0, 0], ["content", "pad", "pad"], None, 0, 0, 0)]
-    got = packing.pack(spark.createDataFrame(rows, ROWS).repartition(7), config(spark), buckets=4).toPandas()
+    got = packing.pack(spark.createDataFrame(rows, ROWS).repartition(7), config(spark), ranges=4, block=3).toPandas()
     placed = got[got.container.notna()].sort_values(["container", "packed_start"])
     assert sorted(got[got.container.isna()].row_id) == [900, 901, 902]
     assert not got.duplicated(["shard_id", "row_id", "part"]).any()
@@ -180,11 +180,70 @@ def test_packing_invariants_and_ties(spark):
     assert placed.container.max() + 1 <= least * 1.1 + 1
 
 
-def test_plan_is_bounded_by_the_capacity():
+def _histogram(spark, sizes, capacity):
+    return spark.createDataFrame([("a", capacity, s, n) for s, n in sizes.items()], "lane string, capacity int, size int, count long")
+
+
+def _plain_best_fit(sizes, capacity):
+    """Containers of best-fit decreasing, item by item."""
+    gaps = []
+    for size in sorted((s for s, n in sizes.items() for _ in range(n)), reverse=True):
+        at = min((g for g in gaps if g >= size), default=None)
+        if at is None:
+            gaps.append(capacity - size)
+        else:
+            gaps[gaps.index(at)] -= size
+    return len(gaps)
+
+
+@pytest.mark.parametrize("capacity", [10, 64, 2048, 131072])
+def test_every_rank_has_one_place_and_containers_hold(spark, capacity):
+    rng = random.Random(capacity)
+    sizes = {}
+    for _ in range(400):
+        s = min(capacity, int(rng.lognormvariate(math.log(capacity / 8), 0.9)) + 1)
+        sizes[s] = sizes.get(s, 0) + 1
+    rows = packing.plan(_histogram(spark, sizes, capacity)).collect()
+    seen, held = {s: set() for s in sizes}, {}
+    for r in rows:
+        for rank in range(r.lo, r.hi):
+            assert rank not in seen[r["size"]]
+            seen[r["size"]].add(rank)
+            held.setdefault(r["first"] + (rank - r.lo) // r.k, []).append((r.start + (rank - r.lo) % r.k * r["size"], r["size"]))
+    assert all(seen[s] == set(range(n)) for s, n in sizes.items())
+    for parts in held.values():
+        at = 0
+        for start, size in sorted(parts):
+            assert start == at
+            at += size
+        assert at <= capacity
+    assert sorted(held) == list(range(len(held)))
+    assert len(held) <= _plain_best_fit(sizes, capacity) * 1.01 + 2
+
+
+def test_sweep_is_best_fit(spark):
+    rng = random.Random(4)
+    for _ in range(200):
+        items = {rng.randint(1, 40): rng.randint(1, 6) for _ in range(rng.randint(1, 6))}
+        gaps = [rng.randint(1, 60) for _ in range(rng.randint(0, 8))]
+        matches, left, rest = packing.sweep([(s, 0, n) for s, n in items.items()], [(g, i, 1) for i, g in enumerate(gaps)], 64)
+        plain, missed = list(gaps), {}
+        for size in sorted((s for s, n in items.items() for _ in range(n)), reverse=True):
+            fits = [g for g in plain if g >= size]
+            if fits:
+                plain[plain.index(min(fits))] -= size
+            else:
+                missed[size] = missed.get(size, 0) + 1
+        assert {s: hi - lo for s, lo, hi in left} == missed
+        assert sorted(g for g, _, n in rest for _ in range(n) if g) == sorted(g for g in plain if g)
+        assert sum(hi - lo for _, lo, hi, *_ in matches) == sum(items.values()) - sum(missed.values())
+
+
+def test_rounds_and_plan_are_bounded_by_the_capacity(spark):
     rng = random.Random(4)
     base = {s: rng.randint(1, 9) for s in range(1, 513)}
-    few = len(packing.plan_lane(base, 512))
-    many = len(packing.plan_lane({s: n * 1_000_003 for s, n in base.items()}, 512))
+    few = packing.plan(_histogram(spark, base, 512)).count()
+    many = packing.plan(_histogram(spark, {s: n * 1_000_003 for s, n in base.items()}, 512)).count()
     assert many < 12 * few and many < 512 * 12
 
 
