@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .running import running_sum
+from .running import in_ranges
 
 #: Tokens that frame a chunk: begin and end.
 FRAME = 2
@@ -26,49 +27,100 @@ def span_hash(tokens: Column) -> Column:
     return F.sha2(F.concat(F.lit("["), F.array_join(tokens.cast("array<string>"), ","), F.lit("]")), 256)
 
 
+def _transition(length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What next-fit does over the rows of one range partition, from every fill that it may find: bins opened and fill left.
+
+    A full chunk, or rests that do not fit, bring all fills to the same one soon; from then on one number is carried.
+    """
+
+    def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Per group: the fills and bins by the fill before, and once all fills are one, that one and the bins since.
+        fills: dict[str, np.ndarray] = {}
+        bins: dict[str, np.ndarray] = {}
+        alone: dict[str, tuple[int, int]] = {}
+        number = -1
+        for pdf in it:
+            for key, number, full, rest in zip(pdf["_key"].tolist(), pdf["_part"].tolist(), pdf["full"].tolist(), pdf["rest"].tolist()):
+                more = rest + FRAME if rest else 0
+                if key in alone:
+                    used, n = alone[key]
+                    if full:
+                        used, n = length, n + full
+                    if more:
+                        used, n = (more, n + 1) if used + more > length else (used + more, n)
+                    alone[key] = used, n
+                    continue
+                many = fills.setdefault(key, np.arange(length + 1))
+                count = bins.setdefault(key, np.zeros(length + 1, np.int64))
+                if full:
+                    many, count = np.full(length + 1, length), count + full
+                if more:
+                    new = many + more > length
+                    many, count = np.where(new, more, many + more), count + new
+                fills[key], bins[key] = many, count
+                if (many == many[0]).all():
+                    alone[key] = int(many[0]), 0
+        rows = []
+        for key, count in bins.items():
+            used, n = alone.get(key, (None, 0))
+            rows += [(key, number, start, int(fills[key][start]) if used is None else used, int(count[start]) + n) for start in range(length + 1)]
+        yield pd.DataFrame(rows, columns=["_key", "_part", "start", "used", "bins"])
+
+    return part
+
+
 def next_fit(chunked: DataFrame, by: str, order: str, length: int) -> DataFrame:
     """Per value of `by`: bins that next-fit opens for chunks in order (a whole-number key and token_start), and their sizes.
 
-    A full chunk fills a sequence alone, so what stands between two full ones is packed independently of all else: rows are
-    cut into such runs by a running count of full chunks, and each run is folded in its own group. Only a run of rows
-    shorter than one chunk is sequential by nature.
+    Next-fit keeps one open bin, so a run of rows is a map from its fill before to bins opened and fill after: length + 1
+    numbers. Range partitions compute their maps side by side, and the maps are composed in order; a group of any size is
+    spread over the partitions.
     """
     room = length - FRAME
     size = F.col("token_end") - F.col("token_start")
-    # Chunks of one row are full but for its last; so a row is its number of full chunks and a rest.
+    # Chunks of one row are full but for its last; so a row is its number of full chunks and a rest behind them.
     rows = chunked.groupBy(by, order).agg(F.count_if(size == room).alias("full"), F.sum(F.when(size < room, size).otherwise(0)).alias("rest"))
-    run = running_sum(rows, [by], order, "full", "before")
-    # The rest stands behind the row's own full chunks.
-    run = run.withColumn("_run", F.col("before") + F.col("full"))
+    placed = in_ranges(rows, [by], order).withColumn("_key", F.to_json(F.struct(F.col(by).alias("k"))))
+    maps = placed.sortWithinPartitions(by, order).select("_key", "_part", "full", "rest").mapInPandas(_transition(length), "_key string, _part int, start int, used int, bins long")
+    # One map a range partition and group: its fills and bins by the fill before.
+    by_part = maps.groupBy("_key", "_part").agg(F.array_sort(F.collect_list(F.struct("start", "used", "bins"))).alias("m"))
 
-    def place(s: Column, x: Column) -> Column:
-        new = s["used"] + x["rest"] + FRAME > length
-        return F.struct(F.when(new, s["bins"] + 1).otherwise(s["bins"]).alias("bins"), F.when(new, x["rest"] + FRAME).otherwise(s["used"] + x["rest"] + FRAME).alias("used"))
+    def compose(s: Column, x: Column) -> Column:
+        at = F.element_at(x["m"], s["used"] + 1)
+        return F.struct((s["bins"] + at["bins"]).alias("bins"), at["used"].alias("used"))
 
-    start = F.struct(F.lit(0).cast("long").alias("bins"), F.lit(length).cast("long").alias("used"))
-    in_order = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("rest").cast("long").alias("rest"))))
-    rests = run.where("rest > 0").groupBy(by, "_run").agg(F.aggregate(in_order, start, place, lambda s: s["bins"]).alias("bins"))
-    loose = rests.groupBy(by).agg(F.sum("bins").alias("loose"))
-    whole = rows.groupBy(by).agg(F.sum("full").alias("full"), F.sum(F.col("full") * length + F.when(F.col("rest") > 0, F.col("rest") + FRAME).otherwise(0)).alias("non_pad"))
-    return whole.join(loose, by, "left").select(by, (F.col("full") + F.coalesce("loose", F.lit(0))).alias("bins"), "non_pad")
+    # Before the first row the bin counts as full.
+    start = F.struct(F.lit(0).cast("long").alias("bins"), F.lit(length).alias("used"))
+    opened = by_part.groupBy("_key").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_part", "m"))), start, compose, lambda s: s["bins"]).alias("bins"))
+    sizes = placed.groupBy("_key", by).agg(F.sum(F.col("full") * length + F.when(F.col("rest") > 0, F.col("rest") + FRAME).otherwise(0)).alias("non_pad"))
+    return sizes.join(opened, "_key").select(by, "bins", "non_pad")
 
 
 def best_fit_plan(sizes: dict[int, int], length: int) -> tuple[int, int]:
-    """(bins, tokens) that best-fit decreasing needs for framed sizes; sizes are counted, so the work is bounded by length squared."""
+    """(bins, tokens) that best-fit decreasing needs for framed sizes; sizes are counted, so the work is bounded by length squared.
+
+    The tightest gap that takes an item stays the tightest for the next like item as long as it takes one; so a gap is filled
+    with as many as it holds before the next larger one is looked at.
+    """
     bins, gaps = 0, [0] * (length + 1)
     for size in sorted(sizes, reverse=True):
         left = sizes[size]
         for gap in range(size, length + 1):
-            got = min(left, gaps[gap])
-            if got:
-                gaps[gap] -= got
-                gaps[gap - size] += got
-                left -= got
+            each = gap // size
+            filled = min(gaps[gap], left // each)
+            gaps[gap] -= filled
+            gaps[gap - each * size] += filled
+            left -= filled * each
+            if left and gaps[gap]:
+                gaps[gap] -= 1
+                gaps[gap - left * size] += 1
+                left = 0
+            if not left:
+                break
         if left:
-            each = length // size
-            full, rest = divmod(left, each)
+            full, rest = divmod(left, length // size)
             bins += full + bool(rest)
-            gaps[length - each * size] += full
+            gaps[length - length // size * size] += full
             if rest:
                 gaps[length - rest * size] += 1
     return bins, sum(s * n for s, n in sizes.items())
@@ -115,7 +167,6 @@ def total(array: str) -> Column:
 
 
 
-
 def offsets(df: DataFrame, by: list[str], order: list[str], size: str) -> DataFrame:
     """packed_start and packed_end of the parts of one sequence (bounded by its length)."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

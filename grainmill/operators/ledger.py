@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,19 +18,27 @@ def body(*columns: str) -> Column:
 
 
 def with_hashes(steps: DataFrame, run: str, step: str, columns: list[str]) -> DataFrame:
-    """steps with record_hash = sha256(previous_hash | content): a fold along each run's steps.
+    """steps with previous_hash and record_hash = sha256(previous_hash | content), along each run's steps.
 
-    A chain is sequential by nature; one run's steps (one row a step, not a token) are folded in one array.
+    A chain is sequential by nature. Runs are hashed to tasks and sorted there; a task streams its rows and carries one hash,
+    so its memory does not grow with a run.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(step).alias("k"), body(*columns).alias("b"))))
-    start = F.struct(F.lit(GENESIS).alias("last"), F.array().cast("array<struct<k:bigint,previous_hash:string,record_hash:string>>").alias("all"))
-
-    def link(s: Column, x: Column) -> Column:
-        h = F.sha2(F.concat(s["last"], F.lit("|"), x["b"]), 256)
-        return F.struct(h.alias("last"), F.concat(s["all"], F.array(F.struct(x["k"].alias("k"), s["last"].alias("previous_hash"), h.alias("record_hash")))).alias("all"))
 
-    chain = steps.groupBy(run).agg(F.aggregate(rows, start, link, lambda s: s["all"]).alias("c")).select(run, F.explode("c").alias("c"))
-    return steps.join(chain.select(run, F.col("c.k").alias(step), "c.previous_hash", "c.record_hash"), [run, step])
+    def chain(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), GENESIS
+        for pdf in it:
+            before, own = [], []
+            for key, content in zip(pdf[run].tolist(), pdf["_body"].tolist()):
+                if key != now:
+                    now, last = key, GENESIS
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{content}".encode()).hexdigest()
+                own.append(last)
+            yield pdf.drop(columns="_body").assign(previous_hash=before, record_hash=own)
+
+    kinds = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+    ordered = steps.withColumn("_body", body(*columns)).repartition(run).sortWithinPartitions(run, step)
+    return ordered.mapInPandas(chain, ", ".join(f"`{c}` {t}" for c, t in (kinds | {"previous_hash": "string", "record_hash": "string"}).items()))
 
 
 def broken_links(ledger: DataFrame, run: str, step: str, columns: list[str]) -> DataFrame:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import ranked
@@ -14,47 +11,61 @@ from .ranking import ranked
 VOCABULARY = 259
 
 
-def apportion(weights: dict[str, float], total: int, least: dict[str, int]) -> dict[str, int]:
-    """Whole quotas that sum to total, by largest remainder, none below its minimum. Infeasible minimums raise ValueError."""
-    if sum(least.get(k, 0) for k in weights) > total:
-        raise ValueError("minimums exceed the total")
-    quota = {k: max(least.get(k, 0), math.floor(w * total)) for k, w in weights.items()}
-    over = sum(quota.values()) - total
-    while over > 0:
-        # The lane furthest above its due gives one up; the first name among equals.
-        lane = min((k for k in quota if quota[k] > least.get(k, 0)), key=lambda k: (weights[k] * total - quota[k], k))
-        quota[lane] -= 1
-        over -= 1
-    while over < 0:
-        lane = max(quota, key=lambda k: (weights[k] * total - quota[k], k))
-        quota[lane] += 1
-        over += 1
-    return quota
-
-
-def schedule(stages: list[tuple[str, dict[str, float]]], floors: dict[str, float], batch: int, steps: int, strict: bool = True) -> list[tuple[str, int, int, str]]:
-    """(stage, batch, slot, lane): protected lanes first in each batch, then the lane furthest behind its weight.
-
-    strict: one slot per protected lane opens each batch; else as many as its floor asks for.
+def quotas(weights: DataFrame, by: str, total: int | Column, least: Column | None = None) -> DataFrame:
+    """weights (by, lane, weight) with `quota`: whole numbers that sum to `total` in each `by`, none below `least`.
+
+    A lane starts at the whole part of its due, or its minimum if that is more. What is then missing (or too much) is a number
+    of single units. A lane's k-th unit more stands at its remaining due less k, its k-th unit less at its remaining due plus
+    k: the units of largest remaining due are added, largest name first among equals, or those of smallest taken away,
+    smallest name first, down to the minimum. So all units are ranked at once. Infeasible minimums raise an error when the
+    result is read. A `by` has as many rows as lanes, of a fixed table.
+    """
+    every = Window.partitionBy(by)
+    w = weights.withColumn("_total", F.lit(total) if isinstance(total, int) else total).withColumn("_least", (F.lit(0) if least is None else F.coalesce(least, F.lit(0))).cast("long"))
+    w = w.withColumn("_base", F.greatest("_least", F.floor(F.col("weight") * F.col("_total"))))
+    w = w.withColumn("_due", F.col("weight") * F.col("_total") - F.col("_base")).withColumn("_open", F.col("_total") - F.sum("_base").over(every))
+    w = w.withColumn("_feasible", F.sum("_least").over(every) <= F.col("_total"))
+    spare = F.when(F.col("_open") >= 0, F.col("_open")).otherwise(F.least(-F.col("_open"), F.col("_base") - F.col("_least")))
+    units = w.where(spare > 0).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), spare.cast("long") - 1)))
+    grow, shrink = F.col("_due") - F.col("_k"), F.col("_due") + F.col("_k")
+    up = F.row_number().over(every.orderBy(grow.desc(), F.desc("lane")))
+    down = F.row_number().over(every.orderBy(shrink.asc(), F.asc("lane")))
+    taken = units.withColumn("_rank", F.when(F.col("_open") >= 0, up).otherwise(down)).where(F.col("_rank") <= F.abs("_open"))
+    more = taken.groupBy(by, "lane").agg(F.count("*").alias("_units"))
+    quota = F.col("_base") + F.signum(F.col("_open")).cast("long") * F.coalesce("_units", F.lit(0))
+    quota = F.when(F.col("_feasible"), quota).otherwise(F.raise_error(F.lit("minimums exceed the total")).cast("long"))
+    return w.join(more, [by, "lane"], "left").select(*weights.columns, quota.alias("quota"))
+
+
+def schedule(weights: DataFrame, floors: DataFrame, batch: int, steps: int, strict: bool = True) -> DataFrame:
+    """stage, batch, slot, lane of each sequence of `steps` batches a stage. weights: stage, stage_index, lane, weight; floors: lane, floor.
+
+    Every batch opens with its protected lanes in order of name: one slot each if strict, else as many as the floor's share
+    of a batch asks for. Each further slot goes to the lane furthest behind its weight so far (largest name among equals) that
+    has quota left, or to any if none has. Quotas keep the floors. A stage is one row: a fold over its slots carries the
+    counts of its lanes. Stages and lanes are fixed tables, and steps are a stage's batches.
     """
-    out = []
-    per_batch = {k: math.ceil(f * batch) for k, f in floors.items()}
-    number = 0
-    for stage, weights in stages:
-        quota = apportion(weights, batch * steps, {k: n * steps for k, n in per_batch.items() if k in weights})
-        used: Counter = Counter()
-        for _ in range(steps):
-            lanes = [k for k in floors if k in weights for _ in range(1 if strict else per_batch[k])][:batch]
-            used.update(lanes)
-            while len(lanes) < batch:
-                seen = sum(used.values()) + 1
-                open_ = [k for k in weights if used[k] < quota[k]] or list(weights)
-                lane = max(open_, key=lambda k: (weights[k] * seen - used[k], k))
-                lanes.append(lane)
-                used[lane] += 1
-            out += [(stage, number, slot, lane) for slot, lane in enumerate(lanes)]
-            number += 1
-    return out
+    slots = F.ceil(F.col("floor") * batch).cast("int")
+    w = weights.join(F.broadcast(floors), "lane", "left")
+    q = quotas(w, "stage", batch * steps, F.coalesce(slots, F.lit(0)) * steps)
+    lanes = F.array_sort(F.collect_list(F.struct("lane", "weight", "quota", F.coalesce(slots, F.lit(0)).alias("held"))))
+    stage = q.groupBy("stage", "stage_index").agg(lanes.alias("lanes"))
+    place = F.sequence(F.lit(0), F.size("lanes") - 1)
+    copies = F.transform(place, lambda i: F.array_repeat(i, F.when(F.get("lanes", i)["held"] > 0, F.lit(1) if strict else F.get("lanes", i)["held"]).otherwise(0)))
+    stage = stage.withColumn("first", F.slice(F.flatten(copies), 1, batch))
+
+    def pick(s: Column, at: Column) -> Column:
+        used, number = s["used"], at + 1
+        behind = lambda free: F.array_max(F.transform(F.filter(place, lambda i: F.lit(True) if free else F.get(used, i) < F.get("lanes", i)["quota"]), lambda i: F.struct((F.get("lanes", i)["weight"] * number - F.get(used, i)).alias("due"), i.alias("i"))))["i"]
+        lane = F.coalesce(F.get("first", (at % batch).cast("int")), behind(False), behind(True))
+        return F.struct(F.transform(place, lambda i: F.get(used, i) + F.when(i == lane, 1).otherwise(0)).alias("used"), F.concat(s["picks"], F.array(lane)).alias("picks"))
+
+    # The protected lanes of a batch count as placed before its first free slot is chosen, as they stand in front.
+    begin = F.struct(F.transform(place, lambda i: F.lit(0)).alias("used"), F.array().cast("array<int>").alias("picks"))
+    picks = F.aggregate(F.sequence(F.lit(0), F.lit(batch * steps - 1)), begin, pick, lambda s: s["picks"])
+    at = stage.withColumn("picks", picks).select("stage", "stage_index", "lanes", F.posexplode("picks").alias("at", "i"))
+    order = F.dense_rank().over(Window.orderBy("stage_index", "stage")) - 1
+    return at.select("stage", (order * steps + F.floor(F.col("at") / batch)).cast("int").alias("batch"), (F.col("at") % batch).alias("slot"), F.get("lanes", F.col("i"))["lane"].alias("lane"))
 
 
 def alignment(rows: DataFrame, proxy: DataFrame, prefix: int = 16) -> DataFrame:

@@ -1,22 +1,33 @@
-"""Running sums over ordered keys without one task per group: block sums, their prefix, then sums within blocks."""
+"""Running sums over ordered keys without one task per group: range partitions, their prefix, then sums within each."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 
-def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str, blocks: int = 256) -> DataFrame:
-    """The sum of `value` over the rows before each row, by whole-number `order` (unique in its group) within `by`.
 
-    Blocks are equal ranges of the order key, so a skewed group is spread over up to `blocks` tasks. Null values count as 0.
+def in_ranges(df: DataFrame, by: list[str], order: str, name: str = "_part", partitions: int | None = None) -> DataFrame:
+    """df in range partitions of (by, order), of about as many rows each, with the partition's number; kept, so that the numbers hold."""
+    n = partitions or max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(df.repartitionByRange(n, *by, order).withColumn(name, F.spark_partition_id()))
+
+
+def running_sum(df: DataFrame, by: list[str], order: str, value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """The sum of `value` over the rows before each row, by `order` (unique in its group) within `by`.
+
+    Ranges hold about as many rows each, however the keys lie, so a group of any size is spread over tasks. Null values count as 0;
+    null groups are groups.
     """
-    ends = df.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    block = F.floor((F.col(order) - F.col("_lo")) * F.lit(blocks) / (F.col("_hi") - F.col("_lo") + 1)).cast("int")
-    # One row per group, grouped by the columns that a schedule or split has: few.
-    d = df.join(ends, by).withColumn("_block", block).drop("_lo", "_hi")
+    placed = in_ranges(df, by, order, partitions=partitions)
     v = F.coalesce(F.col(value), F.lit(0))
-    sums = d.groupBy(*by, "_block").agg(F.sum(v).alias("_s"))
-    before = sums.select(*by, "_block", (F.sum("_s").over(Window.partitionBy(*by).orderBy("_block")) - F.col("_s")).alias("_before"))
-    within = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return d.join(before, [*by, "_block"]).withColumn(name, F.col("_before") + F.coalesce(F.sum(v).over(within), F.lit(0))).drop("_before", "_block")
+    sums = placed.groupBy(*by, "_part").agg(F.sum(v).alias("_s"))
+    # A row per range partition and group that ends in it.
+    before = sums.select(*by, "_part", (F.sum("_s").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_s")).alias("_before"))
+    a, b = placed.alias("a"), before.alias("b")
+    match = F.lit(True)
+    for c in [*by, "_part"]:
+        match = match & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    within = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return a.join(b, match).select("a.*", "b._before").withColumn(name, F.col("_before") + F.coalesce(F.sum(v).over(within), F.lit(0))).drop("_before", "_part")

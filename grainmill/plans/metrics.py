@@ -285,13 +285,13 @@ def mfu(t: Tables) -> DataFrame:
 
 @P.query("""
     WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0)
-    SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[64], e.embedding::DOUBLE[64]) / (sqrt(list_dot_product(q.embedding::DOUBLE[64], q.embedding::DOUBLE[64])) * sqrt(list_dot_product(e.embedding::DOUBLE[64], e.embedding::DOUBLE[64]))), 6) AS similarity FROM q, embeddings e WHERE e.label = 0
+    SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[64], e.embedding::DOUBLE[64]) / (sqrt(list_dot_product(q.embedding::DOUBLE[64], q.embedding::DOUBLE[64])) * sqrt(list_dot_product(e.embedding::DOUBLE[64], e.embedding::DOUBLE[64]))), 6) AS similarity FROM q, embeddings e
 """)
 def cosine(t: Tables) -> DataFrame:
     """Similarities of the query set (ids divisible by 50) to all vectors."""
-    q = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    e = t.embeddings.select("vec_id", "embedding")
-    return e.crossJoin(q).select("query_id", "vec_id", F.round(cos(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    from ..operators.vectors import similarities
+
+    return similarities(t.embeddings, "vec_id", "embedding")
 
 
 _NEAREST = """

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.corpus import delivered
-from ..operators.mixture import alignment, apportion, decide, schedule
+from ..operators.mixture import alignment, decide, quotas, schedule
 from ..operators.ranking import ranked
+from ..session import cut_lineage
 from .base import Plans, Tables
 
 P = Plans()
@@ -15,31 +16,55 @@ BATCH, STEPS, TOTAL = 8, 4, 997
 _DECISIONS = "(SELECT DISTINCT stage_index, doc_id, lane, base_decision, final_decision, reason, protected_floor_override, gradient_alignment, quality, decision_id, shard_id, row_id FROM selection_decisions)"
 
 
-def _stages(t: Tables) -> list[tuple[str, dict[str, float]]]:
-    """The stages in order with their weights: a fixed table of a few rows."""
-    rows = t.stage_weights.orderBy("stage_index", "lane").collect()
-    return [(s, {r["lane"]: r["weight"] for r in rows if r["stage"] == s}) for s in dict.fromkeys(r["stage"] for r in rows)]
+def _floors(t: Tables) -> DataFrame:
+    return t.lane_config.where("protected_floor > 0 and not isnan(protected_floor)").groupBy("lane").agg(F.max("protected_floor").alias("floor"))
 
 
-def _floors(t: Tables) -> dict[str, float]:
-    return {r["lane"]: r["protected_floor"] for r in t.lane_config.where("protected_floor > 0 and not isnan(protected_floor)").orderBy("lane").collect()}
+_QUOTAS = """
+    w AS (SELECT s.stage, s.stage_index, s.lane, s.weight, ({total})::BIGINT AS total, ({least})::BIGINT AS least FROM stage_weights s LEFT JOIN f ON s.lane = f.lane),
+    b AS (SELECT *, greatest(least, floor(weight * total))::BIGINT AS base FROM w),
+    o AS (SELECT *, weight * total - base AS due, (total - sum(base) OVER (PARTITION BY stage))::BIGINT AS open FROM b),
+    u AS (SELECT stage, lane, open, CASE WHEN open >= 0 THEN -(due - k) ELSE due + k END AS key, CASE WHEN open >= 0 THEN -1 ELSE 1 END AS way
+      FROM o, unnest(range(0, CASE WHEN open >= 0 THEN open ELSE least(-open, base - least) END)) AS r(k)),
+    names AS (SELECT lane, row_number() OVER (ORDER BY lane) AS name FROM (SELECT DISTINCT lane FROM stage_weights)),
+    r AS (SELECT stage, u.lane, open, row_number() OVER (PARTITION BY stage ORDER BY key, way * name) AS k FROM u JOIN names USING (lane)),
+    g AS (SELECT stage, lane, count(*) AS units FROM r WHERE k <= abs(open) GROUP BY stage, lane),
+    q AS (SELECT o.stage, o.stage_index, o.lane, o.weight, (base + sign(open) * coalesce(units, 0))::BIGINT AS quota FROM o LEFT JOIN g ON o.stage = g.stage AND o.lane = g.lane)
+"""
+_F = "f AS (SELECT lane, max(protected_floor) AS floor FROM lane_config WHERE protected_floor > 0 AND protected_floor::VARCHAR <> 'nan' GROUP BY lane)"
 
 
-@P.query(f"""
-    WITH q AS (SELECT stage, lane, floor(weight * {TOTAL}) AS base, weight * {TOTAL} - floor(weight * {TOTAL}) AS rest FROM stage_weights),
-    r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY rest DESC, lane DESC) AS k, {TOTAL} - sum(base) OVER (PARTITION BY stage) AS open FROM q)
-    SELECT stage, lane, (base + CASE WHEN k <= open THEN 1 ELSE 0 END)::BIGINT AS quota FROM r
-""")
+@P.query(f"WITH {_F}, {_QUOTAS.format(total=TOTAL, least=0)} SELECT stage, lane, quota FROM q")
 def lane_quotas(t: Tables) -> DataFrame:
     """Largest-remainder quotas of a stage's sequences."""
-    rows = [(s, k, q) for s, w in _stages(t) for k, q in apportion(w, TOTAL, {}).items()]
-    return t.spark.createDataFrame(rows, "stage string, lane string, quota long")
+    return quotas(t.stage_weights.select("stage", "stage_index", "lane", "weight"), "stage", TOTAL).select("stage", "lane", "quota")
+
 
+@P.query(f"WITH {_F}, {_QUOTAS.format(total=BATCH * STEPS, least=f'coalesce(ceil(f.floor * {BATCH}), 0) * {STEPS}')} SELECT stage, lane, quota FROM q")
+def floor_quotas(t: Tables) -> DataFrame:
+    """Quotas of a short stage, lifted to the floors' slots in every batch."""
+    w = t.stage_weights.select("stage", "stage_index", "lane", "weight").join(F.broadcast(_floors(t)), "lane", "left")
+    return quotas(w, "stage", BATCH * STEPS, F.coalesce(F.ceil(F.col("floor") * BATCH), F.lit(0)) * STEPS).select("stage", "lane", "quota")
 
-@P.query()
+
+@P.query(f"""
+    WITH RECURSIVE {_F}, {_QUOTAS.format(total=BATCH * STEPS, least=f'coalesce(ceil(f.floor * {BATCH}), 0) * {STEPS}')},
+    st AS (SELECT q.stage, stage_index, list(q.lane ORDER BY q.lane) AS lanes, list(weight ORDER BY q.lane) AS w, list(quota ORDER BY q.lane) AS quota,
+      list(q.lane ORDER BY q.lane) FILTER (WHERE f.floor IS NOT NULL) AS held FROM q LEFT JOIN f ON q.lane = f.lane GROUP BY q.stage, stage_index),
+    s AS (
+      SELECT stage, 0 AS n, list_transform(lanes, lambda x: 0::BIGINT) AS used, NULL::VARCHAR AS lane FROM st UNION ALL
+      SELECT stage, n + 1, list_transform(range(1, len(lanes) + 1), lambda i: used[i] + CASE WHEN lanes[i] = pick THEN 1 ELSE 0 END), pick
+      FROM (
+        SELECT s.stage, s.n, s.used, st.lanes, CASE WHEN s.n % {BATCH} < coalesce(len(held), 0) THEN held[s.n % {BATCH} + 1]
+          ELSE list_reverse_sort(list_transform(coalesce(nullif(list_filter(range(1, len(lanes) + 1), lambda i: used[i] < quota[i]), []), range(1, len(lanes) + 1)), lambda i: {{'due': w[i] * (s.n + 1) - used[i], 'lane': lanes[i]}}))[1].lane END AS pick
+        FROM s JOIN st ON s.stage = st.stage WHERE s.n < {BATCH * STEPS}
+      )
+    )
+    SELECT s.stage, ((dense_rank() OVER (ORDER BY stage_index, s.stage) - 1) * {STEPS} + (n - 1) // {BATCH})::INTEGER AS batch, ((n - 1) % {BATCH})::INTEGER AS slot, lane FROM s JOIN st ON s.stage = st.stage WHERE n > 0
+""")
 def lane_schedule(t: Tables) -> DataFrame:
-    """stage, batch, slot, lane of every sequence; compiled on the driver from two fixed tables."""
-    return t.spark.createDataFrame(schedule(_stages(t), _floors(t), BATCH, STEPS), "stage string, batch int, slot int, lane string")
+    """stage, batch, slot, lane of every sequence: floors first in each batch, then the lane furthest behind."""
+    return schedule(t.stage_weights.select("stage", "stage_index", "lane", "weight"), _floors(t), BATCH, STEPS)
 
 
 def _train(t: Tables) -> DataFrame:
@@ -68,7 +93,8 @@ def _decisions(t: Tables) -> DataFrame:
     rows = delivered(t.shard_rows.where("split in ('train', 'selection_proxy')").select("shard_id", "row_id", "written_at", "doc_id", "split", F.slice("tokens", 1, 16).alias("tokens")), "doc_id", "split", "tokens")
     scores = alignment(rows.where("split = 'train'"), rows.where("split = 'selection_proxy'")).select("doc_id", "alignment")
     quality = F.when((F.col("quality") >= 0) & (F.col("quality") <= 1), F.col("quality")).otherwise(0.5)
-    docs = _train(t).select("doc_id", "lane", "min_stage", quality.alias("quality")).join(scores, "doc_id", "left")
+    # Scored once; need, candidates and the rest all start here.
+    docs = cut_lineage(_train(t).select("doc_id", "lane", "min_stage", quality.alias("quality")).join(scores, "doc_id", "left"))
     stages = t.stage_weights.select("stage", "stage_index").distinct()
     # The exposures that a protected lane needs: here six tenths of its eligible documents.
     eligible = docs.where("alignment is not null").crossJoin(F.broadcast(stages)).where("min_stage <= stage_index").groupBy("stage_index", "lane").agg(F.count("*").alias("n"))

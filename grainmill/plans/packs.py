@@ -24,7 +24,7 @@ def _rows(t: Tables, *columns: str) -> DataFrame:
     return delivered(t.shard_rows, "doc_id", "lane", "split", *columns).withColumn("n_tokens", F.coalesce(F.size("tokens"), F.lit(0)))
 
 
-@P.query(f"SELECT shard_id, row_id, token_start::INTEGER AS token_start, token_end::INTEGER AS token_end, sha256('[' || array_to_string(tokens[token_start + 1:token_end], ',') || ']') AS span_hash FROM {_CHUNKS} WHERE lane = 'reasoning'")
+@P.query(f"SELECT shard_id, row_id, token_start::INTEGER AS token_start, token_end::INTEGER AS token_end, sha256('[' || array_to_string(tokens[token_start + 1:token_end], ',') || ']') AS span_hash FROM {_CHUNKS}")
 def chunk_rows(t: Tables) -> DataFrame:
     rows = _rows(t, "tokens")
     cut = F.slice("tokens", F.col("token_start") + 1, F.col("token_end") - F.col("token_start"))
@@ -55,13 +55,27 @@ def packing_utilization(t: Tables) -> DataFrame:
     return pack_greedy(t).withColumn("utilization", F.round(F.col("non_pad") / (F.col("bins") * L), 9))
 
 
-@P.query()
+# Item by item: the first place counts bins, place 2 + g the gaps of g.
+_BEST = f"""
+    SELECT lane, acc[1] AS bins, non_pad FROM (
+      SELECT lane, non_pad, list_reduce(list_prepend(list_transform(range(0, {L + 3}), lambda i: 0::BIGINT), items), lambda acc, x:
+        list_transform([list_filter(range(x[1], {L + 1}), lambda g: acc[2 + g] > 0)[1]], lambda gap:
+          list_transform(acc, lambda v, i: v + CASE WHEN gap IS NULL THEN (i = 1)::BIGINT + (i = 2 + {L} - x[1])::BIGINT ELSE (i = 2 + gap - x[1])::BIGINT - (i = 2 + gap)::BIGINT END))[1]) AS acc
+      FROM (SELECT lane, list([(token_end - token_start + 2)::BIGINT] ORDER BY token_end - token_start DESC) AS items, sum(token_end - token_start + 2)::BIGINT AS non_pad FROM {_CHUNKS} GROUP BY lane))
+"""
+
+
+@P.query(f"SELECT lane, bins, non_pad, round(non_pad / (bins * {L}), 9) AS utilization FROM ({_BEST})")
 def pack_best_fit(t: Tables) -> DataFrame:
     """Best-fit decreasing."""
     return B.best_fit(B.chunks(_sizes(t), L), "lane", L).withColumn("utilization", F.round(F.col("non_pad") / (F.col("bins") * L), 9))
 
 
-@P.query()
+@P.query(f"""
+    SELECT lane, 'best_fit' AS policy, bins, non_pad FROM ({_BEST}) WHERE lane IN ('general_web', 'indic') UNION ALL
+    SELECT lane, 'structure_preserving', count(*), sum(token_end - token_start + 2)::BIGINT FROM {_CHUNKS} WHERE lane = 'agentic' GROUP BY lane UNION ALL
+    SELECT lane, 'greedy', bins, non_pad FROM ({_GREEDY}) WHERE coalesce(lane, '') NOT IN ('general_web', 'indic', 'agentic')
+""")
 def pack_by_policy(t: Tables) -> DataFrame:
     """Every lane by its own policy."""
     from ..operators.policies import pack_by_policy as packed
@@ -109,7 +123,7 @@ _FRAMED = f"""
      FROM (SELECT shard_id, row_id, token_start, token_end - token_start + 2 AS len_,
        list_concat(list_concat(list_concat([1], tokens[token_start + 1:token_end]), [2]), list_transform(range(0, {L - 2} - (token_end - token_start)), lambda i: 0)) AS ids,
        list_concat(list_concat(list_concat(['bos'], roles[token_start + 1:token_end]), ['eos']), list_transform(range(0, {L - 2} - (token_end - token_start)), lambda i: 'pad')) AS rl
-       FROM {_CHUNKS} WHERE lane = 'agentic'))
+       FROM {_CHUNKS}))
 """
 
 
@@ -197,7 +211,7 @@ def replay_reconstruct(t: Tables) -> DataFrame:
 
 
 @P.query(f"""
-    WITH p AS (SELECT run_id, stage, global_step, slot, i AS place FROM (SELECT DISTINCT run_id, stage, global_step, slot FROM {_SPANS} WHERE global_step < 40), range(0, 2048, 97) AS r(i))
+    WITH p AS (SELECT run_id, stage, global_step, slot, i AS place FROM (SELECT DISTINCT run_id, stage, global_step, slot FROM {_SPANS}), range(0, 2048) AS r(i))
     SELECT s.span_id, p.place::BIGINT AS place, (s.token_start + greatest(0, least(p.place - s.packed_start - 1, s.token_end - s.token_start)))::BIGINT AS source_offset
     FROM p JOIN {_SPANS} s ON p.run_id = s.run_id AND p.stage = s.stage AND p.global_step = s.global_step AND p.slot = s.slot AND p.place >= s.packed_start AND p.place < s.packed_end
 """)
@@ -226,7 +240,7 @@ def token_accounting(t: Tables) -> DataFrame:
 _RAGGED = "(SELECT l_orderkey, list(l_quantity::INTEGER ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS q FROM lineitem GROUP BY l_orderkey)"
 
 
-@P.query(f"SELECT l_orderkey, len(q)::INTEGER AS n, array_to_string(list_concat(q, list_transform(range(0, 7 - len(q)), lambda i: 0)), ',') AS padded FROM {_RAGGED} WHERE len(q) <= 7")
+@P.query(f"SELECT l_orderkey, len(q)::INTEGER AS n, array_to_string(list_concat(q, list_transform(range(0, (SELECT max(len(q)) FROM {_RAGGED}) - len(q)), lambda i: 0)), ',') AS padded FROM {_RAGGED}")
 def pad_ragged(t: Tables) -> DataFrame:
     """Rows padded with 0 to the longest row's length."""
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))))

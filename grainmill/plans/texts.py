@@ -195,7 +195,7 @@ def content_hash(t: Tables) -> DataFrame:
 
 
 @P.query("""
-    WITH b AS (SELECT shard_id, row_id, tokens, generate_subscripts(tokens, 1) AS i FROM (SELECT DISTINCT ON (shard_id, row_id) * FROM shard_rows ORDER BY shard_id, row_id, written_at DESC) WHERE lane = 'reasoning')
+    WITH b AS (SELECT shard_id, row_id, tokens, generate_subscripts(tokens, 1) AS i FROM (SELECT DISTINCT ON (shard_id, row_id) * FROM shard_rows ORDER BY shard_id, row_id, written_at DESC))
     SELECT tokens[i] AS x, tokens[i + 1] AS y, count(*) AS n FROM b WHERE i < len(tokens) GROUP BY 1, 2
 """)
 def bigram_counts(t: Tables) -> DataFrame:
