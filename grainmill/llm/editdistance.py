@@ -54,3 +54,16 @@ def search(masks: dict[Hashable, int], m: int, text: Sequence[Hashable]) -> tupl
         minus = minus << 1 & full
         up, down = minus | (full & ~(d0 | plus)), plus & d0
     return best, end
+
+
+def common_length(a: Sequence[Hashable], b: Sequence[Hashable]) -> int:
+    """Length of the longest common subsequence, bit-parallel: a cleared bit of the vector is a symbol of `a` matched so far."""
+    masks: dict[Hashable, int] = {}
+    for i, symbol in enumerate(a):
+        masks[symbol] = masks.get(symbol, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for symbol in b:
+        hit = row & masks.get(symbol, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()

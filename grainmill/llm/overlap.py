@@ -1,19 +1,22 @@
 """Problem 3: the same or nearly the same records across splits, by winnowing fingerprints.
 
 Texts are folded to words; equal word sequences form a class, of which one representative goes on. A representative's
-fingerprints are rolling hashes of GRAM words, winnowed over WINDOW neighbours in texts of LONG words and more: any run of
-GRAM + WINDOW - 1 equal words shares one. Other texts keep every hash (and three-word ones when short), so a pair that
-differs in at most one word in SEVEN always shares fingerprints: n words with e = n/7 altered leave a run of
-(n - e)/(e + 1) words, 5 from 35 words on, 4 from 14, 3 from 7, all below; and e altered words spoil GRAM hashes each, so at
-least n - 3 - 4e are shared (winnowed: half of what the unaltered runs hold beyond their ends).
+fingerprints are rolling hashes of GRAM words, winnowed: of every `w` neighbours the least is kept. If e of n words are
+altered, the others form at most e + 1 runs, which hold (n - e) - (e + 1)(GRAM + w - 2) whole windows at least; each shows
+a fingerprint that both texts keep, and w windows at most show the same one. So a near-same pair shares a w-th of that
+(`shared`). Every text takes the widest window, up to WIDEST, at which no text of its length or more shares fewer than
+LEAST; a text with a wider window keeps a subset of what a narrower one would, so a pair shares what its longer text's
+window promises. GRAM is 3, as at one altered word in seven a run of five words need not survive.
 
 Fingerprints that many texts share would make the join quadratic. Every text leaves out its most frequent ones, as many as
 it can spare: if a pair must share m and either text leaves out d from the top of one common order, they still share m - d
-(prefix filtering). The order comes from counts over a bounded sample; only speed depends on it, nothing is lost.
+(prefix filtering). The order comes from counts over a bounded sample; only speed depends on it, nothing is lost. What
+frequent ones a text must keep are dealt over several keys by their estimated number of texts.
 
 Candidates are joined on fingerprints across splits and counted; pairs whose word signatures (one bit a word) differ in
 more bits than the allowed edits can flip are set aside; the rest is verified: seeds are chained collinearly, the stretches
-between them aligned with a bit-parallel edit distance over words, and coverage follows from the alignment.
+between them aligned with a bit-parallel edit distance over words, and each record's coverage is the share of its words in
+the longest common subsequence.
 """
 
 from __future__ import annotations
@@ -28,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .editdistance import distance
+from .editdistance import common_length, distance
+from .skew import with_members
 from .textfold import fold_looks, fold_words
 
-GRAM, WINDOW, SEVEN = 4, 2, 7
-#: Texts shorter than LONG keep every fingerprint; those shorter than TINY also their three-word ones.
-LONG, TINY = 150, 17
+GRAM, WIDEST, LEAST, SEVEN = 3, 4, 4, 7
 #: Frequent fingerprints: those of at least HOT_COUNT of about SAMPLE sampled texts; at most HOT_MOST are known.
 SAMPLE, HOT_COUNT, HOT_MOST = 100_000, 4, 300_000
+#: Texts of one fingerprint that a join key takes.
+SPLIT = 20_000
 #: Words of 64 bits in a signature.
 SIGNATURE = 4
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -67,8 +71,44 @@ def grams(words: np.ndarray, length: int) -> np.ndarray:
     return _mix(h) >> np.uint64(1)
 
 
-def fingerprints(texts: list[np.ndarray], hot: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text number, fingerprint) of a batch of texts; per text how many a near-same one shares, and how many were left out.
+def allowed(n: int | np.ndarray) -> int | np.ndarray:
+    """Altered words allowed in a text of n words: about one in seven."""
+    return -(-n // SEVEN)
+
+
+def shared(n: np.ndarray, window: int | np.ndarray) -> np.ndarray:
+    """Fingerprints that a text of n words keeps and shares with a near-same one that is no longer."""
+    e = allowed(n)
+    return -(-((n - e) - (e + 1) * (GRAM + window - 2)) // window)
+
+
+def _rules(longest: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Per number of words: the window, and what a near-same pair whose shorter text has so many words must share."""
+    n = np.arange(longest)
+    window = np.ones(longest, np.int64)
+    for w in range(2, WIDEST + 1):
+        enough = np.minimum.accumulate(shared(n, w)[::-1])[::-1] >= LEAST
+        window[enough] = w
+    own = shared(n, window)
+    # The longer text of a pair has n + its own allowance of words at most.
+    most = np.minimum(longest - 1, n * SEVEN // (SEVEN - 1) + 2)
+    must = own.copy()
+    for i in range(longest * (SEVEN - 1) // SEVEN - 2):
+        must[i] = own[i : most[i] + 1].min()
+    return window, must
+
+
+WINDOWS, MUST = _rules()
+
+
+def rules(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and the fingerprints that must be shared; beyond the table the promise grows with n, but for its steps."""
+    far = n >= len(MUST) * (SEVEN - 1) // SEVEN - 2
+    return np.where(far, WIDEST, WINDOWS[np.minimum(n, len(MUST) - 1)]), np.where(far, shared(n, WIDEST) - 2, MUST[np.minimum(n, len(MUST) - 1)])
+
+
+def fingerprints(texts: list[np.ndarray], hot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text number, fingerprint, sampled count) of a batch of texts; per text how many a near-same one shares, and how many were left out.
 
     hot (sorted) and counts: known frequent fingerprints. A text leaves out its most frequent ones, by (count, fingerprint)
     downwards, but keeps a third of what must be shared.
@@ -77,29 +117,26 @@ def fingerprints(texts: list[np.ndarray], hot: np.ndarray, counts: np.ndarray, w
     words = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint32)
     ends = np.cumsum(lens)
     owner = np.repeat(np.arange(len(texts)), lens)
-
-    def inside(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = grams(words, length)
-        o = owner[: len(h)]
-        return h, o, np.arange(len(h)) + length <= ends[o]
-
-    h, o, ok = inside(GRAM)
-    keep = ok & (lens[o] < LONG)
-    long = ok & ~keep
-    if long.any():
-        key = h | (np.isin(h, hot).astype(np.uint64) << np.uint64(63))
-        # A position is selected if it is the least of some window of neighbours within its text.
-        for shift in range(window):
-            least, valid = key.copy(), long.copy()
-            for k in range(window):
-                d = k - shift
-                valid &= np.roll(ok, -d) & (np.roll(o, -d) == o)
-                least = np.minimum(least, np.roll(key, -d))
-            keep |= valid & (least == key)
+    windows, bound = rules(lens)
+    h = grams(words, GRAM)
+    o = owner[: len(h)]
+    last = np.arange(len(h)) + GRAM
+    known = np.isin(h, hot)
+    # Rare fingerprints go first in every window.
+    key = h | (known.astype(np.uint64) << np.uint64(63))
+    keep = (windows[o] == 1) & (last <= ends[o])
+    for w in range(2, WIDEST + 1):
+        at = np.flatnonzero(windows[o] == w)
+        if not len(at):
+            continue
+        # Windows that lie within their text, by first place; a place is kept if it is the least of one.
+        inside = at[last[at] + w - 1 <= ends[o[at]]]
+        least = key[inside]
+        for d in range(1, w):
+            least = np.minimum(least, key[inside + d])
+        for d in range(w):
+            keep[inside[key[inside + d] == least] + d] = True
     text, fp = o[keep], h[keep]
-    h, o, ok = inside(3)
-    ok &= lens[o] < TINY
-    text, fp = np.concatenate((text, o[ok])), np.concatenate((fp, h[ok]))
     selected = np.bincount(text, minlength=len(texts))
     at = np.minimum(np.searchsorted(hot, fp), max(0, len(hot) - 1))
     often = np.where(hot[at] == fp, counts[at], 0) if len(hot) else np.zeros(len(fp), np.int64)
@@ -109,8 +146,6 @@ def fingerprints(texts: list[np.ndarray], hot: np.ndarray, counts: np.ndarray, w
     new[1:] = (text[1:] != text[:-1]) | (fp[1:] != fp[:-1])
     text, fp, often = text[new], fp[new], often[new]
     distinct = np.bincount(text, minlength=len(texts))
-    e = -(-lens // SEVEN)
-    bound = np.where(lens < TINY, 1, np.where(lens < LONG, lens - 3 - 4 * e, (lens - 5 * e - 4) // 2)) - 2
     # A text in which a fingerprint stands again and again may lose more places than fingerprints.
     must = np.maximum(1, bound - (selected - distinct))
     spare = must - np.maximum(1, must // 3)
@@ -119,7 +154,7 @@ def fingerprints(texts: list[np.ndarray], hot: np.ndarray, counts: np.ndarray, w
     place = np.arange(len(text)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(text)]))))
     out = (often > 0) & (place < spare[text])
     dropped = np.bincount(text[out], minlength=len(texts))
-    return text[~out], fp[~out], must.astype(np.int32), dropped.astype(np.int32)
+    return text[~out], fp[~out], often[~out], must.astype(np.int32), dropped.astype(np.int32)
 
 
 def signature(words: np.ndarray) -> list[int]:
@@ -168,11 +203,6 @@ def aligned_edits(a: list[int], b: list[int], most: int) -> int:
     return edits if edits <= most or abs(len(a) - len(b)) > most else distance(a, b)
 
 
-def allowed(n: int) -> int:
-    """Altered words allowed in a text of n words: about one in seven."""
-    return -(-n // SEVEN)
-
-
 RECORDS = "doc_id long, is_train boolean, class binary, n int, words binary, sig array<long>"
 
 
@@ -196,25 +226,36 @@ def records(documents: DataFrame) -> DataFrame:
     return source.select("doc_id", (F.col("split") == "train").alias("is_train"), "text").mapInPandas(part, RECORDS)
 
 
-def _prints(classes: DataFrame, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
-    shared = classes.sparkSession.sparkContext.broadcast((hot, counts))
+def _prints(classes: DataFrame, hot: np.ndarray, counts: np.ndarray, every: int, copies: bool = False) -> DataFrame:
+    """fp, salt, must, dropped, rep, n of each class. A fingerprint of many texts has several salts: a text has one of them, or all (copies)."""
+    sent = classes.sparkSession.sparkContext.broadcast((hot, counts))
 
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            text, fp, must, dropped = fingerprints([np.frombuffer(w, np.uint32) for w in pdf["words"]], *shared.value)
-            yield pd.DataFrame({"fp": fp.astype(np.int64), "must": must[text], "dropped": dropped[text], **{c: pdf[c].to_numpy()[text] for c in ("rep", "n")}})
+            text, fp, often, must, dropped = fingerprints([np.frombuffer(w, np.uint32) for w in pdf["words"]], *sent.value)
+            salts = 1 + often * every // SPLIT
+            rep = pdf["rep"].to_numpy(np.int64)
+            if copies:
+                salt = np.arange(salts.sum()) - np.repeat(np.cumsum(salts) - salts, salts)
+                text, fp = np.repeat(text, salts), np.repeat(fp, salts)
+            else:
+                salt = (_mix(rep.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)[text] % salts
+            yield pd.DataFrame({"fp": fp.astype(np.int64), "salt": salt.astype(np.int32), "must": must[text], "dropped": dropped[text], "rep": rep[text], "n": pdf["n"].to_numpy()[text]})
 
-    return classes.select("rep", "n", "words").mapInPandas(part, "fp long, must int, dropped int, rep long, n int")
+    return classes.select("rep", "n", "words").mapInPandas(part, "fp long, salt int, must int, dropped int, rep long, n int")
 
 
-def _frequent(classes: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints that at least HOT_COUNT of about `sample` texts have, sorted, and their counts; at most HOT_MOST. Only speed hangs on them."""
+def _frequent(classes: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Fingerprints that at least HOT_COUNT of about `sample` texts have, sorted, their counts, and the sampling step; at most HOT_MOST. Only speed hangs on them."""
     every = max(1, classes.count() // sample)
     some = classes.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0)
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = _prints(some, *none).groupBy("fp").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "fp").limit(HOT_MOST).toPandas()
+    rows = _prints(some, *none, 1).groupBy("fp").count().where(F.col("count") >= HOT_COUNT).orderBy(F.desc("count"), "fp").limit(HOT_MOST).toPandas()
     rows = rows.sort_values("fp")
-    return rows["fp"].to_numpy(np.uint64), rows["count"].to_numpy(np.int64)
+    return rows["fp"].to_numpy(np.uint64), rows["count"].to_numpy(np.int64), every
+
+
+LINKS = "rep_a long, rep_b long, edits int, coverage_a double, coverage_b double"
 
 
 def _verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,19 +263,20 @@ def _verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for a, b, x, y in zip(pdf["rep_a"], pdf["rep_b"], pdf["words_a"], pdf["words_b"]):
             p, q = np.frombuffer(x, np.uint32).tolist(), np.frombuffer(y, np.uint32).tolist()
-            longest = max(len(p), len(q))
-            most = allowed(longest)
+            most = allowed(max(len(p), len(q)))
             if (edits := aligned_edits(p, q, most)) <= most:
-                rows.append((a, b, edits, 1.0 - edits / longest))
-        yield pd.DataFrame(rows, columns=["rep_a", "rep_b", "edits", "coverage"])
+                common = common_length(p, q)
+                rows.append((a, b, edits, common / len(p), common / len(q)))
+        yield pd.DataFrame(rows, columns=["rep_a", "rep_b", "edits", "coverage_a", "coverage_b"])
 
 
 class Overlap:
     """Classes of equal word sequences, their members, and the near-same pairs of classes across splits.
 
     members: doc_id, is_train, rep (the smallest doc_id of its class). links: rep_a (with members in train), rep_b (with
-    members elsewhere), edits, coverage; a class with members on both sides is linked with itself at 0 edits.
-    Null or blank texts, and records with a null split or doc_id, are in no class. Repeated rows are members once each.
+    members elsewhere), edits, and the share of each record's words that the other has in order; a class with members on both
+    sides is linked with itself at 0 edits. Null or blank texts, and records with a null split or doc_id, are in no class.
+    Repeated rows are members once each.
     """
 
     def __init__(self, documents: DataFrame, sample: int = SAMPLE):
@@ -245,10 +287,10 @@ class Overlap:
         self.members = rows.select("doc_id", "is_train", "class").join(self.classes.select("class", "rep"), "class").select("doc_id", "is_train", "rep")
         hot = _frequent(self.classes, sample)
         # Filtered before the map, so that a side's fingerprints are made of its own classes alone.
-        train, other = (_prints(self.classes.where(x), *hot) for x in ("train", "other"))
-        side = lambda x: ["fp", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "must", "dropped"))]
+        train, other = _prints(self.classes.where("train"), *hot), _prints(self.classes.where("other"), *hot, copies=True)
+        side = lambda x: ["fp", "salt", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "must", "dropped"))]
         most = F.ceil(F.greatest("n_a", "n_b") / F.lit(SEVEN))
-        seeds = train.select(side("a")).join(other.select(side("b")), "fp")
+        seeds = train.select(side("a")).join(other.select(side("b")), ["fp", "salt"])
         seeds = seeds.where((F.col("rep_a") != F.col("rep_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most))
         need = F.least("must_a", "must_b") - F.greatest("dropped_a", "dropped_b")
         pairs = seeds.groupBy("rep_a", "rep_b").agg(F.count("*").alias("seeds"), F.min(need).alias("need"), F.min(most).alias("most")).where(F.col("seeds") >= F.col("need"))
@@ -265,24 +307,24 @@ class Overlap:
             alike.join(words.select(F.col("rep").alias("rep_a"), F.col("words").alias("words_a")), "rep_a")
             .join(words.select(F.col("rep").alias("rep_b"), F.col("words").alias("words_b")), "rep_b")
         )
-        found = both.mapInPandas(_verify, "rep_a long, rep_b long, edits int, coverage double")
-        same = self.classes.where("train and other").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(0).alias("edits"), F.lit(1.0).alias("coverage"))
+        found = both.mapInPandas(_verify, LINKS)
+        same = self.classes.where("train and other").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(0).alias("edits"), F.lit(1.0).alias("coverage_a"), F.lit(1.0).alias("coverage_b"))
         self.links = cut_lineage(found.unionByName(same))
 
     def pairs(self) -> DataFrame:
         """doc_id_a < doc_id_b of every linked train document and document of another split."""
-        a = self.members.where("is_train").select(F.col("rep").alias("rep_a"), F.col("doc_id").alias("x"))
-        b = self.members.where(~F.col("is_train")).select(F.col("rep").alias("rep_b"), F.col("doc_id").alias("y"))
-        out = self.links.select("rep_a", "rep_b").join(a, "rep_a").join(b, "rep_b").where("x <> y")
+        members = cut_lineage(self.members)
+        links = with_members(self.links.select("rep_a", "rep_b"), "rep_a", members.where("is_train"), "rep", "doc_id", "x")
+        out = with_members(links, "rep_b", members.where(~F.col("is_train")), "rep", "doc_id", "y").where("x <> y")
         return out.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
 
     def touched(self) -> DataFrame:
-        """doc_id, is_train, best coverage and links (linked classes) of each document with a counterpart; never expands pairs."""
-        a = self.links.groupBy(F.col("rep_a").alias("rep")).agg(F.max("coverage").alias("coverage"), F.count("*").alias("links"))
-        b = self.links.groupBy(F.col("rep_b").alias("rep")).agg(F.max("coverage").alias("coverage"), F.count("*").alias("links"))
+        """doc_id, is_train, rep, best coverage of the document and links (linked classes) of each document with a counterpart; never expands pairs."""
+        a = self.links.groupBy(F.col("rep_a").alias("rep")).agg(F.max("coverage_a").alias("coverage"), F.count("*").alias("links"))
+        b = self.links.groupBy(F.col("rep_b").alias("rep")).agg(F.max("coverage_b").alias("coverage"), F.count("*").alias("links"))
         train = self.members.where("is_train").join(a, "rep")
         other = self.members.where(~F.col("is_train")).join(b, "rep")
-        return train.unionByName(other).select("doc_id", "is_train", "coverage", "links")
+        return train.unionByName(other).select("doc_id", "is_train", "rep", "coverage", "links")
 
 
 def overlap_report(documents: DataFrame) -> DataFrame:

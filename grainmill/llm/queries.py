@@ -43,6 +43,16 @@ def _p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.Overlap(table(spark, d, "documents")).pairs()
 
 
+def _p3_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of classes of equal word sequences, by their smallest doc_ids."""
+    return overlap.Overlap(table(spark, d, "documents")).links
+
+
+def _p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a counterpart across the train border: class, coverage, linked classes."""
+    return overlap.Overlap(table(spark, d, "documents")).touched()
+
+
 def _p3_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(table(spark, d, "documents"))
 
@@ -130,6 +140,8 @@ def queries() -> dict[str, Query]:
         "p2_fill": _p2_fill,
         "p2_parts": _p2_parts,
         "p3_found": _p3_found,
+        "p3_links": _p3_links,
+        "p3_members": _p3_members,
         "p3_report": _p3_report,
         "p3_shards": _p3_shards,
         "p4_found": _p4_found,

@@ -12,7 +12,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from grainmill.llm import cutoff, language, leakage, lookalike, mixing, overlap, packing, queries, skew, splitting, textfold, toxicity
-from grainmill.llm.editdistance import distance, search
+from grainmill.llm.editdistance import common_length, distance, search
 from grainmill.session import table
 
 DOCS = "doc_id long, text string, source string, lane string, language string, split string, quality double, turns array<struct<role:string,text:string>>, rep long, class string, n int, _group string"
@@ -254,7 +254,7 @@ def test_bit_parallel_distances():
     rng = random.Random(0)
     for _ in range(400):
         a, b = ([rng.randint(0, 3) for _ in range(rng.randint(0, 14))] for _ in range(2))
-        assert distance(a, b) == edit(a, b)
+        assert distance(a, b) == edit(a, b) and common_length(a, b) == lcs(a, b)
         if a:
             masks = {}
             for i, x in enumerate(a):
@@ -294,8 +294,53 @@ def test_overlap_equals_brute_force(spark):
     for a, b in got - want:
         n = max(len(texts[a]), len(texts[b]))
         assert edit(texts[a], texts[b]) <= overlap.allowed(n)
-    touched = {r.doc_id for r in o.touched().collect()}
-    assert touched == {x for p in got for x in p}
+    touched = {r.doc_id: r for r in o.touched().collect()}
+    assert set(touched) == {x for p in got for x in p}
+    for r in o.links.collect():
+        a, b = texts[r.rep_a], texts[r.rep_b]
+        assert r.edits == edit(a, b) and r.coverage_a == pytest.approx(lcs(a, b) / len(a)) and r.coverage_b == pytest.approx(lcs(a, b) / len(b))
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_near_same_texts_share_what_is_promised():
+    """Windows, and the number of fingerprints that a pair must share, hold for edits placed as badly as can be."""
+    rng = random.Random(13)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for n in [*range(7, 90), 120, 146, 147, 200, 350, 700, 1500]:
+        a = rng.sample(range(10**6), n)
+        for even in (True, False):
+            b, e = list(a), int(overlap.allowed(n))
+            at = [round((k + 1) * (n + 1) / (e + 1)) - 1 for k in range(e)] if even else rng.sample(range(n), e)
+            for k in sorted(set(at), reverse=True):
+                b[k : k + 1] = [rng.randint(10**6, 10**7)] if rng.random() < 0.6 or len(b) >= n else []
+            text, fp, _, must, _ = overlap.fingerprints([np.array(a, np.uint32), np.array(b, np.uint32)], *none)
+            both = len(set(fp[text == 0].tolist()) & set(fp[text == 1].tolist()))
+            assert both >= min(must) or n < 11, (n, even, both, must)
+    windows, must = overlap.rules(np.arange(5, 40_000))
+    assert (np.diff(windows) >= 0).all() and windows.max() == overlap.WIDEST and windows[100] == 3
+    full = np.array(rng.sample(range(10**6), 2000), np.uint32)
+    assert len(overlap.fingerprints([full], *none)[0]) < 0.45 * 2000
+
+
+def test_frequent_fingerprints_are_dealt_over_keys(spark, monkeypatch):
+    """The same pairs with and without salts."""
+    rng = random.Random(14)
+    boiler = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(boiler + [f"x{i}", f"y{i}"][: i % 3]), "s", "a", "en", rng.choice(["train", "eval"]), 0.5, None) for i in range(60)]
+    whole = {tuple(r) for r in overlap.Overlap(docs(spark, rows)).pairs().collect()}
+    monkeypatch.setattr(overlap, "SPLIT", 7)
+    assert {tuple(r) for r in overlap.Overlap(docs(spark, rows)).pairs().collect()} == whole
+    split = {r[0]: r[5] for r in rows}
+    assert whole == {(a, b) for a in split for b in split if a < b and (split[a] == "train") != (split[b] == "train")}
 
 
 def test_overlap_of_the_test_tables_equals_brute_force(spark, sf_dir):
