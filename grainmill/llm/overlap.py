@@ -22,6 +22,7 @@ the longest common subsequence.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from .editdistance import common_length, distance
 from .skew import with_members
 from .textfold import fold_looks, fold_words
 
-GRAM, WIDEST, LEAST, SEVEN = 3, 4, 4, 7
+GRAM, WIDEST, LEAST, SEVEN = 3, 4, 8, 7
 #: Frequent fingerprints: those of at least HOT_COUNT of about SAMPLE sampled texts; at most HOT_MOST are known.
 SAMPLE, HOT_COUNT, HOT_MOST = 100_000, 4, 300_000
 #: Texts of one fingerprint that a join key takes.
@@ -264,6 +265,9 @@ def _verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b, x, y in zip(pdf["rep_a"], pdf["rep_b"], pdf["words_a"], pdf["words_b"]):
             p, q = np.frombuffer(x, np.uint32).tolist(), np.frombuffer(y, np.uint32).tolist()
             most = allowed(max(len(p), len(q)))
+            # Each edit mends one word that the other text lacks.
+            if max((Counter(p) - Counter(q)).total(), (Counter(q) - Counter(p)).total()) > most:
+                continue
             if (edits := aligned_edits(p, q, most)) <= most:
                 common = common_length(p, q)
                 rows.append((a, b, edits, common / len(p), common / len(q)))
