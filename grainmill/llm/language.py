@@ -3,12 +3,14 @@
 Per language a tree of byte contexts of order 0 to ORDER counts which byte follows (method C: a context seen T times with D
 different followers gives a follower seen c times c / (T + D), and an escape to the shorter context D / (T + D); order -1
 is uniform). The statistics are frozen after training, so the exact code length of a token is the same wherever it stands;
-contexts begin anew with each token. Tokens are runs of letters, runs of signs; digits say nothing about a language and
+contexts begin anew with each token. The code of a line in a language has one escape more: a token may be borrowed, that is
+coded by any tree for BORROW bits on top, so that a single foreign word decides no line. Tokens are runs of letters, runs of signs; digits say nothing about a language and
 are left out. Indic letters take one byte each behind a byte for their block. Languages written in two scripts have a tree
 for each; a line's code length in a language is that of its better tree.
 
 A document's lines are cut into stretches by dynamic programming: the lines' code lengths plus SWITCH bits per change of
-language are least. Confidence is the probability of the language given code lengths, tempered for their dependence.
+language are least. A stretch that even its best language codes in more than STRANGE bits a letter is of none of these
+languages (und). Confidence is the probability of the language given code lengths, tempered for their dependence.
 
 Training takes a bounded sample of labelled documents (PER_LABEL for each language). Labels are often wrong and Latin lines
 of documents labelled Hindi may be English, so training is repeated: each round every line of the sample goes to the
@@ -36,12 +38,14 @@ PER_LABEL = 250
 #: Share of a record's lines from which it counts as code throughout (three lines at least, or half of them).
 CODE_SHARE = 0.25
 ROUNDS = 3
-#: Bits by which one token can speak against a language at most, so that a single foreign word decides no line.
-MOST_BITS = 30.0
-#: A line of fewer letters is no stretch of its own.
+#: Bits of a token that is borrowed from another tree.
+BORROW = 30.0
+#: A line of fewer letters is no stretch of its own, unless it is in a script that its neighbours are not.
 SCRAP = 14
-#: Weight of a bit in the confidence.
-TEMPER = 0.1
+#: Bits a letter above which a stretch of at least SURE letters is of no known language; lines of a known one need about 1 to 3.5.
+STRANGE, SURE, NONE = 5.5, 20, "und"
+#: Weight of a bit in the confidence: the one of least log loss on held-out pieces of one to three words.
+TEMPER = 0.5
 LANGUAGES = ("en", "es", "de", "hi", "mr", "te", "kn", "ta", "python")
 INDIC = {"hi": 0x12, "mr": 0x12, "te": 0x18, "kn": 0x19, "ta": 0x17}
 #: Trees: a language, or an Indic language in Latin letters.
@@ -177,7 +181,7 @@ class Trees:
         total = self.none.copy()
         for i in range(1, len(raw)):
             total += self._fall(raw[max(0, i - self.order) : i], raw[i])
-        return np.minimum(total, total.min() + MOST_BITS) + self.none
+        return np.minimum(total, total.min() + BORROW) + self.none
 
     def numbers(self, flat: list[str]) -> np.ndarray:
         """The rows in which tokens' code lengths and letter counts are kept; tokens not seen before get theirs."""
@@ -215,7 +219,7 @@ class Trees:
                 steps[w] = len(steps)
         at = np.fromiter(map(steps.__getitem__, windows), np.int64, len(windows))
         total = np.add.reduceat(self._costs[at], np.cumsum(lens) - lens, axis=0) + self.none
-        return np.minimum(total, total.min(axis=1, keepdims=True) + MOST_BITS) + self.none
+        return np.minimum(total, total.min(axis=1, keepdims=True) + BORROW) + self.none
 
     def by_tree(self, rows: list[list[str]]) -> np.ndarray:
         """Code lengths of lines (lists of tokens) by tree; 0 for lines without tokens. Tokens seen before are looked up."""
@@ -333,7 +337,7 @@ def _in_block(line: list[str], label: str) -> bool:
 def train(documents: DataFrame, per_label: int = PER_LABEL, rounds: int = ROUNDS) -> Trees:
     """Trees from at most about per_label documents of each label, picked by a hash of doc_id; that sample is all that is gathered."""
     labelled = documents.where(F.col("text").isNotNull()).select("doc_id", named(F.col("language")).alias("label"), "text").where(F.col("label").isNotNull())
-    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["label"]: r["n"] for r in documents.where(F.col("text").isNotNull()).groupBy(named(F.col("language")).alias("label")).agg(F.count("*").alias("n")).where(F.col("label").isNotNull()).collect()}
     if not sizes:
         return Trees({})
     share = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, min(1.0, per_label / n))])
@@ -342,8 +346,20 @@ def train(documents: DataFrame, per_label: int = PER_LABEL, rounds: int = ROUNDS
     return fit(sorted((r["label"], r["text"]) for r in sample), rounds)
 
 
-def read(trees: Trees, texts: list[str]) -> Iterator[list[tuple[int, int, str, float, int]]]:
-    """Per text its stretches: first line, last line, language, confidence, characters. Blank lines belong to the stretch before."""
+def _block(line: list[str]) -> int:
+    """The Indic block of most of a line's letters; 0 for other letters."""
+    count: Counter = Counter()
+    for t in line:
+        if t[0].isalpha() or "ऀ" <= t[0] <= "෿":
+            count[ord(t[0]) >> 7 if "ऀ" <= t[0] <= "෿" else 0] += len(t)
+    return max(count, key=lambda k: (count[k], k)) if count else 0
+
+
+def read(trees: Trees, texts: list[str], records: bool = False) -> Iterator[list[tuple[int, int, str, float, int]]]:
+    """Per text its stretches: first line, last line, language, confidence, letters. Blank lines belong to the stretch before.
+
+    records: a record of code is python throughout, whatever its comments and strings.
+    """
     split = [[tokens(x) for x in _LINES.split(t)] for t in texts]
     every = [row for doc in split for row in doc]
     cost, sizes = trees.lines(every), trees.letters(every).tolist() if every else []
@@ -359,21 +375,26 @@ def read(trees: Trees, texts: list[str]) -> Iterator[list[tuple[int, int, str, f
             continue
         lang = stretches(c)
         code = int((lang == python).sum())
-        if code >= CODE_SHARE * len(lang) and (code >= 3 or 2 * code >= len(lang)):
+        if records and code >= CODE_SHARE * len(lang) and (code >= 3 or 2 * code >= len(lang)):
             lang[:] = python
         letters = [size[x] for x in some]
         for k in range(len(lang)):
             # A scrap of a line says too little to stand alone between lines of one language, or at an end.
-            around = {int(lang[m]) for m in (k - 1, k + 1) if 0 <= m < len(lang)}
-            if letters[k] < SCRAP and len(around) == 1:
-                lang[k] = around.pop()
+            near = [m for m in (k - 1, k + 1) if 0 <= m < len(lang)]
+            around = {int(lang[m]) for m in near}
+            if letters[k] < SCRAP and len(around) == 1 and int(lang[k]) not in around:
+                block = _block(doc[some[k]])
+                if not block or block in {_block(doc[some[m]]) for m in near}:
+                    lang[k] = around.pop()
         out, i = [], 0
         while i < len(some):
             j = i
             while j + 1 < len(some) and lang[j + 1] == lang[i]:
                 j += 1
-            k = int(lang[i])
-            out.append((some[i], some[j], LANGUAGES[k], round(confidence(c[i : j + 1].sum(axis=0), k), 6), sum(letters[i : j + 1])))
+            k, n = int(lang[i]), sum(letters[i : j + 1])
+            total = c[i : j + 1].sum(axis=0)
+            name = NONE if n >= SURE and total[k] > STRANGE * n else LANGUAGES[k]
+            out.append((some[i], some[j], name, round(confidence(total, k), 6), n))
             i = j + 1
         yield out
 
@@ -381,10 +402,11 @@ def read(trees: Trees, texts: list[str]) -> Iterator[list[tuple[int, int, str, f
 SEGMENTS = "doc_id long, first_line int, last_line int, language string, confidence double, letters int"
 
 
-def segments(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
+def segments(documents: DataFrame, trees: Trees | None = None, records: bool = False) -> DataFrame:
     """doc_id, first_line, last_line, language, confidence, letters of every stretch of lines in one language.
 
-    Lines are numbered from 0 among the non-empty ones of splitting at line ends. A record of code is one stretch of python.
+    Lines are numbered from 0 among the non-empty ones of splitting at line ends. A stretch of no known language is 'und'.
+    records: a record of code is one stretch of python.
     Null texts, blank texts and texts without a letter or sign have none; whole texts are read, however long. Repeated rows
     repeat theirs; an empty table, or one without any label to learn from, gives no rows. One narrow pass, no shuffle.
     """
@@ -392,7 +414,7 @@ def segments(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [(d, *x) for d, found in zip(pdf["doc_id"].tolist(), read(model.value, pdf["text"].tolist())) for x in found]
+            rows = [(d, *x) for d, found in zip(pdf["doc_id"].tolist(), read(model.value, pdf["text"].tolist(), records)) for x in found]
             yield pd.DataFrame(rows, columns=["doc_id", "first_line", "last_line", "language", "confidence", "letters"])
 
     return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(part, SEGMENTS)
@@ -406,7 +428,7 @@ def document_languages(documents: DataFrame, trees: Trees | None = None) -> Data
 
 
 def unnamed_languages(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
-    """doc_id and each language that a stretch of its lines has and its label does not name."""
-    found = segments(documents, trees).select("doc_id", "language").distinct()
+    """doc_id and each language that a stretch of its lines has and its label does not name; records of code are python, 'und' is no language."""
+    found = segments(documents, trees, records=True).where(F.col("language") != NONE).select("doc_id", "language").distinct()
     label = documents.where(F.col("text").isNotNull()).select("doc_id", named(F.col("language")).alias("label"))
     return found.join(label, "doc_id").where(F.col("label").isNull() | (F.col("label") != F.col("language"))).select("doc_id", "language").distinct()

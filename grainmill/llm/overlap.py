@@ -36,9 +36,11 @@ from .editdistance import common_length, distance
 from .skew import with_members
 from .textfold import fold_looks, fold_words
 
-GRAM, WIDEST, LEAST, SEVEN = 3, 4, 8, 7
+GRAM, WIDEST, LEAST, SEVEN = 3, 4, 12, 7
 #: Frequent fingerprints: those of at least HOT_COUNT of about SAMPLE sampled texts; at most HOT_MOST are known.
 SAMPLE, HOT_COUNT, HOT_MOST = 100_000, 4, 300_000
+#: A text keeps one in KEEP of the fingerprints that must be shared, however frequent.
+KEEP = 6
 #: Texts of one fingerprint that a join key takes.
 SPLIT = 20_000
 #: Words of 64 bits in a signature.
@@ -112,7 +114,7 @@ def fingerprints(texts: list[np.ndarray], hot: np.ndarray, counts: np.ndarray) -
     """Distinct (text number, fingerprint, sampled count) of a batch of texts; per text how many a near-same one shares, and how many were left out.
 
     hot (sorted) and counts: known frequent fingerprints. A text leaves out its most frequent ones, by (count, fingerprint)
-    downwards, but keeps a third of what must be shared.
+    downwards, but keeps one in KEEP of what must be shared.
     """
     lens = np.array([len(t) for t in texts], np.int64)
     words = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint32)
@@ -149,7 +151,7 @@ def fingerprints(texts: list[np.ndarray], hot: np.ndarray, counts: np.ndarray) -
     distinct = np.bincount(text, minlength=len(texts))
     # A text in which a fingerprint stands again and again may lose more places than fingerprints.
     must = np.maximum(1, bound - (selected - distinct))
-    spare = must - np.maximum(1, must // 3)
+    spare = must - np.maximum(1, must // KEEP)
     # Texts come last to first here, each from its most frequent fingerprint down.
     begin = np.concatenate(([0], np.flatnonzero(text[1:] != text[:-1]) + 1)) if len(text) else np.zeros(0, np.int64)
     place = np.arange(len(text)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(text)]))))

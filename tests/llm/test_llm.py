@@ -158,6 +158,53 @@ def test_held_out_accuracy_and_mixed_lines(spark):
     assert [x[2] for x in one] == ["en"] and 0 <= one[0][3] <= 1
 
 
+def test_stretches_scraps_and_unknown_languages(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null")
+    trees = language.train(d, per_label=120)
+    prose = "The report counts more than forty visits and the bridge was closed.\nRecords show that the market reopened after the rain."
+    code = "def count_visits(bridge, market=40):\n    total = bridge + market\n    return total"
+    mixed = f"{prose}\n{code}\n{prose}"
+    assert [x[2] for x in next(language.read(trees, [mixed]))] == ["en", "python", "en"]
+    assert [x[2] for x in next(language.read(trees, [mixed], records=True))] == ["python"]
+    # A short line in another script stands; a short line in the same one is taken for its neighbours'.
+    assert [x[2] for x in next(language.read(trees, [f"{prose}\nநன்றி"]))] == ["en", "ta"]
+    assert [x[2] for x in next(language.read(trees, [f"{prose}\nnaïve près"]))] == ["en"]
+    for text in ("Вчера городской совет решил закрыть мост на время ремонта, и жители должны выбрать другую дорогу.", "市议会昨天决定在维修期间关闭大桥居民必须选择其他道路绕行并且等待", "Gmina zdecydowała wczoraj zamknąć most na czas remontu i mieszkańcy muszą wybrać inną drogę"):
+        assert [x[2] for x in next(language.read(trees, [text]))] == [language.NONE]
+
+
+def test_borrowed_words_are_an_escape_of_the_code():
+    from collections import Counter
+
+    trees = language.Trees({"en": Counter({"the": 30, "then": 10}), "de": Counter({"der": 20})})
+    plain = lambda t: np.array([sum(trees._fall((b"\x02" + t.encode() + b"\x00")[max(0, i - language.ORDER) : i], (b"\x02" + t.encode() + b"\x00")[i])[j] for i in range(1, len(t) + 2)) for j in range(len(language.TREES))]) + trees.none
+    for t in ("the", "derthe", "xyzxyzxyz"):
+        want = np.minimum(plain(t), plain(t).min() + language.BORROW) + trees.none
+        assert np.allclose(trees.lengths(t), want, equal_nan=True) and np.allclose(trees._many([t])[0], want, equal_nan=True)
+
+
+def test_confidence_is_calibrated_on_held_out_lines(spark):
+    """Of short stretches given with confidence c, about c are right: checked in three bands on held-out lines cut to a few words."""
+    d = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null")
+    trees = language.train(d.where("doc_id % 2 = 0"), per_label=120)
+    whole = [x for r in d.where("doc_id % 2 = 1").select("text").collect() for x in r.text.splitlines()]
+    rng, got = random.Random(15), []
+    for line in whole:
+        words = line.split()
+        full = next(language.read(trees, [line]))
+        if len(full) != 1 or full[0][4] < 40 or full[0][3] < 0.999 or full[0][2] == language.NONE:
+            continue
+        at = rng.randrange(len(words))
+        part = next(language.read(trees, [" ".join(words[at : at + rng.choice([1, 1, 2, 3])])]))
+        if len(part) == 1:
+            got.append((part[0][3], part[0][2] == full[0][2]))
+    got = np.array(got, float)
+    assert len(got) > 500
+    for lo, hi in ((0.0, 0.7), (0.7, 0.95), (0.95, 1.01)):
+        band = got[(got[:, 0] >= lo) & (got[:, 0] < hi)]
+        assert len(band) < 30 or abs(band[:, 0].mean() - band[:, 1].mean()) < 0.25, (lo, len(band), band.mean(axis=0))
+
+
 # --- 2 packing
 
 
