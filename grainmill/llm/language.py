@@ -9,8 +9,8 @@ are left out. Indic letters take one byte each behind a byte for their block. La
 for each; a line's code length in a language is that of its better tree.
 
 A document's lines are cut into stretches by dynamic programming: the lines' code lengths plus SWITCH bits per change of
-language are least. A stretch that even its best language codes in more than STRANGE bits a letter is of none of these
-languages (und). Confidence is the probability of the language given code lengths, tempered for their dependence.
+language are least. A stretch most of whose lines even its best language codes in more than STRANGE bits a letter is of none
+of these languages (und). Confidence is the probability of the language given code lengths, tempered for their dependence.
 
 Training takes a bounded sample of labelled documents (PER_LABEL for each language). Labels are often wrong and Latin lines
 of documents labelled Hindi may be English, so training is repeated: each round every line of the sample goes to the
@@ -42,7 +42,7 @@ ROUNDS = 3
 BORROW = 30.0
 #: A line of fewer letters is no stretch of its own, unless it is in a script that its neighbours are not.
 SCRAP = 14
-#: Bits a letter above which a stretch of at least SURE letters is of no known language; lines of a known one need about 1 to 3.5.
+#: Bits a letter above which a line speaks for no known language, in stretches of at least SURE letters; lines of a known one need about 1 to 3.5.
 STRANGE, SURE, NONE = 5.5, 20, "und"
 #: Weight of a bit in the confidence: the one of least log loss on held-out pieces of one to three words.
 TEMPER = 0.5
@@ -358,7 +358,7 @@ def _block(line: list[str]) -> int:
 def read(trees: Trees, texts: list[str], records: bool = False) -> Iterator[list[tuple[int, int, str, float, int]]]:
     """Per text its stretches: first line, last line, language, confidence, letters. Blank lines belong to the stretch before.
 
-    records: a record of code is python throughout, whatever its comments and strings.
+    records: a record of code is python throughout, whatever its comments, strings and data; and every stretch has a language.
     """
     split = [[tokens(x) for x in _LINES.split(t)] for t in texts]
     every = [row for doc in split for row in doc]
@@ -393,7 +393,8 @@ def read(trees: Trees, texts: list[str], records: bool = False) -> Iterator[list
                 j += 1
             k, n = int(lang[i]), sum(letters[i : j + 1])
             total = c[i : j + 1].sum(axis=0)
-            name = NONE if n >= SURE and total[k] > STRANGE * n else LANGUAGES[k]
+            odd = sum(c[m, k] > STRANGE * letters[m] for m in range(i, j + 1))
+            name = NONE if not records and n >= SURE and 2 * odd > j - i + 1 else LANGUAGES[k]
             out.append((some[i], some[j], name, round(confidence(total, k), 6), n))
             i = j + 1
         yield out
@@ -428,7 +429,7 @@ def document_languages(documents: DataFrame, trees: Trees | None = None) -> Data
 
 
 def unnamed_languages(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
-    """doc_id and each language that a stretch of its lines has and its label does not name; records of code are python, 'und' is no language."""
-    found = segments(documents, trees, records=True).where(F.col("language") != NONE).select("doc_id", "language").distinct()
+    """doc_id and each language that a stretch of its lines has and its label does not name; records of code are python."""
+    found = segments(documents, trees, records=True).select("doc_id", "language").distinct()
     label = documents.where(F.col("text").isNotNull()).select("doc_id", named(F.col("language")).alias("label"))
     return found.join(label, "doc_id").where(F.col("label").isNull() | (F.col("label") != F.col("language"))).select("doc_id", "language").distinct()
