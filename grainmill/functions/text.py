@@ -6,7 +6,7 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,3 +103,40 @@ def html_escape(text: Column) -> Column:
 def thousands(value: Column, digits: int = 0) -> Column:
     """A number with separators, an em dash for null."""
     return F.coalesce(F.format_number(value, digits), F.lit("—"))
+
+
+def mean_code(df: DataFrame, key: str, column: str, size: int = 32) -> DataFrame:
+    """key, coordinate, value: position * 256 + byte of each byte, of one over the word's length. A word of more than `size` bytes raises an error."""
+    h, n = F.hex(F.encode(column, "UTF-8")), F.octet_length(column)
+    n = F.when(n > size, F.raise_error(F.lit(f"more than {size} bytes")).cast("int")).otherwise(n)
+    rows = df.select(key, h.alias("_h"), n.alias("_n")).where("_n > 0").select(key, "_h", "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    byte = F.conv(F.substr(F.col("_h"), F.col("_i") * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    return rows.select(key, (F.col("_i") * 256 + byte).alias("coordinate"), F.round(1 / F.col("_n"), 9).alias("value"))
+
+
+class CharTokenizer:
+    """Characters to ids behind pad (0) and end (1). The alphabet is small whatever the corpus, and is kept in order of code points."""
+
+    pad, eos = 0, 1
+
+    def __init__(self, chars: list[str]):
+        self.chars = sorted(chars)
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> CharTokenizer:
+        return cls([r["ch"] for r in df.select(F.explode(F.split(column, "")).alias("ch")).where("ch <> ''").distinct().collect()])
+
+    @property
+    def vocabulary(self) -> int:
+        return len(self.chars) + 2
+
+    def encode(self, text: Column, end: bool = True) -> Column:
+        """Ids of a text; a character outside the alphabet raises an error."""
+        ids = F.create_map(*[F.lit(x) for i, c in enumerate(self.chars) for x in (c, i + 2)]) if self.chars else F.create_map().cast("map<string,int>")
+        each = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(ids[c], F.raise_error(F.concat(F.lit("no id for "), c)).cast("int")))
+        return F.concat(each, F.array(F.lit(self.eos))) if end else each
+
+    def decode(self, ids: Column) -> Column:
+        """The text of ids; pad and end are left out."""
+        chars = F.array(*[F.lit(c) for c in self.chars]).cast("array<string>")
+        return F.array_join(F.transform(F.filter(ids, lambda i: i > self.eos), lambda i: F.get(chars, i - 2)), "")

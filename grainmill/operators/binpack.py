@@ -40,14 +40,13 @@ def _transition(length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
         alone: dict[str, tuple[int, int]] = {}
         number = -1
         for pdf in it:
-            for key, number, full, rest in zip(pdf["_key"].tolist(), pdf["_part"].tolist(), pdf["full"].tolist(), pdf["rest"].tolist()):
-                more = rest + FRAME if rest else 0
+            for key, number, full, more in zip(pdf["_key"].tolist(), pdf["_part"].tolist(), pdf["full"].tolist(), pdf["more"].tolist()):
                 if key in alone:
                     used, n = alone[key]
                     if full:
                         used, n = length, n + full
                     if more:
-                        used, n = (more, n + 1) if used + more > length else (used + more, n)
+                        used, n = (min(more, length), n + 1) if used + more > length else (used + more, n)
                     alone[key] = used, n
                     continue
                 many = fills.setdefault(key, np.arange(length + 1))
@@ -56,7 +55,7 @@ def _transition(length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
                     many, count = np.full(length + 1, length), count + full
                 if more:
                     new = many + more > length
-                    many, count = np.where(new, more, many + more), count + new
+                    many, count = np.where(new, min(more, length), many + more), count + new
                 fills[key], bins[key] = many, count
                 if (many == many[0]).all():
                     alone[key] = int(many[0]), 0
@@ -69,19 +68,15 @@ def _transition(length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
     return part
 
 
-def next_fit(chunked: DataFrame, by: str, order: str, length: int) -> DataFrame:
-    """Per value of `by`: bins that next-fit opens for chunks in order (a whole-number key and token_start), and their sizes.
+def composed(rows: DataFrame, by: str, order: str, length: int, used: int, bins: int) -> DataFrame:
+    """by, bins: next-fit over rows of `full` (sequences filled alone) and then `more` (places, or 0), in order, from a bin with `used` places.
 
     Next-fit keeps one open bin, so a run of rows is a map from its fill before to bins opened and fill after: length + 1
     numbers. Range partitions compute their maps side by side, and the maps are composed in order; a group of any size is
     spread over the partitions.
     """
-    room = length - FRAME
-    size = F.col("token_end") - F.col("token_start")
-    # Chunks of one row are full but for its last; so a row is its number of full chunks and a rest behind them.
-    rows = chunked.groupBy(by, order).agg(F.count_if(size == room).alias("full"), F.sum(F.when(size < room, size).otherwise(0)).alias("rest"))
     placed = in_ranges(rows, [by], order).withColumn("_key", F.to_json(F.struct(F.col(by).alias("k"))))
-    maps = placed.sortWithinPartitions(by, order).select("_key", "_part", "full", "rest").mapInPandas(_transition(length), "_key string, _part int, start int, used int, bins long")
+    maps = placed.sortWithinPartitions(by, order).select("_key", "_part", "full", "more").mapInPandas(_transition(length), "_key string, _part int, start int, used int, bins long")
     # One map a range partition and group: its fills and bins by the fill before.
     by_part = maps.groupBy("_key", "_part").agg(F.array_sort(F.collect_list(F.struct("start", "used", "bins"))).alias("m"))
 
@@ -89,11 +84,34 @@ def next_fit(chunked: DataFrame, by: str, order: str, length: int) -> DataFrame:
         at = F.element_at(x["m"], s["used"] + 1)
         return F.struct((s["bins"] + at["bins"]).alias("bins"), at["used"].alias("used"))
 
-    # Before the first row the bin counts as full.
-    start = F.struct(F.lit(0).cast("long").alias("bins"), F.lit(length).alias("used"))
+    start = F.struct(F.lit(bins).cast("long").alias("bins"), F.lit(used).alias("used"))
     opened = by_part.groupBy("_key").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_part", "m"))), start, compose, lambda s: s["bins"]).alias("bins"))
-    sizes = placed.groupBy("_key", by).agg(F.sum(F.col("full") * length + F.when(F.col("rest") > 0, F.col("rest") + FRAME).otherwise(0)).alias("non_pad"))
-    return sizes.join(opened, "_key").select(by, "bins", "non_pad")
+    return placed.select("_key", by).distinct().join(opened, "_key").select(by, "bins")
+
+
+def next_fit(chunked: DataFrame, by: str, order: str, length: int) -> DataFrame:
+    """Per value of `by`: bins that next-fit opens for chunks in order (a whole-number key and token_start), and their sizes."""
+    room = length - FRAME
+    size = F.col("token_end") - F.col("token_start")
+    # Chunks of one row are full but for its last; so a row is its number of full chunks and a rest behind them.
+    rows = chunked.groupBy(by, order).agg(F.count_if(size == room).alias("full"), F.sum(F.when(size < room, size + FRAME).otherwise(0)).alias("more"))
+    sizes = rows.groupBy(by).agg(F.sum(F.col("full") * length + F.col("more")).alias("non_pad"))
+    # Before the first row the bin counts as full.
+    bins = composed(rows, by, order, length, length, 0).withColumnRenamed(by, "_by")
+    return sizes.join(bins, sizes[by].eqNullSafe(F.col("_by"))).select(by, "bins", "non_pad")
+
+
+def truncated(rows: DataFrame, by: str, order: str, length: int) -> DataFrame:
+    """Per value of `by`, for documents with an end token each, cut at the sequence's length: sequences of next-fit, of best-fit decreasing and of one document each, and the tokens kept.
+
+    Next-fit begins with an empty sequence, which stays empty if the first document is too long for it. Needs n_tokens.
+    """
+    items = rows.select(by, order, (F.col("n_tokens") + 1).cast("long").alias("more"), F.lit(0).cast("long").alias("full"))
+    greedy = composed(items, by, order, length, 0, 1).select(F.col(by).alias("_a"), F.col("bins").alias("greedy"))
+    spans = items.select(by, F.lit(0).alias("token_start"), (F.least("more", F.lit(length)) - FRAME).alias("token_end"))
+    best = best_fit(spans, by, length).select(F.col(by).alias("_b"), F.col("bins").alias("best_fit"))
+    one = items.groupBy(by).agg(F.count("*").alias("structure"), F.sum(F.least("more", F.lit(length))).alias("kept"))
+    return one.join(greedy, one[by].eqNullSafe(F.col("_a"))).join(best, one[by].eqNullSafe(F.col("_b"))).select(by, "greedy", "best_fit", "structure", "kept")
 
 
 def best_fit_plan(sizes: dict[int, int], length: int) -> tuple[int, int]:

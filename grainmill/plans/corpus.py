@@ -49,6 +49,24 @@ def validate_manifest(t: Tables) -> DataFrame:
     return both.where(~F.col("claimed_documents").eqNullSafe(F.col("found_documents")) | ~F.col("claimed_tokens").eqNullSafe(F.col("found_tokens")))
 
 
+@P.query(f"""
+    WITH m AS ({_MANIFEST}), k AS (SELECT shard_id, bool_and(coalesce(list_max(tokens) <= 258 AND list_min(tokens) >= 0, true)) AS tokens_known, count(cleaned_content_hash) = count(*) AS cleaned FROM {_DELIVERED} GROUP BY shard_id)
+    SELECT i.shard_id, m.document_count IS NOT DISTINCT FROM i.document_count AND m.token_count IS NOT DISTINCT FROM i.token_count AS counts_ok, m.content_hash IS NOT DISTINCT FROM i.content_hash AS content_ok,
+      coalesce(tokens_known, false) AS tokenizer_ok, coalesce(cleaned, false) AS cleaning_ok, i.shard_path IS NOT NULL AS path_ok
+    FROM shard_index i LEFT JOIN m ON i.shard_id = m.shard_id LEFT JOIN k ON i.shard_id = k.shard_id
+""")
+def manifest_integrity(t: Tables) -> DataFrame:
+    """What holds of each manifest: counts, content hash, tokens of the vocabulary, hashes of cleaned contents, a path."""
+    rows = _rows(t, "tokens", "language", "cleaned_content_hash")
+    known = F.coalesce((F.array_max("tokens") <= 258) & (F.array_min("tokens") >= 0), F.lit(True))
+    found = shard_manifest(rows, ["shard_id"]).select("shard_id", F.col("document_count").alias("d"), F.col("token_count").alias("n"), F.col("content_hash").alias("h"))
+    state = rows.groupBy("shard_id").agg(F.bool_and(known).alias("k"), (F.count("cleaned_content_hash") == F.count("*")).alias("c"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    return t.shard_index.join(found, "shard_id", "left").join(state, "shard_id", "left").select(
+        "shard_id", (same("d", "document_count") & same("n", "token_count")).alias("counts_ok"), same("h", "content_hash").alias("content_ok"), F.coalesce("k", F.lit(False)).alias("tokenizer_ok"), F.coalesce("c", F.lit(False)).alias("cleaning_ok"), F.col("shard_path").isNotNull().alias("path_ok")
+    )
+
+
 @P.query("SELECT doc_id, split, lane FROM documents WHERE split IN ('validation', 'eval')")
 def split_filter(t: Tables) -> DataFrame:
     return t.documents.where(F.col("split").isin("validation", "eval")).select("doc_id", "split", "lane")

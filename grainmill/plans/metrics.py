@@ -72,8 +72,9 @@ def _eval(t: Tables) -> DataFrame:
 @P.query(f"SELECT language, bucket, count(*) AS rows_seen, sum(n)::BIGINT AS bytes, round(sum(exact::INTEGER) / greatest(count(*), 1), 9) AS exact_rate FROM {_EVAL} GROUP BY GROUPING SETS ((), (language), (bucket))")
 def eval_grouping_sets(t: Tables) -> DataFrame:
     """Overall, by label and by length class in one pass."""
-    _eval(t).createOrReplaceTempView("_eval_rows")
-    return t.spark.sql("SELECT language, bucket, count(*) AS rows_seen, sum(n) AS bytes, round(coalesce(sum(int(exact)), 0) / greatest(count(*), 1), 9) AS exact_rate FROM _eval_rows GROUP BY GROUPING SETS ((), (language), (bucket))")
+    exact = F.round(F.coalesce(F.sum(F.col("exact").cast("int")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1)), 9)
+    e = _eval(t)
+    return e.groupingSets([[], ["language"], ["bucket"]], "language", "bucket").agg(F.count("*").alias("rows_seen"), F.sum("n").alias("bytes"), exact.alias("exact_rate"))
 
 
 @P.query(f"SELECT language, count(*) AS rows_seen, round(coalesce(sum(exact::INTEGER), 0) / greatest(count(*), 1), 9) AS exact_rate, round(coalesce(sum(exact::INTEGER) FILTER (WHERE n <= 512), 0) / greatest(count(*) FILTER (WHERE n <= 512), 1), 9) AS short_exact, round(coalesce(sum(exact::INTEGER) FILTER (WHERE n > 512), 0) / greatest(count(*) FILTER (WHERE n > 512), 1), 9) AS long_exact FROM {_EVAL} GROUP BY language")
@@ -361,4 +362,64 @@ def beam_search_table(t: Tables) -> DataFrame:
     return beam_search(moves, width=3, length=4)
 
 
+# Predictions: a name with its last bytes missing, and for every seventh a byte that no UTF-8 has.
+_PREDICTED = """
+    (SELECT p_brand, target, length(target) AS n, left_ = target AND NOT broken AS exact, NOT broken AS valid, NOT broken AND left_ IN (SELECT p_name FROM part) AS known, levenshtein(target, left_) + broken::INTEGER AS errors
+     FROM (SELECT p_brand, p_name AS target, p_name[1:length(p_name) - p_partkey % 3] AS left_, p_partkey % 7 = 0 AS broken FROM part))
+"""
+_RATES = "count(*) AS tokens, sum(n)::BIGINT AS bytes, round(sum(exact::INTEGER) / greatest(count(*), 1), 9) AS exact_accuracy, round(sum(valid::INTEGER) / greatest(count(*), 1), 9) AS valid_utf8_rate, round(sum(known::INTEGER) / greatest(count(*), 1), 9) AS known_vocab_rate"
+
+
+def _predicted(t: Tables) -> DataFrame:
+    cut = F.substring(F.col("p_name"), F.lit(1), (F.length("p_name") - F.col("p_partkey") % 3).cast("int"))
+    raw = F.concat(F.hex(F.encode(cut, "UTF-8")), F.when(F.col("p_partkey") % 7 == 0, "FF").otherwise(""))
+    p = t.part.select("p_brand", F.col("p_name").alias("target"), cut.alias("left"), F.unhex(raw).alias("raw"))
+    known = t.part.select(F.encode("p_name", "UTF-8").alias("raw"), F.lit(True).alias("known")).distinct()
+    # Bytes beyond the text are an error each; names are ASCII, so characters are bytes.
+    errors = F.levenshtein("target", "left") + F.octet_length("raw") - F.length("left")
+    j = p.join(known, "raw", "left")
+    return j.select("p_brand", F.length("target").alias("n"), (F.col("raw") == F.encode("target", "UTF-8")).alias("exact"), F.is_valid_utf8(F.col("raw").cast("string")).alias("valid"), F.coalesce("known", F.lit(False)).alias("known"), errors.alias("errors"))
+
+
+def _rate(on) -> F.Column:
+    return F.round(F.sum(on.cast("int")) / F.greatest(F.count("*"), F.lit(1)), 9)
+
+
+@P.query(f"SELECT p_brand, bucket, {_RATES}, round(sum(errors) / greatest(sum(n), 1), 9) AS byte_error_rate FROM (SELECT *, CASE WHEN n <= 12 THEN 'short' ELSE 'long' END AS bucket FROM {_PREDICTED}) GROUP BY GROUPING SETS ((), (p_brand), (bucket))")
+def eval_rates(t: Tables) -> DataFrame:
+    """Overall, by brand and by length in one pass: exact, valid UTF-8, known words, byte errors."""
+    p = _predicted(t).withColumn("bucket", F.when(F.col("n") <= 12, "short").otherwise("long"))
+    return p.groupingSets([[], ["p_brand"], ["bucket"]], "p_brand", "bucket").agg(
+        F.count("*").alias("tokens"), F.sum("n").alias("bytes"), _rate(F.col("exact")).alias("exact_accuracy"), _rate(F.col("valid")).alias("valid_utf8_rate"), _rate(F.col("known")).alias("known_vocab_rate"),
+        F.round(F.sum("errors") / F.greatest(F.sum("n"), F.lit(1)), 9).alias("byte_error_rate"),
+    )
+
+
+@P.query(f"SELECT p_brand, {_RATES}, count(*) FILTER (WHERE n <= 12) AS short_tokens, round(count(*) FILTER (WHERE exact AND n <= 12) / greatest(count(*) FILTER (WHERE n <= 12), 1), 9) AS short_exact, count(*) FILTER (WHERE n > 12) AS long_tokens, round(count(*) FILTER (WHERE exact AND n > 12) / greatest(count(*) FILTER (WHERE n > 12), 1), 9) AS long_exact FROM {_PREDICTED} GROUP BY p_brand")
+def reconstruction_metrics(t: Tables) -> DataFrame:
+    """The same rates by brand, with the exact ones of short and long words."""
+    n, exact = F.col("n"), F.col("exact")
+    part = lambda on: F.round(F.count_if(on & exact) / F.greatest(F.count_if(on), F.lit(1)), 9)
+    return _predicted(t).groupBy("p_brand").agg(
+        F.count("*").alias("tokens"), F.sum("n").alias("bytes"), _rate(exact).alias("exact_accuracy"), _rate(F.col("valid")).alias("valid_utf8_rate"), _rate(F.col("known")).alias("known_vocab_rate"),
+        F.count_if(n <= 12).alias("short_tokens"), part(n <= 12).alias("short_exact"), F.count_if(n > 12).alias("long_tokens"), part(n > 12).alias("long_exact"),
+    )
+
+
+@P.query("SELECT v::BIGINT * 1000 AS vocabulary, d::BIGINT * 64 AS width, v * 1000 * d * 64 AS embedding, 0::BIGINT AS tied_head, v * 1000 * d * 64 AS untied_head, 12 * (d * 64) * (d * 64) + v * 1000 * d * 64 AS tied_total, 12 * (d * 64) * (d * 64) + 2 * v * 1000 * d * 64 AS untied_total FROM range(1, 11) AS a(v), range(1, 17) AS b(d)")
+def tied_parameters(t: Tables) -> DataFrame:
+    """Parameters of a model of one block (12 D squared) with a head that shares the embedding, and with one of its own."""
+    g = t.spark.range(1, 11).select((F.col("id") * 1000).alias("vocabulary")).crossJoin(t.spark.range(1, 17).select((F.col("id") * 64).alias("width")))
+    e, body = F.col("vocabulary") * F.col("width"), 12 * F.col("width") * F.col("width")
+    return g.select("vocabulary", "width", e.alias("embedding"), F.lit(0).cast("long").alias("tied_head"), e.alias("untied_head"), (body + e).alias("tied_total"), (body + 2 * e).alias("untied_total"))
+
+
+@P.query("SELECT p_partkey, least(1024, floor(1400 / (p_retailprice / 64)))::INTEGER AS batch FROM part WHERE p_retailprice > 0")
+def batch_search(t: Tables) -> DataFrame:
+    """The largest batch below 70 % of memory, found by doubling and bisection of a probe (here batch times a cost by part)."""
+    from ..functions.numeric import largest_safe
+
+    return t.part.where("p_retailprice > 0").select("p_partkey", largest_safe(lambda n: n * (F.col("p_retailprice") / 64) <= 1400, 1024).alias("batch"))
+
+
 QUERIES, SQL = P.QUERIES, P.SQL

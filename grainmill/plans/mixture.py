@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.corpus import delivered
@@ -47,7 +47,7 @@ def floor_quotas(t: Tables) -> DataFrame:
     return quotas(w, "stage", BATCH * STEPS, F.coalesce(F.ceil(F.col("floor") * BATCH), F.lit(0)) * STEPS).select("stage", "lane", "quota")
 
 
-@P.query(f"""
+_SCHEDULE = f"""
     WITH RECURSIVE {_F}, {_QUOTAS.format(total=BATCH * STEPS, least=f'coalesce(ceil(f.floor * {BATCH}), 0) * {STEPS}')},
     st AS (SELECT q.stage, stage_index, list(q.lane ORDER BY q.lane) AS lanes, list(weight ORDER BY q.lane) AS w, list(quota ORDER BY q.lane) AS quota,
       list(q.lane ORDER BY q.lane) FILTER (WHERE f.floor IS NOT NULL) AS held FROM q LEFT JOIN f ON q.lane = f.lane GROUP BY q.stage, stage_index),
@@ -59,14 +59,61 @@ def floor_quotas(t: Tables) -> DataFrame:
           ELSE list_reverse_sort(list_transform(coalesce(nullif(list_filter(range(1, len(lanes) + 1), lambda i: used[i] < quota[i]), []), range(1, len(lanes) + 1)), lambda i: {{'due': w[i] * (s.n + 1) - used[i], 'lane': lanes[i]}}))[1].lane END AS pick
         FROM s JOIN st ON s.stage = st.stage WHERE s.n < {BATCH * STEPS}
       )
-    )
-    SELECT s.stage, ((dense_rank() OVER (ORDER BY stage_index, s.stage) - 1) * {STEPS} + (n - 1) // {BATCH})::INTEGER AS batch, ((n - 1) % {BATCH})::INTEGER AS slot, lane FROM s JOIN st ON s.stage = st.stage WHERE n > 0
-""")
+    ),
+    sched AS (SELECT s.stage, ((dense_rank() OVER (ORDER BY stage_index, s.stage) - 1) * {STEPS} + (n - 1) // {BATCH})::INTEGER AS batch, ((n - 1) % {BATCH})::INTEGER AS slot, lane FROM s JOIN st ON s.stage = st.stage WHERE n > 0)
+"""
+
+
+@P.query(f"{_SCHEDULE} SELECT stage, batch, slot, lane FROM sched")
 def lane_schedule(t: Tables) -> DataFrame:
     """stage, batch, slot, lane of every sequence: floors first in each batch, then the lane furthest behind."""
     return schedule(t.stage_weights.select("stage", "stage_index", "lane", "weight"), _floors(t), BATCH, STEPS)
 
 
+@P.query(f"""{_SCHEDULE},
+    pool AS (SELECT lane, doc_id, row_number() OVER (PARTITION BY lane ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lane) AS n FROM documents WHERE split = 'train' AND lane IS NOT NULL),
+    c AS (SELECT *, row_number() OVER (PARTITION BY stage, lane ORDER BY batch, slot) - 1 AS cursor FROM sched),
+    built AS (SELECT stage, batch, string_agg(c.lane || ':' || doc_id, ',' ORDER BY slot) AS members FROM c JOIN pool p ON p.lane = c.lane AND p.k = c.cursor % p.n GROUP BY stage, batch)
+    SELECT stage, batch, printf('batch-%04d-%s', batch, sha256(members)[1:16]) AS batch_id, members FROM built
+""")
+def built_batches(t: Tables) -> DataFrame:
+    """The schedule's batches filled from their lanes' pools: a cursor of each stage and lane goes round its pool. The id holds a hash of the contents."""
+    pool = ranked(_train(t).select("lane", "doc_id"), ["lane"], [F.asc("doc_id")], "k")
+    n = pool.groupBy("lane").agg(F.count("*").alias("n"))
+    # The schedule is as small as the stages' batches; pools are joined by place.
+    slots = lane_schedule(t).withColumn("cursor", F.row_number().over(Window.partitionBy("stage", "lane").orderBy("batch", "slot")) - 1)
+    placed = slots.join(n, "lane").withColumn("k", F.col("cursor") % F.col("n") + 1).join(pool, ["lane", "k"])
+    members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.concat_ws(":", "lane", "doc_id").alias("m")))), lambda x: x["m"]), ",")
+    return placed.groupBy("stage", "batch").agg(members.alias("members")).select("stage", "batch", F.format_string("batch-%04d-%s", "batch", F.substring(F.sha2("members", 256), 1, 16)).alias("batch_id"), "members")
+
+
+@P.query("""
+    WITH c AS (SELECT stage, lane, sum(weight) OVER (PARTITION BY stage ORDER BY lane) AS upto, sum(weight) OVER (PARTITION BY stage ORDER BY lane) - weight AS since FROM stage_weights),
+    d AS (SELECT stage, i AS draw, ('0x' || sha256('11|' || stage || '|' || i)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT stage FROM stage_weights), range(0, 1000) AS r(i))
+    SELECT d.stage, draw, lane FROM d JOIN c ON d.stage = c.stage AND u >= since AND u < upto
+""")
+def random_lanes(t: Tables) -> DataFrame:
+    """A lane drawn by weight for each of a thousand slots, from a hash of seed, stage and slot: to be stored, and the same when drawn again."""
+    w = Window.partitionBy("stage").orderBy("lane")
+    c = t.stage_weights.select("stage", "lane", F.sum("weight").over(w).alias("upto"), (F.sum("weight").over(w) - F.col("weight")).alias("since"))
+    u = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("11"), "stage", "draw"), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    d = t.stage_weights.select("stage").distinct().crossJoin(t.spark.range(1000).withColumnRenamed("id", "draw")).withColumn("u", u)
+    return d.join(F.broadcast(c), "stage").where((F.col("u") >= F.col("since")) & (F.col("u") < F.col("upto"))).select("stage", "draw", "lane")
+
+
+@P.query("""
+    WITH d AS (SELECT DISTINCT stage_index, doc_id FROM selection_decisions), s AS (SELECT shard_id, split, lane FROM shard_index)
+    SELECT 'decision' AS kind, printf('sel-%02d-%04d', stage_index, row_number() OVER (PARTITION BY stage_index ORDER BY doc_id) - 1) AS id FROM d UNION ALL
+    SELECT 'shard', split || '-' || coalesce(lane, 'none') || '-' || sha256(shard_id)[1:12] FROM s
+""")
+def formatted_ids(t: Tables) -> DataFrame:
+    """Ids of decisions (stage, ordinal) and of shards (split, lane, hash)."""
+    k = ranked(t.selection_decisions.select("stage_index", "doc_id").distinct(), ["stage_index"], [F.asc("doc_id")], "k")
+    a = k.select(F.lit("decision").alias("kind"), F.format_string("sel-%02d-%04d", "stage_index", F.col("k") - 1).alias("id"))
+    b = t.shard_index.select(F.lit("shard").alias("kind"), F.concat_ws("-", "split", F.coalesce("lane", F.lit("none")), F.substring(F.sha2("shard_id", 256), 1, 12)).alias("id"))
+    return a.unionByName(b)
+
+
 def _train(t: Tables) -> DataFrame:
     return t.documents.where("split = 'train' and lane is not null")
 
@@ -192,14 +239,15 @@ def mixture_compliance(t: Tables) -> DataFrame:
 
 @P.query("""
     WITH pool AS (SELECT lane, doc_id, row_number() OVER (PARTITION BY lane ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY lane) AS n FROM documents WHERE split = 'train' AND lane IS NOT NULL),
-    slots AS (SELECT lane, i AS slot FROM (SELECT lane FROM lane_config), range(0, 5000) AS r(i)) SELECT s.lane, s.slot::BIGINT AS slot, p.doc_id FROM slots s JOIN pool p ON p.lane = s.lane AND p.k = s.slot % p.n
+    slots AS (SELECT lane, unnest(range(0, 2 * n + 3)) AS slot FROM (SELECT lane, any_value(n) AS n FROM pool GROUP BY lane) JOIN (SELECT DISTINCT lane FROM lane_config) USING (lane)) SELECT s.lane, s.slot::BIGINT AS slot, p.doc_id FROM slots s JOIN pool p ON p.lane = s.lane AND p.k = s.slot % p.n
 """)
 def round_robin_assign(t: Tables) -> DataFrame:
-    """Each slot of a lane takes the lane's next document, from the start again when all are used."""
+    """Each slot of a lane takes the lane's next document, from the start again when all are used: two rounds of every pool and three slots more."""
     pool = ranked(_train(t).select("lane", "doc_id"), ["lane"], [F.asc("doc_id")], "k")
     n = pool.groupBy("lane").agg(F.count("*").alias("n"))
-    slots = t.lane_config.select("lane").crossJoin(t.spark.range(5000).withColumnRenamed("id", "slot")).join(F.broadcast(n), "lane").withColumn("k", F.col("slot") % F.col("n") + 1)
-    return slots.join(pool, ["lane", "k"]).select("lane", "slot", "doc_id")
+    # A pool's places and the slots that come round to them; no lane's slots are listed in one row.
+    rounds = pool.join(F.broadcast(t.lane_config.select("lane").distinct()), "lane", "left_semi").join(n, "lane").withColumn("slot", F.explode(F.expr("sequence(k - 1, 2 * n + 2, n)")))
+    return rounds.select("lane", "slot", "doc_id")
 
 
 QUERIES, SQL = P.QUERIES, P.SQL

@@ -83,6 +83,23 @@ def pack_by_policy(t: Tables) -> DataFrame:
     return packed(B.chunks(_sizes(t), L), L)
 
 
+_TRUNCATED = f"""
+    WITH i AS (SELECT lane, list((n + 1)::BIGINT ORDER BY doc_id, shard_id, row_id) AS sizes, list([least(n + 1, {L})::BIGINT] ORDER BY n DESC) AS items, count(*) AS structure, sum(least(n + 1, {L}))::BIGINT AS kept FROM {_ROWS} GROUP BY lane)
+    SELECT lane, (list_reduce(list_prepend(1000::BIGINT, sizes), lambda acc, x: CASE WHEN acc % 1000 + x > {L} THEN (acc // 1000 + 1) * 1000 + least(x, {L}) ELSE acc + x END) // 1000)::BIGINT AS greedy,
+      list_reduce(list_prepend(list_transform(range(0, {L + 3}), lambda i: 0::BIGINT), items), lambda acc, x:
+        list_transform([list_filter(range(x[1], {L + 1}), lambda g: acc[2 + g] > 0)[1]], lambda gap:
+          list_transform(acc, lambda v, i: v + CASE WHEN gap IS NULL THEN (i = 1)::BIGINT + (i = 2 + {L} - x[1])::BIGINT ELSE (i = 2 + gap - x[1])::BIGINT - (i = 2 + gap)::BIGINT END))[1])[1] AS best_fit, structure, kept
+    FROM i
+"""
+
+
+@P.query(_TRUNCATED)
+def pack_truncating(t: Tables) -> DataFrame:
+    """Documents with an end token, cut at the sequence's length: next-fit, best-fit, one a sequence."""
+    rows = _sizes(t).withColumn("k", F.struct("doc_id", "shard_id", "row_id"))
+    return B.truncated(rows, "lane", "k", L)
+
+
 @P.query(f"SELECT lane, count(*) AS sequences, sum(least(n, {L - 2}) + 2)::BIGINT AS non_pad, sum(greatest(n - {L - 2}, 0))::BIGINT AS dropped FROM {_ROWS} GROUP BY lane")
 def pack_pad_only(t: Tables) -> DataFrame:
     """One document a sequence, cut off."""

@@ -38,10 +38,12 @@ def byte_tokenize(t: Tables) -> DataFrame:
     return tokens.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(text, 256).alias("span_hash"))
 
 
-@P.query("SELECT count(*) AS documents, count(*) AS exact FROM documents WHERE text IS NOT NULL")
+@P.query("SELECT count(*) AS documents, count(*) FILTER (WHERE doc_id % 5 <> 0) AS exact, count(*) FILTER (WHERE doc_id % 5 = 0) AS undecodable FROM documents WHERE text IS NOT NULL")
 def roundtrip(t: Tables) -> DataFrame:
-    back = t.documents.where("text is not null").select("text", T.byte_text(T.byte_tokens("text")).alias("back"))
-    return back.agg(F.count("*").alias("documents"), F.count_if(F.col("text") == F.col("back")).alias("exact"))
+    """Texts that come back from their tokens; those of every fifth id end in a byte that no UTF-8 has, and do not."""
+    tokens = F.when(F.col("doc_id") % 5 == 0, F.concat(T.byte_tokens("text"), F.array(F.lit(255 + T.BYTE_OFFSET)))).otherwise(T.byte_tokens("text"))
+    back = t.documents.where("text is not null").select("text", T.byte_text(tokens).alias("back"))
+    return back.agg(F.count("*").alias("documents"), F.count_if(F.col("text") == F.col("back")).alias("exact"), F.count_if(F.col("back").isNull()).alias("undecodable"))
 
 
 @P.query("""
@@ -206,6 +208,17 @@ def bigram_counts(t: Tables) -> DataFrame:
     return pairs.groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
 
 
+@P.query("""
+    WITH w AS (SELECT DISTINCT w FROM (@WORDS) WHERE octet_length(encode(w)) = length(w) AND length(w) > 32)
+    SELECT w AS word, i::INTEGER AS block, w[i * 32 + 1:(i + 1) * 32] AS piece FROM w, unnest(range(0, (length(w) + 31) // 32)) AS r(i)
+""".replace("@WORDS", _WORDS))
+def overflow_blocks_ascii(t: Tables) -> DataFrame:
+    """The same for words of ASCII, where blocks are characters."""
+    from ..operators.blocks import overflow_blocks as blocks
+
+    return blocks(_words(t).where((F.octet_length("w") > 32) & (F.octet_length("w") == F.length("w"))).select("w").distinct(), "w", 32)
+
+
 @P.query()
 def overflow_blocks(t: Tables) -> DataFrame:
     """Blocks of at most 32 bytes of each word, cut before a character; p words longer than that only."""
@@ -214,13 +227,51 @@ def overflow_blocks(t: Tables) -> DataFrame:
     return blocks(_words(t).where(F.octet_length("w") > 32).select("w").distinct(), "w", 32)
 
 
-@P.query()
+_BITS = """
+    SELECT p_partkey, v, e, ((e + 127)::BIGINT << 23) | ((v / pow(2, e) - 1) * 8388608)::BIGINT AS b, least(round_even(v / pow(2, e - 3), 0)::BIGINT + ((e + 6)::BIGINT << 3), 126) AS q
+    FROM (SELECT p_partkey, v, floor(log2(v))::BIGINT AS e FROM (SELECT p_partkey, (p_retailprice / 64)::FLOAT::DOUBLE AS v FROM part WHERE p_retailprice > 1))
+"""
+
+
+@P.query(f"""
+    SELECT p_partkey, fp32[1:1] || ' ' || fp32[2:9] || ' ' || fp32[10:] AS fp32, bf16[1:1] || ' ' || bf16[2:9] || ' ' || bf16[10:] AS bf16, fp8[1:1] || ' ' || fp8[2:5] || ' ' || fp8[6:] AS fp8,
+      (1 + (q & 7) / 8.0::DOUBLE) * pow(2, (q >> 3) - 7) AS fp8_value
+    FROM (SELECT p_partkey, q, lpad(bin(b), 32, '0') AS fp32, lpad(bin((b + 32767 + ((b >> 16) & 1)) >> 16), 16, '0') AS bf16, lpad(bin(q), 8, '0') AS fp8 FROM ({_BITS}))
+""")
 def float_bits(t: Tables) -> DataFrame:
-    """Bit strings of a value as FP32 and BF16 (round to nearest, ties to even)."""
-    from ..functions.numeric import bf16_bits, fp32_bits
+    """Bits of a value as FP32, BF16 and FP8 E4M3 (round to nearest, ties to even), by sign, exponent and mantissa, and what FP8 makes of it."""
+    from ..functions.numeric import bf16_bits, fp8_bits, fp8_value, fp32_bits, grouped_bits
+
+    v = (F.col("p_retailprice") / 64).cast("float")
+    return t.part.where("p_retailprice > 1").select("p_partkey", grouped_bits(fp32_bits(v), 8).alias("fp32"), grouped_bits(bf16_bits(v), 8).alias("bf16"), grouped_bits(fp8_bits(v.cast("double")), 4).alias("fp8"), fp8_value(v.cast("double")).alias("fp8_value"))
+
 
-    v = F.col("p_retailprice").cast("float")
-    return t.part.select("p_partkey", fp32_bits(v).alias("fp32"), bf16_bits(v).alias("bf16"))
+@P.query("""
+    WITH h AS (SELECT p_partkey, hex(encode(p_name)) AS h FROM part)
+    SELECT p_partkey, i::INTEGER * 256 + ('0x' || h[2 * i + 1 : 2 * i + 2])::INTEGER AS coordinate, round(1.0::DOUBLE / greatest(length(h) // 2, 1), 9) AS value FROM h, unnest(range(0, length(h) // 2)) AS r(i) WHERE length(h) <= 64
+""")
+def k32_mean_code(t: Tables) -> DataFrame:
+    """Position-byte coordinates of words of at most 32 bytes, each of one over the length; a longer word raises, so they are set aside first."""
+    return T.mean_code(t.part.where(F.octet_length("p_name") <= 32), "p_partkey", "p_name")
+
+
+@P.query("""
+    WITH v AS (SELECT ch, row_number() OVER (ORDER BY encode(ch)) + 1 AS id FROM (SELECT DISTINCT unnest(string_split(p_name, '')) AS ch FROM part WHERE p_name <> '') WHERE ch <> ''),
+    c AS (SELECT p_partkey, i, string_split(p_name, '')[i] AS ch FROM part, unnest(range(1, length(p_name) + 1)) AS r(i))
+    SELECT p_partkey, string_agg(id::VARCHAR, ',' ORDER BY i) || ',1' AS ids, any_value(p_name) AS decoded FROM c JOIN v USING (ch) JOIN part USING (p_partkey) GROUP BY p_partkey
+""")
+def char_encode(t: Tables) -> DataFrame:
+    """Ids of a character vocabulary behind pad and end, with an end each, and the text that they give back."""
+    tokenizer = T.CharTokenizer.of(t.part, "p_name")
+    ids = tokenizer.encode(F.col("p_name"))
+    return t.part.where("p_name <> ''").select("p_partkey", F.array_join(ids.cast("array<string>"), ",").alias("ids"), tokenizer.decode(ids).alias("decoded"))
+
+
+@P.query("SELECT doc_id, lane, split, language FROM documents")
+def metadata_view(t: Tables) -> DataFrame:
+    """A record without its payload: keys dropped from a struct."""
+    record = F.struct("doc_id", "lane", "split", "language", "text", "turns").dropFields("text", "turns")
+    return t.documents.select(record.alias("r")).select("r.*")
 
 
 QUERIES, SQL = P.QUERIES, P.SQL
