@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 from typing import Protocol, runtime_checkable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import binpack
+from .mixture import alignment, decide
 
 
 @runtime_checkable
@@ -51,6 +53,58 @@ class Book(Protocol):
     def broken(self) -> int: ...
 
 
+class AlignmentSelector:
+    """Decisions by gradient alignment with a proxy: documents with doc_id, lane, min_stage, quality and tokens' row keys to decisions of each stage."""
+
+    def __init__(self, proxy: DataFrame, stages: DataFrame, required: DataFrame, prefix: int = 16):
+        self.proxy, self.stages, self.required, self.prefix = proxy, stages, required, prefix
+
+    def select(self, documents: DataFrame) -> DataFrame:
+        scored = alignment(documents, self.proxy, self.prefix).drop("shard_id", "row_id", "tokens")
+        return decide(scored, self.stages, self.required)
+
+
+@runtime_checkable
+class Checkpoints(Protocol):
+    """Named states: save one, load it."""
+
+    def save(self, name: str, state: DataFrame) -> str: ...
+
+    def load(self, name: str) -> DataFrame: ...
+
+
+class ParquetCheckpoints:
+    """States as Parquet directories below a folder; a name is written once."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def save(self, name: str, state: DataFrame) -> str:
+        at = f"{self.path}/{name}.parquet"
+        state.write.mode("errorifexists").parquet(at)
+        return at
+
+    def load(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A curriculum stage: configuration, with the weights of its lanes."""
+
+    name: str
+    index: int
+    weights: dict[str, float]
+
+    @classmethod
+    def from_mapping(cls, value: Mapping[str, object]) -> Stage:
+        return cls(str(value["name"]), int(value["index"]), dict(value["weights"]))  # type: ignore[call-overload]
+
+    def rows(self) -> list[tuple[str, int, str, float]]:
+        """stage, stage_index, lane, weight: the rows of a table of stages."""
+        return [(self.name, self.index, lane, float(w)) for lane, w in self.weights.items()]
+
+
 def _structure(chunked: DataFrame, by: str, order: str, length: int) -> DataFrame:
     return chunked.groupBy(by).agg(F.count("*").alias("bins"), F.sum(F.col("token_end") - F.col("token_start") + binpack.FRAME).alias("non_pad"))
 

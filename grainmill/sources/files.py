@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
+
+from ..functions.hashing import canonical_json
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -30,11 +36,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).json(path)
 
 
-def canonical_json(value: object) -> str:
-    """Keys sorted, no blanks, no ASCII escapes."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
-
-
 def canonical_lines(df: DataFrame) -> DataFrame:
     """One canonical JSON line a row, in a column `value`."""
     names = df.columns
@@ -63,7 +64,60 @@ def write_jsonl(df: DataFrame, path: str, order: list[str], files: int | None =
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Canonical JSON lines behind those that are there; a job that fails adds none."""
+    canonical_lines(df).write.mode("append").text(path)
+
+
+def write_json(value: object, path: str) -> None:
+    """One object with sorted keys, indented; a reader sees the old file or the new one, never a part."""
+    _replace(path, json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
+
+
+def _replace(path: str, text: str) -> None:
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    fresh = f"{path}.tmp"
+    with open(fresh, "w", encoding="utf-8") as f:
+        f.write(text)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(fresh, path)
+
+
+class RunLog:
+    """A log of events, a line each: [STATUS] event | message; on disk before `log` returns, and printed."""
+
+    def __init__(self, path: str, echo: bool = True):
+        self.path, self.echo = path, echo
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+
+    def log(self, event: str, message: str = "", status: str | None = None) -> str:
+        line = " | ".join(x for x in (f"[{status}] {event}" if status else event, message) if x)
+        with open(self.path, "a", encoding="utf-8") as f:
+            f.write(line + "\n")
+            f.flush()
+            os.fsync(f.fileno())
+        if self.echo:
+            print(line, flush=True)
+        return line
+
+    def listener(self) -> StreamingQueryListener:
+        """A listener that logs each micro-batch and each end of a streaming query."""
+        log = self.log
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                log("stream started", str(event.id))
+
+            def onQueryProgress(self, event):
+                log("batch", f"{event.progress.batchId}: {event.progress.numInputRows} rows")
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                log("stream ended", str(event.id), "FAIL" if event.exception else "PASS")
+
+        return Listener()
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -81,8 +135,25 @@ def read_corpus_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of each file below a path."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length, sha256 of each file below a path. A task reads its files by blocks, so their size does not matter."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+    def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in it:
+            hashes = []
+            for name in pdf["path"]:
+                where = unquote(name) if name.startswith("file:") else name
+                system, at = fs.FileSystem.from_uri(where if "://" in where else where.replace("file:", "file://", 1))
+                h = hashlib.sha256()
+                with system.open_input_stream(at) as stream:
+                    while block := stream.read(1 << 20):
+                        h.update(block)
+                hashes.append(h.hexdigest())
+            yield pdf.assign(sha256=hashes)
+
+    return names.mapInPandas(part, "path string, length long, sha256 string")
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -90,6 +161,12 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, "vocab array<string>").select(F.posexplode("vocab").alias("token_id", "token")).withColumn("bytes", F.encode("token", "UTF-8"))
 
 
+def read_merges(spark: SparkSession, path: str) -> DataFrame:
+    """rank, left, right of a tokenizer file with a `merges` array of 'left right'."""
+    pair = F.split("merge", " ", 2)
+    return read_json(spark, path, "merges array<string>").select(F.posexplode("merges").alias("rank", "merge")).select("rank", pair[0].alias("left"), pair[1].alias("right"))
+
+
 def write_shards(rows: DataFrame, path: str, by: list[str], order: list[str]) -> None:
     """Rows as Parquet, a directory for each value of `by`, sorted within files; refuses to overwrite.
 
@@ -134,9 +211,21 @@ def report(df: DataFrame, title: str, path: str, most: int = 1000) -> None:
         raise ValueError(f"{title}: more than {most} rows")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     lines += ["| " + " | ".join("—" if v is None else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v) for v in r) + " |" for r in rows]
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(tmp, path)
+    _replace(path, "\n".join(lines) + "\n")
+
+
+def folder_state(path: str) -> str:
+    """One hash over the names and contents of a local folder's files."""
+    h = hashlib.sha256()
+    for p in sorted(x for x in Path(path).rglob("*") if x.is_file()):
+        h.update(str(p.relative_to(path)).encode() + b"\0" + hashlib.sha256(p.read_bytes()).digest())
+    return h.hexdigest()
+
+
+def without_change(path: str, evaluate: Callable[[], object]) -> object:
+    """What `evaluate` returns; raises RuntimeError if the folder that it reads differs afterwards."""
+    before = folder_state(path)
+    result = evaluate()
+    if folder_state(path) != before:
+        raise RuntimeError(f"{path} was changed by an evaluation")
+    return result

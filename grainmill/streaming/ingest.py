@@ -5,47 +5,45 @@ Event-time windows, sessions and deduplication are additions of this engine; bud
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import hash_bucket
 from ..operators.ledger import GENESIS
-
-TAKEN = "part string, doc_id long, taken long, used long"
-
+from ..operators.running import running_sum
 
 def file_stream(spark: SparkSession, path: str, schema: object, files: int = 1) -> DataFrame:
     """A directory of Parquet files as a stream, a few files at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def budgeted(documents: DataFrame, budgets: dict[str, int], lanes: int = 32) -> DataFrame:
-    """Token counts of texts up to a budget per part (train, validation by hash of the id), an end token each.
+class Budgeted:
+    """For foreachBatch: token counts of texts up to one budget a part (train, validation by hash of the id), an end token each.
 
-    The running count of each part is state. A part's budget is split evenly over `lanes` hash lanes, so no part is a single
-    group; within a lane texts are taken in the order of id of each micro-batch.
+    What earlier batches took is read from the output, so a part's budget is one, whatever the order of files; within a
+    batch texts are taken by id, with running sums over range partitions. A batch is written under its number: one that is
+    sent again after a failure replaces itself and counts what only earlier ones took.
     """
-    part = F.when(hash_bucket(F.col("doc_id").cast("string"), 100) < 2, "validation").otherwise("train")
-    rows = documents.where(F.col("text").rlike("\\S")).select(part.alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).cast("int").alias("lane"), "doc_id", (F.octet_length("text") + 1).cast("long").alias("n"))
 
-    def take(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        share = budgets[key[0]] // lanes + (1 if key[1] < budgets[key[0]] % lanes else 0)
-        out = []
-        for doc, n in pd.concat(list(pdfs)).sort_values("doc_id")[["doc_id", "n"]].itertuples(index=False):
-            taken = min(n, share - used)
-            if taken <= 0:
-                break
-            used += taken
-            out.append((key[0], doc, taken, used))
-        state.update((used,))
-        yield pd.DataFrame(out, columns=["part", "doc_id", "taken", "used"])
+    def __init__(self, spark: SparkSession, path: str, budgets: dict[str, int]):
+        self.spark, self.path, self.budgets = spark, path, budgets
+
+    def read(self) -> DataFrame:
+        schema = "batch long, part string, doc_id long, taken long, used long"
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/*") if there else self.spark.createDataFrame([], schema)
 
-    return rows.groupBy("part", "lane").applyInPandasWithState(take, TAKEN, "used long", "append", GroupStateTimeout.NoTimeout)
+    def __call__(self, documents: DataFrame, batch: int) -> None:
+        used = {r["part"]: r["n"] for r in self.read().where(F.col("batch") < batch).groupBy("part").agg(F.sum("taken").alias("n")).collect()}
+        left = {p: n - used.get(p, 0) for p, n in self.budgets.items()}
+        part = F.when(hash_bucket(F.col("doc_id").cast("string"), 100) < 2, "validation").otherwise("train")
+        rows = documents.where(F.col("text").rlike("\\S")).select(part.alias("part"), "doc_id", (F.octet_length("text") + 1).cast("long").alias("n")).where(F.col("part").isin([p for p, n in left.items() if n > 0]))
+        budget = F.create_map(*[F.lit(x) for p, n in left.items() for x in (p, n)])[F.col("part")]
+        before = F.create_map(*[F.lit(x) for p in left for x in (p, used.get(p, 0))])[F.col("part")]
+        taken = running_sum(rows, ["part"], "doc_id", "n", "before").where(F.col("before") < budget)
+        out = taken.select(F.lit(batch).cast("long").alias("batch"), "part", "doc_id", F.least("n", budget - F.col("before")).alias("taken"), (before + F.least(F.col("before") + F.col("n"), budget)).alias("used"))
+        out.write.mode("overwrite").parquet(f"{self.path}/batch={batch:012d}.parquet")
 
 
 class Ledger:
@@ -79,15 +77,29 @@ class Ledger:
         record.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch:012d}.parquet")
 
     def broken(self) -> int:
-        """Records that do not hold or do not follow."""
-        rows, last, bad = self.read().orderBy("batch").toLocalIterator(), GENESIS, 0
-        import hashlib
-
-        for r in rows:
-            want = hashlib.sha256("|".join((r["previous_hash"], str(r["batch"]), str(r["records"]), r["content"])).encode()).hexdigest()
-            bad += r["previous_hash"] != last or r["record_hash"] != want
-            last = r["record_hash"]
-        return bad
+        """Records that do not hold or do not follow: every link is checked by itself."""
+        before = F.lag("record_hash", 1, GENESIS).over(Window.orderBy("batch"))
+        own = F.sha2(F.concat_ws("|", "previous_hash", F.col("batch").cast("string"), F.col("records").cast("string"), "content"), 256)
+        # A row per micro-batch; its predecessor is one place before it.
+        return self.read().withColumn("_before", before).where((F.col("previous_hash") != F.col("_before")) | (F.col("record_hash") != own)).count()
+
+    def fork(self, path: str, batch: int) -> Ledger:
+        """A new ledger with this one's records up to a batch: what is appended to it continues from there. ValueError if the batch is not there, or the new one is."""
+        fresh = Ledger(self.spark, path)
+        if batch > self.head()[0] or fresh.head()[0] >= 0:
+            raise ValueError(f"cannot fork at batch {batch}")
+        for r in range(batch + 1):
+            self.spark.read.parquet(f"{self.path}/batch={r:012d}.parquet").coalesce(1).write.parquet(f"{path}/batch={r:012d}.parquet")
+        return fresh
+
+    def agrees_with(self, checkpoint: str) -> bool:
+        """Whether the ledger ends where a streaming checkpoint does: at its last committed batch, or at one more whose commit was lost with the process."""
+        jvm = self.spark._jvm
+        commits = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+        fs = commits.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(commits)] if fs.exists(commits) else []
+        last = max((int(n) for n in names if n.isdigit()), default=-1)
+        return self.head()[0] in (last, last + 1)
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -311,3 +311,39 @@ def test_beam_search_equals_all_paths(spark):
     for _ in range(3):
         paths = [(p + [b], x + y) for p, x in paths for (a, b), y in moves.items() if a == p[-1]]
     assert {(",".join(p), round(x, 9)) for p, x in paths} == set(zip(got.path, got.logp))
+
+
+def test_fp8_codes():
+    import numpy as np
+
+    from grainmill.functions.numeric import e4m3, e4m3_value
+
+    every = np.arange(256, dtype=np.uint8)
+    value = e4m3_value(every)
+    good = ~np.isnan(value)
+    assert np.isnan(value[[127, 255]]).all() and good.sum() == 254 and value[good].max() == 448
+    assert (e4m3(value[good]) == every[good]).all()
+    assert f"{e4m3(np.array([0.1]))[0]:08b}" == "00011101"
+    x = np.random.default_rng(0).normal(0, 50, 2000)
+    finite = np.unique(value[good])
+    near = np.array([np.abs(finite - v).min() for v in np.clip(x, -448, 448)])
+    assert np.allclose(np.abs(e4m3_value(e4m3(x)) - np.clip(x, -448, 448)), near)
+
+
+@pytest.mark.parametrize("fits", [0, 1, 2, 3, 4, 7, 8, 100, 1023, 1024, 5000])
+def test_search_by_doubling_and_bisection(spark, fits):
+    from grainmill.functions.numeric import largest_safe
+
+    assert spark.range(1).select(largest_safe(lambda n: n <= fits, 1024).alias("n")).first()["n"] == min(fits, 1024)
+
+
+def test_character_ids(spark):
+    df = spark.createDataFrame([("abca",), ("",), (None,)], "t string")
+    tok = T.CharTokenizer.of(df, "t")
+    assert tok.vocabulary == 5
+    rows = df.select(tok.encode(F.col("t")).alias("i"), tok.encode(F.col("t"), end=False).alias("j")).withColumn("back", tok.decode(F.col("i"))).collect()
+    assert [r.i for r in rows] == [[2, 3, 4, 2, 1], [1], None] and rows[0].j == [2, 3, 4, 2] and [r.back for r in rows] == ["abca", "", None]
+    with pytest.raises(Exception, match="no id for"):
+        spark.createDataFrame([("z",)], "t string").select(tok.encode(F.col("t"))).collect()
+    with pytest.raises(Exception, match="more than 32 bytes"):
+        T.mean_code(spark.createDataFrame([(1, "x" * 33)], "k int, t string"), "k", "t").collect()
