@@ -750,24 +750,76 @@ def test_disguises_are_read():
     assert flat.count(toxicity.HIDDEN) == 5
 
 
-def test_kneser_ney_is_a_distribution():
-    rows = [[2, 3, 4], [2, 3, 5], [3, 4, 4, 2]]
-    shared = np.full(7, 1 / 7)
-    m = toxicity.KneserNey(rows, 7)
-    for u, v in ((0, 0), (2, 3), (5, 5), (0, 2)):
-        assert abs(sum(m.p(u, v, w, shared) for w in range(7)) - 1) < 1e-9
+def test_kneser_ney_is_a_distribution_whatever_is_known():
+    """Probabilities sum to one, and those of what is known do not change if the rest is only known as sums."""
+    rows, size = [[2, 3, 4], [2, 3, 5], [3, 4, 4, 2], [2, 3, 4, 6, 6]], 7
+    keys, counts = np.unique(np.concatenate([toxicity.triples(np.array(r), size) for r in rows]), return_counts=True)
+    whole = toxicity.counted(keys, counts, size)
+    some = keys[::2]
+    known = lambda k, n, among: (k[np.isin(k, among)], n[np.isin(k, among)])
+    pairs = np.unique(keys // size), np.array([counts[keys // size == x].sum() for x in np.unique(keys // size)])
+    bi = np.unique(keys % (size * size), return_counts=True)
+    dense = lambda k, n: np.bincount(k, n, minlength=size)
+    part = toxicity.KneserNey(size, known(keys, counts, some), known(*pairs, some // size), known(*bi, some % (size * size)), dense(bi[0] // size, bi[1]), dense(bi[0] % size, None))
+    for m in (whole, part):
+        m.ground(np.full(size, 1 / size))
+        for u, v in ((0, 0), (2, 3), (5, 5), (0, 2), (4, 4)):
+            assert abs(m.p((u * size + v) * size + np.arange(size)).sum() - 1) < 1e-9
+    # By hand: P(4 | 2 3) = (2 - D) / 3 + what is left of the context (2 known followers) * P(4 | 3).
+    d = toxicity.DISCOUNT
+    low = (max(2 - d, 0) + d * 5 / size) / whole.uni.sum()
+    two = (2 - d) / 3 + (1 - ((2 - d) + (1 - d)) / 3) * low
+    assert whole.uni[4] == 2 and whole.p(np.array([(2 * size + 3) * size + 4]))[0] == pytest.approx((2 - d) / 3 + (1 - ((2 - d) + (1 - d)) / 3) * two)
+
+
+def test_stretches_equal_trying_all():
+    rng = np.random.default_rng(1)
+    encoder = toxicity.Encoder([f"w{i}" for i in range(8)])
+    rows = [rng.integers(2, 10, 6) for _ in range(30)]
+    make = lambda rs: toxicity.counted(*np.unique(np.concatenate([toxicity.triples(r, encoder.size) for r in rs]), return_counts=True), encoder.size)
+    model = toxicity.Toxicity(encoder, make(rows[:15]), make(rows[15:]))
+    docs_ = [np.concatenate([np.zeros(0, np.int64), *(np.concatenate(([0, 0], rng.integers(1, 10, rng.integers(1, 9)))) for _ in range(rng.integers(0, 4)))]).astype(np.int64) for _ in range(40)]
+    flat = toxicity.Flat(docs_, encoder.size)
+    bits, a, b = model.stretches(flat)
+    each = model.bits(flat.keys)
+    for k, (first, n) in enumerate(zip(flat.first, flat.length)):
+        x = each[first : first + n]
+        best = max((x[i:j].sum() for i in range(n) for j in range(i + 1, n + 1)), default=0.0)
+        assert bits[k] == pytest.approx(max(best, 0.0), abs=1e-6)
+        if best > 0:
+            assert x[a[k] : b[k]].sum() == pytest.approx(best, abs=1e-6)
+    score, words = model.score(docs_)
+    for d, s in enumerate(score):
+        mine = [k for k in range(len(flat.first)) if flat.owner[flat.at[flat.first[k]]] == d]
+        assert s == pytest.approx(max([0.0, *((bits[k] - toxicity.PRIOR) / max(1, b[k] - a[k]) for k in mine)]), abs=1e-6)
+
+
+def test_counts_are_those_of_all_documents(spark):
+    """A telling phrase of few labelled documents, and an ordinary one: scores do not hang on how the table is cut, and every document counts."""
+    rng = random.Random(16)
+    plain = lambda: " ".join(rng.choice("the bridge market river counts keeps old new report visits".split()) for _ in range(9)) + "."
+    bad = "Get lost you utter zorgle nobody wants you here."
+    rows = [(i, plain() + " " + (bad if i % 10 == 0 else plain()), "s", "a", "en", "train", 0.5, None) for i in range(400)]
+    labels = spark.createDataFrame([(i, "r", int(i % 10 == 0), None) for i in range(0, 400, 1) if i % 20 in (0, 3, 7)], "doc_id long, reviewer string, abusive int, labelled_at timestamp")
+    got = toxicity.scores(docs(spark, rows), labels).toPandas().set_index("doc_id")
+    assert (got.flagged == (got.index % 10 == 0)).all() and got[got.flagged].statement.str.contains("zorgle").all()
+    again = toxicity.scores(docs(spark, rows[::-1]).repartition(7), labels).toPandas().set_index("doc_id")
+    assert np.allclose(got.score, again.loc[got.index].score)
+    # The same words in a corpus where everybody says them tell nothing.
+    common = [(1000 + i, plain() + " " + bad, "s", "a", "en", "train", 0.5, None) for i in range(4000)]
+    assert not toxicity.scores(docs(spark, rows + common), labels).where("flagged").count()
 
 
 def test_toxicity_held_out(spark):
-    """Trained on all labels of the larger table; a held-out half of documents labelled twice alike is told apart."""
+    """Trained on two thirds of the labels of the larger table; documents of the last third are told apart."""
     d = "/root/testdata/sf0.1"
     docs_, labels = table(spark, d, "documents"), table(spark, d, "review_labels")
     votes = labels.where("abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("v"))
     held = votes.where("doc_id % 3 = 0")
-    model = toxicity.train(docs_, labels.join(held, "doc_id", "left_anti"), background=3000)
-    got = toxicity.scores(docs_.join(held.select("doc_id"), "doc_id"), labels, model).join(held, "doc_id").toPandas()
+    model, encoded = toxicity.train(docs_, labels.join(held, "doc_id", "left_anti"))
+    got = toxicity.scored(encoded.join(held.select("doc_id"), "doc_id"), model).join(held, "doc_id").toPandas()
     pos, neg = got[got.v > 0.5], got[got.v <= 0.5]
-    assert neg.flagged.mean() < 0.1 and pos.flagged.mean() > 0.3
+    assert neg.flagged.mean() < 0.05 and pos.flagged.mean() > 0.3
 
 
 def test_fold_is_stable_and_composed():
