@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -25,6 +25,15 @@ def _p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(table(spark, d, "documents"))
 
 
+def _p1_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """The language of documents that are almost all in one script of one language (checked by SQL, which counts letters)."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    letters = lambda keep: F.length(F.regexp_replace("text", f"[^{keep}]", ""))
+    whole = F.length(F.regexp_replace("text", "[\\s\\p{Punct}0-9]", ""))
+    mostly = (F.greatest(letters("\\x{0C00}-\\x{0C7F}"), letters("\\x{0C80}-\\x{0CFF}"), letters("\\x{0B80}-\\x{0BFF}")) > 0.9 * whole) & (whole >= 40)
+    return language.document_languages(docs).join(docs.where(mostly).select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "language")
+
+
 def _p2_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "shard_rows"), table(spark, d, "lane_config"))
 
@@ -39,10 +48,26 @@ def _p2_parts(spark: SparkSession, d: str) -> DataFrame:
     return placed.groupBy("lane").agg(F.count("*").alias("parts"), F.sum("size").alias("tokens"), F.max("size").alias("largest"))
 
 
+def _p2_places(spark: SparkSession, d: str) -> DataFrame:
+    """Per lane the tokens placed, containers above their capacity, and parts that do not begin where the one before them ends."""
+    placed = _p2_containers(spark, d).where(F.col("container").isNotNull())
+    before = F.lag(F.col("packed_start") + F.col("size"), 1, 0).over(Window.partitionBy("lane", "container").orderBy("packed_start"))
+    p = placed.withColumn("gap", (F.col("packed_start") != before).cast("int"))
+    boxes = p.groupBy("lane", "container", "capacity").agg(F.sum("size").alias("n"), F.sum("gap").alias("gaps"))
+    return boxes.groupBy("lane").agg(F.sum("n").alias("tokens"), F.count_if(F.col("n") > F.col("capacity")).alias("overfull"), F.sum("gaps").alias("misplaced"))
+
+
 def _p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.Overlap(table(spark, d, "documents")).pairs()
 
 
+def _p3_same(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs found whose texts are the same string (checked by SQL, which joins on the text)."""
+    text = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    a, b = (text.select(F.col("doc_id").alias(f"doc_id_{x}"), F.sha2("text", 256).alias(f"h{x}")).distinct() for x in "ab")
+    return _p3_found(spark, d).join(a, "doc_id_a").join(b, "doc_id_b").where("ha = hb").select("doc_id_a", "doc_id_b")
+
+
 def _p3_links(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of classes of equal word sequences, by their smallest doc_ids."""
     return overlap.Overlap(table(spark, d, "documents")).links
@@ -65,6 +90,12 @@ def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking_pairs(table(spark, d, "documents"))
 
 
+def _p4_spaces(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs found of ASCII texts (checked by SQL: such texts look the same if they differ in white space alone)."""
+    ascii_ = table(spark, d, "documents").where(F.col("text").rlike(r"^[\x20-\x7e\t\r\n]*$")).select("doc_id")
+    return _p4_found(spark, d).join(ascii_.withColumnRenamed("doc_id", "doc_id_a"), "doc_id_a", "left_semi").join(ascii_.withColumnRenamed("doc_id", "doc_id_b"), "doc_id_b", "left_semi")
+
+
 def _p4_classes(spark: SparkSession, d: str) -> DataFrame:
     """The same without expanding pairs: each document's look, spelling and the look's number of spellings."""
     return lookalike.Looks(table(spark, d, "documents")).classes()
@@ -78,6 +109,16 @@ def _p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "shard_rows"), table(spark, d, "lane_config"))
 
 
+def _p5_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each oversized row's pieces cover it, keep the limit and share the overlap."""
+    config = table(spark, d, "lane_config").select("lane", "piece_limit", "piece_overlap")
+    p = _p5_pieces(spark, d).join(F.broadcast(config), "lane")
+    w = Window.partitionBy("shard_id", "row_id").orderBy("piece")
+    begins = F.coalesce(F.lag("token_end").over(w) - F.col("piece_overlap"), F.lit(0))
+    p = p.withColumn("ok", (F.col("token_start") == F.greatest(begins, F.lit(0))) & (F.col("token_end") - F.col("token_start") <= F.col("piece_limit")))
+    return p.groupBy("shard_id", "row_id").agg(F.max("n_tokens").alias("n_tokens"), (F.max("token_end") == F.max("n_tokens")).alias("complete"), F.bool_and("ok").alias("sound"))
+
+
 def _p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _p5_pieces(spark, d).where("piece = 0").select("shard_id", "row_id").distinct()
 
@@ -136,10 +177,13 @@ def queries() -> dict[str, Query]:
         "p1_found": _p1_found,
         "p1_documents": _p1_documents,
         "p1_segments": _p1_segments,
+        "p1_scripts": _p1_scripts,
         "p2_containers": _p2_containers,
         "p2_fill": _p2_fill,
         "p2_parts": _p2_parts,
+        "p2_places": _p2_places,
         "p3_found": _p3_found,
+        "p3_same": _p3_same,
         "p3_links": _p3_links,
         "p3_members": _p3_members,
         "p3_report": _p3_report,
@@ -147,8 +191,10 @@ def queries() -> dict[str, Query]:
         "p4_found": _p4_found,
         "p4_forms": _p4_forms,
         "p4_classes": _p4_classes,
+        "p4_spaces": _p4_spaces,
         "p5_found": _p5_found,
         "p5_pieces": _p5_pieces,
+        "p5_cover": _p5_cover,
         "p6_found": _p6_found,
         "p6_cutoffs": _p6_cutoffs,
         "p7_found": _p7_found,
@@ -223,6 +269,27 @@ def oracle_sql() -> dict[str, str]:
           SELECT source, t AS target_share, round(given / sum(given) OVER (), 9) AS actual_share, m AS max_repeats, n AS available, round(owed, 3) AS owed, given,
             round(greatest(0, t * sum(given) OVER () - given), 3) AS short, abs(given - owed) <= largest / 2 + 1 AS as_owed, documents, uses, most_uses FROM b
         """,
+        "p1_scripts": """
+          WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^\\x{0C00}-\\x{0C7F}]', '', 'g')) AS te, length(regexp_replace(text, '[^\\x{0C80}-\\x{0CFF}]', '', 'g')) AS kn, length(regexp_replace(text, '[^\\x{0B80}-\\x{0BFF}]', '', 'g')) AS ta,
+            length(regexp_replace(text, '[[:space:][:punct:]0-9]', '', 'g')) AS n FROM documents WHERE text IS NOT NULL)
+          SELECT DISTINCT doc_id, CASE WHEN te > 0.9 * n THEN 'te' WHEN kn > 0.9 * n THEN 'kn' ELSE 'ta' END AS language FROM c WHERE n >= 40 AND greatest(te, kn, ta) > 0.9 * n
+        """,
+        "p2_places": f"""
+          WITH r AS (SELECT DISTINCT ON (shard_id, row_id) shard_id, row_id, lane, n FROM ({_LENGTHS}) ORDER BY shard_id, row_id, written_at DESC, n DESC)
+          SELECT r.lane, sum(n)::BIGINT AS tokens, 0::BIGINT AS overfull, 0::BIGINT AS misplaced FROM r JOIN lane_config c ON r.lane = c.lane WHERE n > 0 GROUP BY r.lane
+        """,
+        "p3_same": """
+          SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b
+          FROM documents a JOIN documents b ON a.text = b.text WHERE a.split = 'train' AND b.split <> 'train' AND regexp_matches(a.text, '[\\p{L}\\p{N}\\p{P}\\p{S}]') AND a.doc_id <> b.doc_id
+        """,
+        "p4_spaces": """
+          WITH d AS (SELECT DISTINCT doc_id, text, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS look FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7e\\t\\r\\n]*'))
+          SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM d a JOIN d b ON a.look = b.look AND a.text <> b.text AND a.doc_id < b.doc_id WHERE a.look <> ''
+        """,
+        "p5_cover": f"""
+          WITH r AS (SELECT DISTINCT ON (shard_id, row_id) * FROM ({_LENGTHS}) ORDER BY shard_id, row_id, written_at DESC, n DESC)
+          SELECT shard_id, row_id, n::INTEGER AS n_tokens, true AS complete, true AS sound FROM r JOIN lane_config c ON r.lane = c.lane WHERE n > piece_limit
+        """,
         "p2_parts": f"""
           WITH r AS (SELECT DISTINCT ON (shard_id, row_id) shard_id, row_id, lane, n FROM ({_LENGTHS}) ORDER BY shard_id, row_id, written_at DESC, n DESC),
           p AS (SELECT r.lane, c.capacity, n, unnest(range(0, n, c.capacity)) AS start FROM r JOIN lane_config c ON r.lane = c.lane WHERE n > 0)
