@@ -38,7 +38,7 @@ from .textfold import fold_looks, fold_words
 
 GRAM, WIDEST, LEAST, SEVEN = 3, 4, 12, 7
 #: Frequent fingerprints: those of at least HOT_COUNT of about SAMPLE sampled texts; at most HOT_MOST are known.
-SAMPLE, HOT_COUNT, HOT_MOST = 100_000, 4, 300_000
+SAMPLE, HOT_COUNT, HOT_MOST = 25_000, 3, 300_000
 #: A text keeps one in KEEP of the fingerprints that must be shared, however frequent.
 KEEP = 6
 #: Texts of one fingerprint that a join key takes.
