@@ -13,12 +13,12 @@ summed by a shuffle of at most alphabet^2 rows per task; the result, at most alp
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -71,17 +71,27 @@ def word_bigrams(words: Counter) -> Counter:
 
 
 class Lattice:
-    """Character bigrams by script, and the search for the best reading of a look."""
+    """Character bigrams by script, and the search for the best reading of looks, many at once."""
 
     def __init__(self, bigrams: dict[tuple[str, str, str], int]):
-        self.pair = dict(bigrams)
-        self.before: Counter = Counter()
-        letters = defaultdict(set)
-        for (s, a, b), n in bigrams.items():
-            self.before[s, a] += n
-            letters[s].add(b)
-        self.size = {s: max(32, len(letters[s])) for s in (*SCRIPTS, "?")}
-        self.starts = sum(self.before[s, ""] for s in SCRIPTS) + sum(self.size.values())
+        self.scripts = (*SCRIPTS, "?")
+        letters = {s: sorted({c for (t, a, b) in bigrams if t == s for c in (a, b) if c}) for s in self.scripts}
+        self.place = {s: {c: i for i, c in enumerate(letters[s])} for s in self.scripts}
+        sizes = {s: max(32, len(letters[s])) for s in self.scripts}
+        starts = sum(n for (s, a, _), n in bigrams.items() if not a and s != "?") + sum(sizes.values())
+        #: Log probabilities, add-one smoothed: of a word's first letter over the words of all scripts, and of a letter behind
+        #: another one of its script. The last letter stands for any not seen, the last follower for the end of the word.
+        self.start, self.step = [], []
+        for s in self.scripts:
+            n = len(letters[s])
+            first, after = np.zeros(n + 1), np.zeros((n + 1, n + 2))
+            for (t, a, b), count in bigrams.items():
+                if t == s and not a:
+                    first[self.place[s][b]] = count
+                elif t == s:
+                    after[self.place[s][a], self.place[s][b] if b else n + 1] = count
+            self.start.append(np.log((first + 1) / starts))
+            self.step.append(np.log((after + 1) / (after.sum(axis=1, keepdims=True) + sizes[s])))
         self.memo: dict[str, str] = {}
         #: Words that are their own form: most, so texts are first held against these as a whole.
         self.plain: set[str] = set()
@@ -90,52 +100,67 @@ class Lattice:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "memo": {}, "plain": set(), "searched": 0}
 
-    def start(self, s: str, c: str) -> float:
-        """Add-one log probability of a word's first letter, over the words of all scripts."""
-        return math.log((self.pair.get((s, "", c), 0) + 1) / self.starts)
-
-    def step(self, s: str, a: str, b: str) -> float:
-        """Add-one log probability of b after a in a script."""
-        return math.log((self.pair.get((s, a, b), 0) + 1) / (self.before[s, a] + self.size[s]))
-
-    def read(self, word: str) -> str:
-        """The form of a word's look; the search decides if more than one script has one of its letters."""
-        form = self.memo.get(word)
-        if form is None:
-            if len(self.memo) > KEPT:
-                self.memo.clear()
-                self.plain.clear()
-            self.memo[word] = form = self.search(word) if _SHARED.search(word) else word
-            if form == word:
-                self.plain.add(word)
-        return form
-
-    def search(self, word: str) -> str:
-        """Viterbi's search. A script has one letter for a look, so a state is a script; ties go to the later text."""
-        self.searched += 1
-        best: dict[str, tuple[float, str]] = {}
-        for c in word:
-            new: dict[str, tuple[float, str]] = {}
-            for s, letter in (MEMBERS.get(c) or {script(c): c}).items():
-                begin = self.start(s, letter)
-                if not best:
-                    new[s] = (begin, letter)
-                    continue
-                t, (total, text) = max(best.items(), key=lambda x: (x[1], x[0]))
-                found = (total + SWITCH + begin, text + letter)
-                if (own := best.get(s)) and (stay := (own[0] + self.step(s, own[1][-1], letter), own[1] + letter)) >= found:
-                    found = stay
-                new[s] = found
-            best = new
-        return max((total + self.step(s, text[-1], ""), text) for s, (total, text) in best.items())[1]
+    def learn(self, words: set[str]) -> None:
+        """Keep the forms of looks; the search decides if more than one script has one of their letters."""
+        new = words - self.memo.keys()
+        if len(self.memo) + len(new) > KEPT:
+            self.memo.clear()
+            self.plain.clear()
+            new = words
+        shared = sorted((w for w in new if _SHARED.search(w)), key=lambda w: (len(w), w))
+        forms = dict.fromkeys(new)
+        for k in range(0, len(shared), 4096):
+            for n in sorted({len(w) for w in shared[k : k + 4096]}):
+                same = [w for w in shared[k : k + 4096] if len(w) == n]
+                forms.update(zip(same, self.search(same)))
+        for w, form in forms.items():
+            self.memo[w] = form = form or w
+            if form == w:
+                self.plain.add(w)
+
+    def search(self, words: list[str]) -> list[str]:
+        """Viterbi's search over words of one length, side by side: a script has one letter for a look, so a state is a script; ties go to the script named first."""
+        self.searched += len(words)
+        looks, back = np.unique(np.array([list(w) for w in words]), return_inverse=True)
+        back = back.reshape(len(words), -1)
+        members = [MEMBERS.get(c) or {script(c): c} for c in looks.tolist()]
+        # By script and look: the letter's number, -1 where the script has none.
+        number = np.array([[self.place[s].get(m[s], len(self.place[s])) if s in m else -1 for m in members] for s in self.scripts])
+        letter = [[m.get(s, "") for m in members] for s in self.scripts]
+        many, n = back.shape
+        all_ = range(len(self.scripts))
+        at = number[:, back]
+        score = np.stack([np.where(at[s, :, 0] >= 0, self.start[s][at[s, :, 0]], -np.inf) for s in all_])
+        came = np.zeros((n, len(self.scripts), many), np.int8)
+        for i in range(1, n):
+            new = np.full_like(score, -np.inf)
+            for s in all_:
+                here = at[s, :, i]
+                others = score.copy()
+                others[s] = -np.inf
+                best = others.argmax(axis=0)
+                change = others[best, np.arange(many)] + SWITCH + self.start[s][here]
+                stay = score[s] + self.step[s][at[s, :, i - 1], here]
+                came[i, s] = np.where(stay >= change, s, best)
+                new[s] = np.where(here >= 0, np.maximum(stay, change), -np.inf)
+            score = new
+        score = np.stack([score[s] + self.step[s][at[s, :, n - 1], -1] for s in all_])
+        state, out = score.argmax(axis=0), [[""] * n for _ in words]
+        for i in range(n - 1, -1, -1):
+            for w, (s, c) in enumerate(zip(state.tolist(), back[:, i].tolist())):
+                out[w][i] = letter[s][c]
+            state = came[i, state, np.arange(many)]
+        return ["".join(w) for w in out]
+
+    def forms(self, texts: list[str | None]) -> list[str | None]:
+        """The consistent forms of texts; null for null."""
+        looks = [None if t is None else look(t) for t in texts]
+        words = [set(_WORD.findall(t)) if t else set() for t in looks]
+        self.learn(set().union(*words))
+        return [t if not t or w <= self.plain else _WORD.sub(lambda m: self.memo[m.group()], t) for t, w in zip(looks, words)]
 
     def form(self, text: str) -> str:
-        """The consistent form of a text."""
-        text = look(text)
-        words = set(_WORD.findall(text))
-        if words <= self.plain or all([self.read(w) == w for w in words]):
-            return text
-        return _WORD.sub(lambda m: self.read(m.group()), text)
+        return self.forms([text])[0]
 
 
 def _record(documents: DataFrame) -> Column:
@@ -182,7 +207,7 @@ def consistent_forms(documents: DataFrame, lattice: Lattice | None = None) -> Da
 
     def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            forms = [None if t is None else model.value.form(t) for t in pdf["record"]]
+            forms = model.value.forms([None if pd.isna(t) else t for t in pdf["record"]])
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"],
                 "form": forms,

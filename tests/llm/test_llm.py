@@ -440,6 +440,14 @@ def test_the_search_reads_every_shared_look_as_the_corpus_does(spark):
     assert model.searched == 7  # dry: y is shared; the others are known or have no shared letter
 
 
+def test_forms_do_not_hang_on_what_is_kept(monkeypatch):
+    monkeypatch.setattr(lookalike, "KEPT", 7)
+    lat, rng = lookalike.Lattice(CYRILLIC_WORDS), random.Random(17)
+    texts = [" ".join(rng.choice(["Mocквa", "the", "copy", "vote", "peace", "oxen", "ace", "Тhе", "soap", "cat", "dry"]) for _ in range(6)) for _ in range(60)]
+    got = [f for k in range(0, 60, 5) for f in lat.forms(texts[k : k + 5])]
+    assert got == [lookalike.Lattice(CYRILLIC_WORDS).form(t) for t in texts]
+
+
 def test_viterbi_equals_all_readings():
     rng = random.Random(11)
     letters = list("aoecpxyst")
@@ -451,21 +459,31 @@ def test_viterbi_equals_all_readings():
                 pairs[s, a, b] = rng.randint(0, 9)
     lat = lookalike.Lattice(pairs)
 
+    log = lambda x: math.log(x)
+    sizes = {s: max(32, len({c for t, a, b in pairs if t == s for c in (a, b) if c})) for s in (*textfold.SCRIPTS, "?")}
+    starts = sum(n for (s, a, _), n in pairs.items() if not a) + sum(sizes.values())
+    before = {}
+    for (s, a, _), n in pairs.items():
+        before[s, a] = before.get((s, a), 0) + n
+    step = lambda s, a, b: log((pairs.get((s, a, b), 0) + 1) / (before.get((s, a), 0) + sizes[s]))
+    start = lambda s, c: log((pairs.get((s, "", c), 0) + 1) / starts)
+
     def score(path):
         total, last = 0.0, None
         for s, c in path:
-            total += lat.start(s, c) if last is None else lat.step(s, last[1], c) if last[0] == s else lookalike.SWITCH + lat.start(s, c)
+            total += start(s, c) if last is None else step(s, last[1], c) if last[0] == s else lookalike.SWITCH + start(s, c)
             last = s, c
-        return total + lat.step(last[0], last[1], "")
-
-    for _ in range(60):
-        word = "".join(rng.choice(letters) for _ in range(rng.randint(1, 5)))
-        paths = [[]]
-        for c in word:
-            paths = [[*p, x] for p in paths for x in (lookalike.MEMBERS.get(c) or {lookalike.script(c): c}).items()]
-        top = max(map(score, paths))
-        read = lat.search(word)
-        assert any(abs(score(p) - top) < 1e-9 and "".join(c for _, c in p) == read for p in paths)
+        return total + step(last[0], last[1], "")
+
+    words = ["".join(rng.choice([*letters, "b", "é"]) for _ in range(rng.randint(1, 5))) for _ in range(80)]
+    for n in range(1, 6):
+        same = [w for w in words if len(w) == n]
+        for word, read in zip(same, lat.search(same) if same else []):
+            paths = [[]]
+            for c in word:
+                paths = [[*p, x] for p in paths for x in (lookalike.MEMBERS.get(c) or {lookalike.script(c): c}).items()]
+            top = max(map(score, paths))
+            assert any(abs(score(p) - top) < 1e-9 and "".join(c for _, c in p) == read for p in paths)
 
 
 def test_same_looking_pairs(spark):
