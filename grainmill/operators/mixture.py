@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import ranked
+from ..session import cut_lineage
 
 #: Tokens of the byte vocabulary.
 VOCABULARY = 259
@@ -101,19 +101,37 @@ def decide(scored: DataFrame, stages: DataFrame, required: DataFrame) -> DataFra
     protected lane). The first 40 % (one at least) are accepted, the next 30 % deferred if three are eligible, the rest rejected.
     A protected lane's best others are accepted by override until its need, or all that are eligible, is met.
     Documents not eligible for a stage, or without a score, are deferred.
+
+    Documents are sorted once, by lane and alignment: the ranks of a stage are running counts of its eligible documents along
+    that order, within range partitions and over those before. stages is a fixed table of a few rows.
     """
-    every = scored.crossJoin(F.broadcast(stages))
-    open_ = (F.col("min_stage") <= F.col("stage_index")) & F.col("alignment").isNotNull()
-    ok = ranked(every.where(open_), ["stage_index", "lane"], [F.desc("alignment"), F.desc("quality"), F.asc("doc_id")])
-    sizes = ok.groupBy("stage_index", "lane").agg(F.count("*").alias("n"))
-    sizes = sizes.join(F.broadcast(required), ["stage_index", "lane"], "left").withColumn("need", F.coalesce("need", F.lit(0)))
-    n = F.col("n")
-    accept = F.greatest(F.lit(1), F.ceil(n * F.lit(0.4)))
-    defer = F.when(n >= 3, F.greatest(F.lit(1), F.ceil(n * F.lit(0.3)))).otherwise(0)
-    d = ok.join(F.broadcast(sizes), ["stage_index", "lane"])
-    base = F.when(F.col("rank") <= accept, "accepted").when(F.col("rank") <= accept + defer, "deferred").otherwise("rejected")
+    named = sorted((r["stage_index"], r["stage"]) for r in stages.select("stage", "stage_index").distinct().collect())
+    order = [F.desc_nulls_last("alignment"), F.desc("quality"), F.asc("doc_id")]
+    n = max(4, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = cut_lineage(scored.repartitionByRange(n, F.col("lane"), *order).withColumn("_part", F.spark_partition_id()))
+    ok = [F.col("alignment").isNotNull() & F.coalesce(F.col("min_stage") <= index, F.lit(False)) for index, _ in named]
+    counts = placed.groupBy("lane", "_part").agg(F.array(*[F.count_if(x) for x in ok]).alias("_c"))
+    upto, whole = Window.partitionBy("lane").orderBy("_part"), Window.partitionBy("lane")
+    sums = lambda w: F.array(*[F.sum(F.get("_c", F.lit(i))).over(w) for i in range(len(named))])
+    # A row per lane and range partition.
+    counts = counts.select(F.col("lane").alias("_lane"), F.col("_part").alias("_p"), F.zip_with(sums(upto), "_c", lambda x, y: x - y).alias("_before"), sums(whole).alias("_n"))
+    d = placed.join(counts, F.col("lane").eqNullSafe(F.col("_lane")) & (F.col("_part") == F.col("_p")))
+    along = Window.partitionBy("lane", "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = [
+        F.struct(
+            F.lit(stage).alias("stage"), F.lit(index).alias("stage_index"), F.get("_n", F.lit(i)).alias("n"),
+            F.when(ok[i], F.get("_before", F.lit(i)) + F.sum(ok[i].cast("int")).over(along)).alias("rank"),
+        )
+        for i, (index, stage) in enumerate(named)
+    ]
+    d = d.select("doc_id", "lane", "alignment", F.array(*each).alias("_each")).select("doc_id", "lane", "alignment", F.explode("_each").alias("s")).select("doc_id", "lane", "alignment", "s.*")
+    d = d.join(F.broadcast(required), ["stage_index", "lane"], "left")
+    accept = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.4)))
+    defer = F.when(F.col("n") >= 3, F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(0.3)))).otherwise(0)
+    ranked_ = F.col("rank").isNotNull()
+    base = F.when(~ranked_, "deferred").when(F.col("rank") <= accept, "accepted").when(F.col("rank") <= accept + defer, "deferred").otherwise("rejected")
     # Ranks behind the accepted ones are the candidates in order, so a rescue is a bound on the rank.
-    rescued = (F.col("rank") > accept) & (F.col("rank") <= F.least(n, F.col("need")))
-    decided = d.select("stage", "stage_index", "doc_id", "lane", "alignment", "rank", base.alias("base_decision"), F.when(rescued, "accepted_override").otherwise(base).alias("final_decision"))
-    none = every.where(~open_ | F.col("alignment").isNull()).select("stage", "stage_index", "doc_id", "lane", F.lit(None).cast("double").alias("alignment"), F.lit(None).cast("long").alias("rank"), F.lit("deferred").alias("base_decision"), F.lit("deferred").alias("final_decision"))
-    return decided.unionByName(none)
+    rescued = ranked_ & (F.col("rank") > accept) & (F.col("rank") <= F.least(F.col("n"), F.coalesce("need", F.lit(0))))
+    return d.select(
+        "stage", "stage_index", "doc_id", "lane", F.when(ranked_, F.col("alignment")).alias("alignment"), "rank", base.alias("base_decision"), F.when(rescued, "accepted_override").otherwise(base).alias("final_decision")
+    )
