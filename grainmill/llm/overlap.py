@@ -268,7 +268,8 @@ def _verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p, q = np.frombuffer(x, np.uint32).tolist(), np.frombuffer(y, np.uint32).tolist()
             most = allowed(max(len(p), len(q)))
             # Each edit mends one word that the other text lacks.
-            if max((Counter(p) - Counter(q)).total(), (Counter(q) - Counter(p)).total()) > most:
+            lacking = (Counter(p) - Counter(q)).total()
+            if max(lacking, lacking + len(q) - len(p)) > most:
                 continue
             if (edits := aligned_edits(p, q, most)) <= most:
                 common = common_length(p, q)
