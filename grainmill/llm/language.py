@@ -318,7 +318,8 @@ def fit(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> Trees:
             cost = trees.by_tree(plain)
             rate = _rate(cost, plain)
             # Bits a letter that a language's own lines hardly ever need.
-            strange = max(1.8 * float(np.median(rate)), float(np.median(rate)) + 0.6)
+            middle = float(np.median(rate)) if len(rate) else 0.0
+            strange = max(1.8 * middle, middle + 0.6)
             for (label, line), c, r in zip(lines, cost, rate):
                 if r <= strange:
                     counts[TREES[int(c.argmin())]].update(line)
@@ -429,7 +430,16 @@ def document_languages(documents: DataFrame, trees: Trees | None = None) -> Data
 
 
 def unnamed_languages(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
-    """doc_id and each language that a stretch of its lines has and its label does not name; records of code are python."""
-    found = segments(documents, trees, records=True).select("doc_id", "language").distinct()
-    label = documents.where(F.col("text").isNotNull()).select("doc_id", named(F.col("language")).alias("label"))
-    return found.join(label, "doc_id").where(F.col("label").isNull() | (F.col("label") != F.col("language"))).select("doc_id", "language").distinct()
+    """doc_id and each language that a stretch of its lines has and its label does not name; records of code are python.
+
+    The label goes through the map beside the text, so documents are read once and only the result's keys are shuffled.
+    """
+    model = documents.sparkSession.sparkContext.broadcast(trees or train(documents))
+
+    def part(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(d, k) for d, label, found in zip(pdf["doc_id"].tolist(), pdf["label"].tolist(), read(model.value, pdf["text"].tolist(), True)) for k in dict.fromkeys(x[2] for x in found) if k != label]
+            yield pd.DataFrame(rows, columns=["doc_id", "language"])
+
+    good = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    return good.select("doc_id", named(F.col("language")).alias("label"), "text").mapInPandas(part, "doc_id long, language string").distinct()
