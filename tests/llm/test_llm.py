@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 import random
 import unicodedata
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
+from grainmill import session
 from grainmill.llm import cutoff, language, leakage, lookalike, mixing, overlap, packing, queries, skew, splitting, textfold, toxicity
 from grainmill.llm.editdistance import common_length, distance, search
 from grainmill.session import table
@@ -378,6 +381,40 @@ def test_near_same_texts_share_what_is_promised():
     assert len(overlap.fingerprints([full], *none)[0]) < 0.45 * 2000
 
 
+def test_every_near_same_text_looks_for_a_piece_that_is_laid_down():
+    """Whatever is frequent and however badly the edits are placed, a text has a key under which its counterpart lays a piece down."""
+    rng = random.Random(17)
+    for n in [*range(3, 60), 99, 100, 146, 200, 350, 700, 1500, 5000]:
+        a = rng.sample(range(10**6), n)
+        for _ in range(6):
+            b, e = list(a), int(overlap.allowed(n)) if n >= 11 else n // 7
+            at = [round((k + 1) * (n + 1) / (e + 1)) - 1 for k in range(e)] if rng.random() < 0.5 else rng.sample(range(n), e)
+            what = rng.choice(["out", "in", "other"])
+            for k in sorted(set(at), reverse=True):
+                b[k : k + (what != "in")] = [] if what == "out" else [rng.randint(10**6, 10**7)]
+            if not b or distance(a, b) > overlap.allowed(max(len(a), len(b))):
+                continue
+            for x, y in ((a, b), (b, a)):
+                laid, asked = overlap.Texts([np.array(x, np.uint32)]), overlap.Texts([np.array(y, np.uint32)])
+                known = np.unique(np.concatenate([overlap.grams(laid.words, g) for g in overlap.LENGTHS]))
+                known = known[np.array([rng.random() < 0.3 for _ in known], bool)]
+                text, place, fp, _ = overlap.laid_down(laid, known, np.full(len(known), 9))
+                assert len(text) <= max(overlap.pieces_needed(len(x)), overlap.SHORT - 3)
+                k = overlap.bucket(laid.n[text])
+                keys = overlap.cell(fp, k, place // (overlap.reach(k) + 1), np.zeros(len(fp), np.int64))
+                text, place, fp = overlap.looked_for(asked)
+                assert np.isin(overlap.cells(fp, asked.n[text], place, np.zeros(len(fp), np.int64))[0], keys).any(), (n, what)
+
+
+def test_overlap_stores_less_than_the_texts(spark):
+    d = table(spark, "/root/testdata/sf0.1", "documents")
+    size = lambda: sum(p.stat().st_size for p in Path(urlparse(spark.sparkContext.getCheckpointDir()).path).rglob("*") if p.is_file())
+    session.ensure_checkpoint_dir(spark)
+    before = size()
+    o = overlap.Overlap(d)
+    assert o.links.count() and size() - before < 0.5 * d.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_frequent_fingerprints_are_dealt_over_keys(spark, monkeypatch):
     """The same pairs with and without salts."""
     rng = random.Random(14)
