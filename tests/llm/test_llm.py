@@ -865,6 +865,17 @@ def test_counts_are_those_of_all_documents(spark):
     assert not toxicity.scores(docs(spark, rows + common), labels).where("flagged").count()
 
 
+def test_copies_do_not_crowd_labelled_texts_out(spark):
+    """However often the others are copied and labelled, every different text is learnt from; equal texts pool their opinions."""
+    rows = [(i, f"text {i % 30}", "s", "a", "en", "train", 0.5, None) for i in range(3000)] + [(5000 + i, f"rare {i}", "s", "a", "en", "train", 0.5, None) for i in range(5)]
+    labels = [(r[0], "r", int(r[1].startswith("rare") or (r[0] % 30 < 5 and r[0] % 3 < 2) or (r[0] % 30 >= 25 and r[0] == r[0] % 30)), None) for r in rows]
+    d, labels = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, reviewer string, abusive int, labelled_at timestamp")
+    pos, neg = toxicity.labelled_texts(d, labels, 40)
+    alike = {f"text {k}" for k in range(5) if k % 3 < 2}
+    assert sorted(pos) == sorted({f"rare {i}" for i in range(5)} | alike)
+    assert sorted(neg) == sorted({f"text {k}" for k in range(30)} - alike)
+
+
 def test_toxicity_held_out(spark):
     """Trained on two thirds of the labels of the larger table; documents of the last third are told apart."""
     d = "/root/testdata/sf0.1"
